@@ -43,14 +43,15 @@ def same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
 def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add the columns of a one-row-per-key table to every row of ``df``.
 
-    Without keys the single row becomes literals. With keys it is a plain equi-join: adaptive
+    Without keys the single row becomes literals (nulls when there is none). With keys it is a plain equi-join: adaptive
     execution broadcasts ``per_key`` when its measured size allows and splits hot keys when not.
     """
     if not keys:
         row = per_key.first()
         types = dict(zip(per_key.columns, [f.dataType for f in per_key.schema]))
         return df.select(
-            "*", *[F.lit(row[c]).cast(types[c]).alias(c) for c in per_key.columns]
+            "*",
+            *[F.lit(row[c] if row else None).cast(types[c]).alias(c) for c in per_key.columns],
         )
     added = [c for c in per_key.columns if c not in keys]
     return (

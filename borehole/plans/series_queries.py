@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from borehole.operators import forecast as W
 from borehole.operators import rolling as R
 from borehole.operators import series as S
+from borehole.operators import smoothing as H
 from borehole.plans import views as V
 from borehole.plans.registry import query
 
@@ -180,3 +182,79 @@ def decomposition_summary(spark, sf):
 from readings group by 1""")
 def last_observed(spark, sf):
     return V.rounded(S.last_observed(_series(spark, sf), STATION))
+
+
+# --- fitted forecasts -------------------------------------------------------------------
+
+GRID = """grid as (
+  select a.v as alpha, b.v as beta, g.v as gamma
+  from (values (0.1e0), (0.3e0), (0.5e0), (0.7e0), (0.9e0)) a(v),
+    (values (0.01e0), (0.1e0), (0.3e0), (0.5e0), (0.9e0)) b(v),
+    (values (0.01e0), (0.1e0), (0.3e0), (0.5e0), (0.9e0)) g(v))"""
+
+# The recursion of the fit, stepped row by row for every parameter set: the season is a list
+# turned by one place per step.
+HOLT_WINTERS = f"""{GRID}, starts as (
+  select station, avg(y) filter (pos < 7) as l0, avg(y) filter (pos >= 7 and pos < 14) as l1,
+    list(y order by pos) filter (pos < 7) as ys, max(n) as n, max(n_train) as n_train
+  from split group by 1),
+run as (
+  select station, alpha, beta, gamma, 0::bigint as t, l0 as l, (l1 - l0) / 7 as b,
+    list_transform(ys, lambda v: v - l0) as s, 0e0 as sse, n, n_train from starts, grid
+  union all
+  select r.station, alpha, beta, gamma, t + 1, l + b + alpha * e.e, b + alpha * beta * e.e,
+    list_append(s[2:], s[1] + gamma * e.e), sse + e.e * e.e, r.n, r.n_train
+  from run r join split x on x.station = r.station and x.pos = r.t,
+    lateral (select x.y - l - b - s[1] as e) e),
+best as (
+  select *, row_number() over (partition by station order by sse, alpha, beta, gamma) as r
+  from run where t = n_train),
+last as (
+  select r.* from run r join best b using (station, alpha, beta, gamma) where b.r = 1 and r.t = r.n)"""
+
+RECURSIVE = f"with recursive {SPLIT_DAILY}, {HOLT_WINTERS}"
+
+
+@query(f"""{RECURSIVE}
+select station, alpha, beta, gamma, round(sse, 4) as sse, n, n_train from best where r = 1""")
+def holt_winters_fit(spark, sf):
+    fits = H.fit_holt_winters(_daily(spark, sf), 7, 6, STATION)
+    return V.rounded(fits.select("station", "alpha", "beta", "gamma", "sse", "n", "n_train"))
+
+
+Z95 = "1.959963984540054e0"
+
+
+@query(f"""{RECURSIVE}, steps as (
+  select station, step, l + step * b + s[(step - 1) % 7 + 1] as yhat, sse / n as variance,
+    (select coalesce(sum(pow(alpha + alpha * beta * j, 2)), 0) from range(1, step) q(j)) as spread
+  from last, range(1, 7) h(step))
+select f.station, cast(step as int) as step, round(yhat, 4) as yhat,
+  round(yhat - {Z95} * sqrt(variance * (1 + spread)), 4) as lower,
+  round(yhat + {Z95} * sqrt(variance * (1 + spread)), 4) as upper,
+  strftime(d.last + to_days(cast(step as int)), '%Y-%m-%d') as ds, 'holt_winters' as method
+from steps f join (select station, max(ds) as last from readings_daily group by 1) d using (station)""")
+def forecast(spark, sf):
+    """Holt-Winters forecast with intervals; the horizon is within one season."""
+    df = V.readings_daily(spark, sf)
+    found = W.forecast(df, "ds", "level", STATION, period=7, horizon=6)
+    return V.day_text(V.rounded(found.forecast))
+
+
+@query(f"""{RECURSIVE}, pairs as (
+  select b.station, x.y, x.y - (l + k * b + s[(k - 1) % 7 + 1]) as e
+  from best b join (select *, pos - n_train + 1 as k from split) x on x.station = b.station
+    and x.pos >= x.n_train where b.r = 1)
+select station, round(avg(abs(e)), 4) as mae, round(sqrt(avg(e * e)), 4) as rmse,
+  round(100 * avg(abs(e / nullif(y, 0))), 4) as mape, count(*) filter (y = 0) as zero_actuals
+from pairs group by 1""")
+def forecast_validation(spark, sf):
+    df = V.readings_daily(spark, sf)
+    return V.rounded(W.forecast(df, "ds", "level", STATION, period=7, horizon=6).metrics)
+
+
+@query()
+def forecast_sarimax(spark, sf):
+    df = V.readings(spark, sf)
+    found = W.forecast(df, "ds", "level", STATION, period=12, horizon=6, method="sarimax")
+    return V.day_text(V.rounded(found.forecast))
