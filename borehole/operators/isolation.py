@@ -164,14 +164,14 @@ def _score_groups(
     )
     rows = G.attach(df, counts, keys).withColumn(
         "_task", F.pmod(F.xxhash64(id_col), F.col("_tasks"))
-    )
+    ).drop("_tasks")
     forests = G.attach(forest, counts, keys).withColumn(
         "_task", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tasks") - 1))
-    )
+    ).drop("_tasks")
     schema = T.StructType(df.schema.fields + [T.StructField("raw", T.DoubleType())])
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.drop(columns=["_tasks", "_task"])
+        left = left.drop(columns=["_task"])
         trees = right.sort_values("tree").to_dict("records")
         return left.assign(raw=path_scores(trees, left[list(features)].to_numpy(float)))
 

@@ -273,11 +273,12 @@ def _ask_leaves(
     )
     queries = G.attach(asked, tasks, at).withColumn(
         "task", F.pmod(F.xxhash64("place"), F.col("tasks"))
-    )
+    ).drop("tasks")
     others = (
         G.attach(homes, tasks, at)
         .where(F.col("tasks").isNotNull())
         .withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)))
+        .drop("tasks")
     )
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -1,6 +1,12 @@
 """All registered queries: importing the modules registers them."""
 
-from borehole.plans import anomaly_queries, geo_queries, series_queries, table_queries  # noqa: F401
+from borehole.plans import (  # noqa: F401
+    anomaly_queries,
+    geo_queries,
+    model_queries,
+    series_queries,
+    table_queries,
+)
 from borehole.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
