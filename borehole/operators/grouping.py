@@ -211,13 +211,17 @@ def _bracketed_quantile(
     accuracy = max(10_000, min(1_000_000, int(largest**0.5)))
     eps = 2.0 / accuracy
     values = df.where(F.col(c).isNotNull()).select(*keys, F.col(c).alias("_v"))
-    low = F.percentile_approx("_v", F.lit(p - eps), F.lit(accuracy)) if p > eps else F.min("_v")
-    high = (
-        F.percentile_approx("_v", F.lit(p + eps), F.lit(accuracy)) if p < 1 - eps else F.max("_v")
-    )
-    bounds = values.groupBy(*keys).agg(
-        low.alias("_lo"), high.alias("_hi"), F.count(F.lit(1)).alias("_n")
-    )
+    rows = F.count(F.lit(1))
+    # in small groups the sketch's error is not wider than the two ranks it must enclose
+    large = rows >= 2 * accuracy
+    low, high = F.min("_v"), F.max("_v")
+    if p > eps:
+        below = F.percentile_approx("_v", F.lit(p - eps), F.lit(accuracy))
+        low = F.when(large, below).otherwise(low)
+    if p < 1 - eps:
+        above = F.percentile_approx("_v", F.lit(p + eps), F.lit(accuracy))
+        high = F.when(large, above).otherwise(high)
+    bounds = values.groupBy(*keys).agg(low.alias("_lo"), high.alias("_hi"), rows.alias("_n"))
     # equal values are counted before they are ranked, so heavy ties stay one row
     counts = (
         attach(values, bounds, keys)

@@ -147,12 +147,11 @@ def isolation_scores(
     shared = df.sparkSession.sparkContext.broadcast(nodes)
 
     @F.pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for columns in batches:
-            x = np.column_stack([c.to_numpy(float) for c in columns])
-            yield pd.Series(path_scores(shared.value, x))
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for x in batches:
+            yield pd.Series(path_scores(shared.value, x.to_numpy(float)))
 
-    return df.withColumn("raw", score(*[F.col(c) for c in features]))
+    return df.withColumn("raw", score(F.struct(*features)))
 
 
 def _score_groups(

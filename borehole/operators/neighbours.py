@@ -130,7 +130,7 @@ def _grow_trees(
 
 # --- nearest neighbours -----------------------------------------------------------------
 
-EDGE = "q {id}, q_mult long, o {id}, o_mult long, d double"
+EDGE = "_q {id}, _q_mult long, _o {id}, _o_mult long, _d double"
 
 
 def _nearest(
@@ -139,7 +139,7 @@ def _nearest(
     """For each query its ``k`` nearest others by (distance, id): positions and distances."""
     others_x = others[list(features)].to_numpy(float)
     x = queries[list(features)].to_numpy(float)
-    same = queries["place"].to_numpy()[:, None]
+    same = queries["_place"].to_numpy()[:, None]
     keep = min(k + 1, len(others))  # one more: the query itself may be among them
     block = max(1, 4_000_000 // max(len(others), 1))
     rows, cols, dist = [], [], []
@@ -152,7 +152,7 @@ def _nearest(
         # others are sorted by id, so a stable sort breaks ties by id
         nearest = np.argsort(d, axis=1, kind="stable")[:, :keep]
         taken = np.take_along_axis(d, nearest, axis=1)
-        is_self = others["place"].to_numpy()[nearest] == same[start : start + block]
+        is_self = others["_place"].to_numpy()[nearest] == same[start : start + block]
         r, c = np.nonzero(~is_self & (np.cumsum(~is_self, axis=1) <= k))
         rows.append(r + start)
         cols.append(nearest[r, c])
@@ -163,46 +163,46 @@ def _nearest(
 def _edges(
     queries: pd.DataFrame, others: pd.DataFrame, features: Sequence[str], keys: Sequence[str]
 ) -> pd.DataFrame:
-    others = others.sort_values("place", ignore_index=True)
+    others = others.sort_values("_place", ignore_index=True)
     queries = queries.reset_index(drop=True)
-    rows, cols, dist = _nearest(queries, others, features, int(queries["k"].iloc[0]))
+    rows, cols, dist = _nearest(queries, others, features, int(queries["_k"].iloc[0]))
     out = pd.DataFrame({f: queries[f].to_numpy()[rows] for f in keys})
-    out["q"] = queries["place"].to_numpy()[rows]
-    out["q_mult"] = queries["mult"].to_numpy()[rows]
-    out["o"] = others["place"].to_numpy()[cols]
-    out["o_mult"] = others["mult"].to_numpy()[cols]
-    out["d"] = dist
+    out["_q"] = queries["_place"].to_numpy()[rows]
+    out["_q_mult"] = queries["_mult"].to_numpy()[rows]
+    out["_o"] = others["_place"].to_numpy()[cols]
+    out["_o_mult"] = others["_mult"].to_numpy()[cols]
+    out["_d"] = dist
     return out
 
 
 def _cut_to_k(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The edges that hold the ``k`` nearest rows; ``take`` rows of the place are used."""
+    """The edges that hold the ``k`` nearest rows; ``_take`` rows of the place are used."""
     upto = (
-        Window.partitionBy(*keys, "q")
-        .orderBy("d", "o")
+        Window.partitionBy(*keys, "_q")
+        .orderBy("_d", "_o")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    left = F.col("k") - F.least(F.col("q_mult") - 1, F.col("k"))
-    before = F.sum("o_mult").over(upto) - F.col("o_mult")
+    left = F.col("_k") - F.least(F.col("_q_mult") - 1, F.col("_k"))
+    before = F.sum("_o_mult").over(upto) - F.col("_o_mult")
     return (
-        edges.withColumn("left", left)
-        .withColumn("take", F.least(F.col("o_mult"), F.col("left") - before))
-        .where(F.col("take") > 0)
+        edges.withColumn("_left", left)
+        .withColumn("_take", F.least(F.col("_o_mult"), F.col("_left") - before))
+        .where(F.col("_take") > 0)
     )
 
 
 def nearest_places(
     places: DataFrame, features: Sequence[str], keys: Sequence[str], leaf_rows: int = LEAF_ROWS
 ) -> DataFrame:
-    """Exact neighbours of every place: ``keys, q, q_mult, o, o_mult, d, k, take``.
+    """Exact neighbours of every place: ``keys, _q, _q_mult, _o, _o_mult, _d, _k, _take``.
 
-    ``places`` has ``keys, features, place, mult, k``.
+    ``places`` has ``keys, features, _place, _mult, _k``.
     """
-    id_type = places.schema["place"].dataType.simpleString()
+    id_type = places.schema["_place"].dataType.simpleString()
     fields = [places.schema[c] for c in keys]
     edge_schema = T.StructType(fields + T.StructType.fromDDL(EDGE.format(id=id_type)).fields)
     trees = _grow_trees(places, features, keys, leaf_rows)
-    per_key_k = places.groupBy(*keys).agg(F.first("k").alias("k"))
+    per_key_k = places.groupBy(*keys).agg(F.first("_k").alias("_k"))
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         return _edges(pdf, pdf, features, keys)
@@ -214,7 +214,7 @@ def nearest_places(
     shared = places.sparkSession.sparkContext.broadcast(trees)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Add the leaves within ``radius`` of each row, but not its own ``home``."""
+        """Add the leaves within ``_radius`` of each row, but not its own ``_home``."""
         for pdf in batches:
             for key, at in _group_key(pdf, keys):
                 part = pdf.iloc[at].reset_index(drop=True)
@@ -223,38 +223,38 @@ def nearest_places(
                     row, leaf = np.arange(len(part)), np.zeros(len(part), dtype=np.int64)
                 else:
                     x = part[list(features)].to_numpy(float)
-                    row, leaf = leaves_within(tree, x, part["radius"].to_numpy(float))
-                out = part.iloc[row].assign(leaf=leaf)
-                yield out[out["leaf"] != out["home"]]
+                    row, leaf = leaves_within(tree, x, part["_radius"].to_numpy(float))
+                out = part.iloc[row].assign(_leaf=leaf)
+                yield out[out["_leaf"] != out["_home"]]
 
     routed_schema = T.StructType(
         places.schema.fields
-        + [T.StructField("radius", T.DoubleType()), T.StructField("home", T.LongType()),
-           T.StructField("leaf", T.LongType())]
+        + [T.StructField("_radius", T.DoubleType()), T.StructField("_home", T.LongType()),
+           T.StructField("_leaf", T.LongType())]
     )
 
-    homes = places.withColumn("radius", F.lit(0.0)).withColumn("home", F.lit(-1).cast("long"))
-    homes = materialise(homes.mapInPandas(route, routed_schema).drop("radius", "home"), "homes")
-    first = materialise(homes.groupBy(*keys, "leaf").applyInPandas(local, edge_schema), "edges")
+    homes = places.withColumn("_radius", F.lit(0.0)).withColumn("_home", F.lit(-1).cast("long"))
+    homes = materialise(homes.mapInPandas(route, routed_schema).drop("_radius", "_home"), "homes")
+    first = materialise(homes.groupBy(*keys, "_leaf").applyInPandas(local, edge_schema), "edges")
     first = G.attach(first, per_key_k, keys)
 
     # a place that found enough neighbours at home knows how far the others can be
-    reached = _cut_to_k(first, keys).groupBy(*keys, "q").agg(
-        F.sum("take").alias("got"), F.first("left").alias("left"), F.max("d").alias("far")
+    reached = _cut_to_k(first, keys).groupBy(*keys, "_q").agg(
+        F.sum("_take").alias("_got"), F.first("_left").alias("_left"), F.max("_d").alias("_far")
     )
-    own = F.least(F.col("mult") - 1, F.col("k"))
-    by_place = reached.withColumnRenamed("q", "place")
+    own = F.least(F.col("_mult") - 1, F.col("_k"))
+    by_place = reached.withColumnRenamed("_q", "_place")
     asked = (
-        G.attach(homes, by_place, [*keys, "place"])
-        .where(own < F.col("k"))
+        G.attach(homes, by_place, [*keys, "_place"])
+        .where(own < F.col("_k"))
         .withColumn(
-            "radius",
-            F.when(F.col("got") >= F.col("left"), F.col("far") + 10.0**-DIGITS).otherwise(
+            "_radius",
+            F.when(F.col("_got") >= F.col("_left"), F.col("_far") + 10.0**-DIGITS).otherwise(
                 F.lit(float("inf"))
             ),
         )
-        .withColumn("home", F.col("leaf"))
-        .select(*places.columns, "radius", "home")
+        .withColumn("_home", F.col("_leaf"))
+        .select(*places.columns, "_radius", "_home")
         .mapInPandas(route, routed_schema)
     )
     second = _ask_leaves(materialise(asked, "asked"), homes, features, keys, edge_schema)
@@ -267,18 +267,18 @@ def _ask_leaves(
     schema: T.StructType,
 ) -> DataFrame:
     """Neighbours of the asking places in the leaves they were routed to."""
-    at = [*keys, "leaf"]
+    at = [*keys, "_leaf"]
     tasks = asked.groupBy(*at).agg(
-        F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("long").alias("tasks")
+        F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("long").alias("_tasks")
     )
     queries = G.attach(asked, tasks, at).withColumn(
-        "task", F.pmod(F.xxhash64("place"), F.col("tasks"))
-    ).drop("tasks")
+        "_task", F.pmod(F.xxhash64("_place"), F.col("_tasks"))
+    ).drop("_tasks")
     others = (
         G.attach(homes, tasks, at)
-        .where(F.col("tasks").isNotNull())
-        .withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)))
-        .drop("tasks")
+        .where(F.col("_tasks").isNotNull())
+        .withColumn("_task", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tasks") - 1)))
+        .drop("_tasks")
     )
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -286,7 +286,7 @@ def _ask_leaves(
             return pd.DataFrame({f.name: [] for f in schema})
         return _edges(left, right, features, keys)
 
-    by = [*at, "task"]
+    by = [*at, "_task"]
     return queries.groupBy(*by).cogroup(others.groupBy(*by)).applyInPandas(run, schema)
 
 
@@ -302,38 +302,38 @@ def lof_scores(
         *[(F.col(c) + F.lit(0.0)).alias(c) if c in features else F.col(c) for c in df.columns]
     )  # no negative zeros: they would group apart
     places = exact.groupBy(*keys, *features).agg(
-        F.min(id_col).alias("place"), F.count(F.lit(1)).alias("mult")
+        F.min(id_col).alias("_place"), F.count(F.lit(1)).alias("_mult")
     )
-    sizes = exact.groupBy(*keys).agg(neighbour_count(F.count(F.lit(1))).alias("k"))
-    if sizes.agg(F.min("k")).first()[0] < 2:
+    sizes = exact.groupBy(*keys).agg(neighbour_count(F.count(F.lit(1))).alias("_k"))
+    if sizes.agg(F.min("_k")).first()[0] < 2:
         raise ValueError("not enough samples for a local outlier factor")
     places = materialise(G.attach(places, sizes, keys), "places")
     edges = materialise(nearest_places(places, features, keys, leaf_rows), "neighbours")
 
-    own = F.least(F.col("mult") - 1, F.col("k"))
-    at_q = [*keys, "place"]
-    reach = edges.groupBy(*keys, F.col("q").alias("place")).agg(F.max("d").alias("kdist"))
-    with_k = G.attach(places, reach, at_q).withColumn("kdist", F.coalesce("kdist", F.lit(0.0)))
-    with_k = materialise(with_k.select(*keys, "place", "mult", "k", "kdist"), "reach")
+    own = F.least(F.col("_mult") - 1, F.col("_k"))
+    at_q = [*keys, "_place"]
+    reach = edges.groupBy(*keys, F.col("_q").alias("_place")).agg(F.max("_d").alias("_kdist"))
+    with_k = G.attach(places, reach, at_q).withColumn("_kdist", F.coalesce("_kdist", F.lit(0.0)))
+    with_k = materialise(with_k.select(*keys, "_place", "_mult", "_k", "_kdist"), "_reach")
 
-    far = with_k.select(*keys, F.col("place").alias("o"), F.col("kdist").alias("o_kdist"))
+    far = with_k.select(*keys, F.col("_place").alias("_o"), F.col("_kdist").alias("_o_kdist"))
     sums = (
-        G.attach(edges, far, [*keys, "o"])
-        .groupBy(*keys, F.col("q").alias("place"))
-        .agg(F.sum(F.col("take") * F.greatest("o_kdist", "d")).alias("reach"))
+        G.attach(edges, far, [*keys, "_o"])
+        .groupBy(*keys, F.col("_q").alias("_place"))
+        .agg(F.sum(F.col("_take") * F.greatest("_o_kdist", "_d")).alias("_reach"))
     )
     density = G.attach(with_k, sums, at_q).withColumn(
-        "lrd", 1 / ((F.coalesce("reach", F.lit(0.0)) + own * F.col("kdist")) / F.col("k") + TINY)
+        "_lrd", 1 / ((F.coalesce("_reach", F.lit(0.0)) + own * F.col("_kdist")) / F.col("_k") + TINY)
     )
-    density = materialise(density.select(*keys, "place", "mult", "k", "lrd"), "density")
+    density = materialise(density.select(*keys, "_place", "_mult", "_k", "_lrd"), "density")
 
-    near = density.select(*keys, F.col("place").alias("o"), F.col("lrd").alias("o_lrd"))
+    near = density.select(*keys, F.col("_place").alias("_o"), F.col("_lrd").alias("_o_lrd"))
     totals = (
-        G.attach(edges, near, [*keys, "o"])
-        .groupBy(*keys, F.col("q").alias("place"))
-        .agg(F.sum(F.col("take") * F.col("o_lrd")).alias("around"))
+        G.attach(edges, near, [*keys, "_o"])
+        .groupBy(*keys, F.col("_q").alias("_place"))
+        .agg(F.sum(F.col("_take") * F.col("_o_lrd")).alias("_around"))
     )
-    factor = (F.coalesce("around", F.lit(0.0)) + own * F.col("lrd")) / F.col("k") / F.col("lrd")
+    factor = (F.coalesce("_around", F.lit(0.0)) + own * F.col("_lrd")) / F.col("_k") / F.col("_lrd")
     by_place = G.attach(density, totals, at_q).withColumn("raw", -factor)
     by_place = G.attach(places, by_place.select(*at_q, "raw"), at_q)
     return G.attach(exact, by_place.select(*keys, *features, "raw"), [*keys, *features])

@@ -106,12 +106,13 @@ def _forecast(state: dict, period: int, horizon: int) -> tuple[np.ndarray, np.nd
     return np.array(path), sd
 
 
-def _stationary(phi: np.ndarray, period: int) -> bool:
+def _stable(phi: np.ndarray, period: int) -> bool:
+    """No root grows; a root of one is a steady change, as of a straight line."""
     poly = np.zeros(period + 2 if period > 1 else 2)
     poly[0] = 1.0
     for p, lag in zip(phi, _model_lags(period)):
         poly[lag] -= p
-    return bool(np.all(np.abs(np.roots(poly)) < 1.0))
+    return bool(np.all(np.abs(np.roots(poly)) <= 1.0 + 1e-6))
 
 
 def _paths(keys: Sequence[str], period: int, horizon: int):
@@ -120,12 +121,12 @@ def _paths(keys: Sequence[str], period: int, horizon: int):
             frames = []
             for row in pdf.to_dict("records"):
                 phi = np.split(np.asarray(row["coef"], dtype=float), 2)[0]
-                if not _stationary(phi, period):
+                if not _stable(phi, period):
                     continue
                 path, sd = _forecast(row, period, horizon)
                 if not (np.isfinite(path).all() and np.isfinite(sd).all()):
                     continue
-                frame = pd.DataFrame({k: [row[k]] * horizon for k in keys})
+                frame = pd.DataFrame({k: [row[k]] * horizon for k in keys}, index=range(horizon))
                 frame["origin"] = row["origin"]
                 frame["step"] = np.arange(1, horizon + 1, dtype="int32")
                 frame["yhat"], frame["sd"] = path, sd
@@ -152,7 +153,7 @@ def _end_state(df: DataFrame, origin: str, end: Column, reach: int, keys: Sequen
 def sarima_paths(
     series: DataFrame, period: int = 12, horizon: int = 6, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Forecast paths of the series long enough and stationary; the others are left out."""
+    """Forecast paths of the series long enough and stable; the others are left out."""
     reach = 3 * period + 4
     rows = S.split_series(series, period, horizon, keys, before=reach)
     w = rows.window

@@ -128,7 +128,7 @@ def _summarise(keys: Sequence[str]):
         else:
             state = np.tile(np.eye(size), (len(grid), 1, 1))
         state, squares = advance(y, first, period, grid, state)
-        out = pd.DataFrame({k: [one[k]] * len(grid) for k in keys})
+        out = pd.DataFrame({k: [one[k]] * len(grid) for k in keys}, index=range(len(grid)))
         out["piece"] = piece
         for c in ("period", "n_train"):
             out[c] = int(one[c])
@@ -194,7 +194,7 @@ def _paths(keys: Sequence[str], horizon: int):
                     ("all", row["n"], after[0, :, 0], sse + squares[0, 0, 0], errors + len(tail)),
                 ):
                     path, sd = _forecast_path(st, rows, period, params, total / max(count, 1), horizon)
-                    frame = pd.DataFrame({k: [row[k]] * horizon for k in keys})
+                    frame = pd.DataFrame({k: [row[k]] * horizon for k in keys}, index=range(horizon))
                     frame["origin"] = origin
                     frame["step"] = np.arange(1, horizon + 1, dtype="int32")
                     frame["yhat"], frame["sd"] = path, sd

@@ -123,10 +123,16 @@ MONTHLY = """monthly as (
     avg(o_totalprice) / 9973e0 as level from orders group by 1, 2)"""
 
 
-@query(f"""with {_split_sql("monthly", MONTHLY, 12, 6)}, ends as (
-  select station, max(ds) filter (pos < n_train) as last from split group by 1)
+@query(f"""with {_split_sql("monthly", MONTHLY, 12, 6)}, gaps as (
+  select *, (year(ds) * 12 + month(ds)) - lag(year(ds) * 12 + month(ds))
+    over (partition by station order by ds) as gap from split),
+ends as (
+  select station, max(ds) filter (pos < n_train) as last, min(gap) = max(gap) as even,
+    min(gap) as gap from gaps group by 1)
 select station, cast(step as int) as step,
-  strftime(last + to_months(cast(step as int)), '%Y-%m-%d') as ds from ends, range(1, 7) r(step)""")
+  strftime(case when even then last + to_months(cast(step * gap as int))
+    else last + to_days(cast(step as int)) end, '%Y-%m-%d') as ds
+from ends, range(1, 7) r(step)""")
 def forecast_dates_monthly(spark, sf):
     """Monthly readings, dates counted from the last training month."""
     month = F.to_date(F.trunc("ds", "month")).cast("timestamp_ntz")

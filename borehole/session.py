@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,18 +28,22 @@ def local_session(cores: int | str = "*", app: str = "borehole") -> SparkSession
     )
 
 
+@cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="borehole-")
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session may fall back to
-    a temporary folder: on a cluster no other executor could read it.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local session without that setting
+    falls back to a temporary folder: on a cluster no other executor could read it.
     """
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"{CHECKPOINT_DIR} must name a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="borehole-")
-        spark.conf.set(CHECKPOINT_DIR, base)
+        base = _local_scratch()
     return base.rstrip("/")
 
 
