@@ -12,14 +12,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from borehole.session import materialise
 
 MAX_GROUP_ROWS = "spark.borehole.maxGroupRows"
 DEFAULT_MAX_GROUP_ROWS = 2_000_000
+PERCENTILE_ROWS = 100_000  # rows of a group whose distinct values may all be kept in memory
+SPREAD_ROWS = 5_000_000
 
 
 def max_group_rows(spark: SparkSession) -> int:
@@ -27,11 +30,39 @@ def max_group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(MAX_GROUP_ROWS, str(DEFAULT_MAX_GROUP_ROWS)))
 
 
+_SIZES: WeakKeyDictionary[DataFrame, dict[tuple[str, ...], int]] = WeakKeyDictionary()
+
+
 def largest_group(df: DataFrame, keys: Sequence[str] = ()) -> int:
-    """Rows of the largest group; counted map-side first, so hot groups cost nothing extra."""
-    if not keys:
-        return df.count()
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    """Rows of the largest group; counted map-side first, so hot groups cost nothing extra.
+
+    Remembered per DataFrame object, because one analysis orders the same table several times.
+    """
+    known = _SIZES.setdefault(df, {})
+    if tuple(keys) not in known:
+        if keys:
+            size = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        else:
+            size = df.count()
+        known[tuple(keys)] = size
+    return known[tuple(keys)]
+
+
+def python_groups(df: DataFrame, cols: Sequence[str]) -> GroupedData:
+    """Groups for a Python function that is heavy for its input.
+
+    Adaptive execution merges small shuffle partitions by bytes and would run such groups one
+    after another; a stated number of partitions is kept. The grouping reuses this shuffle.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *cols).groupBy(*cols)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in one file split is dealt out to all cores; a large one has splits enough."""
+    if df.count() > SPREAD_ROWS:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
@@ -183,68 +214,85 @@ def exact_quantiles(
     """
     numbers = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
     largest = largest_group(df, keys)
-    if largest <= max_group_rows(df.sparkSession):
+    if largest <= min(PERCENTILE_ROWS, max_group_rows(df.sparkSession)):
         aggs = [
             F.percentile(c, F.lit(float(p))).alias(f"{c}_q{i}")
             for c in cols
             for i, p in enumerate(probs)
         ]
         return numbers.groupBy(*keys).agg(*aggs)
-    result = numbers.select(*keys).distinct() if keys else None
-    for c in cols:
-        for i, p in enumerate(probs):
-            one = _bracketed_quantile(numbers, c, float(p), keys, largest).withColumnRenamed(
-                "q", f"{c}_q{i}"
-            )
-            if result is None:
-                result = one
-            elif keys:
-                result = attach(result, one, keys)
-            else:
-                result = attach(result, one, ())
-    return result
+    return bracketed_quantiles(numbers, cols, [float(p) for p in probs], keys, largest)
 
 
-def _bracketed_quantile(
-    df: DataFrame, c: str, p: float, keys: Sequence[str], largest: int
+def bracketed_quantiles(
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], keys: Sequence[str], largest: int
 ) -> DataFrame:
+    """:func:`exact_quantiles` for groups of any size, in three passes for all columns together."""
     accuracy = max(10_000, min(1_000_000, int(largest**0.5)))
     eps = 2.0 / accuracy
-    values = df.where(F.col(c).isNotNull()).select(*keys, F.col(c).alias("_v"))
-    rows = F.count(F.lit(1))
-    # in small groups the sketch's error is not wider than the two ranks it must enclose
-    large = rows >= 2 * accuracy
-    low, high = F.min("_v"), F.max("_v")
-    if p > eps:
-        below = F.percentile_approx("_v", F.lit(p - eps), F.lit(accuracy))
-        low = F.when(large, below).otherwise(low)
-    if p < 1 - eps:
-        above = F.percentile_approx("_v", F.lit(p + eps), F.lit(accuracy))
-        high = F.when(large, above).otherwise(high)
-    bounds = values.groupBy(*keys).agg(low.alias("_lo"), high.alias("_hi"), rows.alias("_n"))
+    asked = [(c, p) for c in cols for p in probs]
+
+    def edge(c: str, p: float, at: float, extreme: Column) -> Column:
+        """An approximate quantile beyond ``p``, or the extreme value.
+
+        In small groups the sketch is not wider than the two ranks it must enclose.
+        """
+        if not 0.0 < at < 1.0:
+            return extreme
+        sketch = F.percentile_approx(c, F.lit(at), F.lit(accuracy))
+        return F.when(F.count(c) >= 2 * accuracy, sketch).otherwise(extreme)
+
+    bounds = df.groupBy(*keys).agg(
+        F.array(*[edge(c, p, p - eps, F.min(c)) for c, p in asked]).alias("_lo"),
+        F.array(*[edge(c, p, p + eps, F.max(c)) for c, p in asked]).alias("_hi"),
+        F.array(*[F.count(c) for c, _ in asked]).alias("_n"),
+    )
+    bounded = attach(df, bounds, keys)
+    below = bounded.groupBy(*keys).agg(
+        F.array(*[F.count_if(F.col(c) < F.col("_lo")[q]) for q, (c, _) in enumerate(asked)]).alias(
+            "_below"
+        )
+    )
+    candidates = F.array(
+        *[
+            F.struct(
+                F.lit(q).alias("_q"),
+                F.when(F.col(c).between(F.col("_lo")[q], F.col("_hi")[q]), F.col(c)).alias("_v"),
+            )
+            for q, (c, _) in enumerate(asked)
+        ]
+    )
     # equal values are counted before they are ranked, so heavy ties stay one row
-    counts = (
-        attach(values, bounds, keys)
-        .where(F.col("_v") <= F.col("_hi"))
-        .withColumn("_in", F.col("_v") >= F.col("_lo"))
-        .groupBy(*keys, "_in", F.when(F.col("_in"), F.col("_v")).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    inside = (
+        bounded.select(*keys, F.inline(F.filter(candidates, lambda s: s["_v"].isNotNull())))
+        .groupBy(*keys, "_q", "_v")
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
+    ranked = attach(attach(inside, bounds.select(*keys, "_n"), keys), below, keys)
     upto = (
-        Window.partitionBy(*keys)
-        .orderBy(F.col("_in"), F.col("_v"))
+        Window.partitionBy(*keys, "_q")
+        .orderBy("_v")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    rank = F.lit(p) * (F.col("_n") - 1)
-    ranked = counts.withColumn("_cum", F.sum("_c").over(upto)).where("_in")
-    ends = ranked.groupBy(*keys).agg(
-        F.min(F.when(F.col("_cum") > F.floor(rank), F.col("_v"))).alias("_v0"),
-        F.min(F.when(F.col("_cum") > F.ceil(rank), F.col("_v"))).alias("_v1"),
-        F.first(rank - F.floor(rank)).alias("_part"),
+    prob = F.array(*[F.lit(p) for _, p in asked])[F.col("_q")]
+    rank = prob * (F.col("_n")[F.col("_q")] - 1)
+    reached = F.sum("_c").over(upto) + F.col("_below")[F.col("_q")]
+    ends = (
+        ranked.withColumn("_cum", reached)
+        .withColumn("_rank", rank)
+        .groupBy(*keys, "_q")
+        .agg(
+            F.min(F.when(F.col("_cum") > F.floor("_rank"), F.col("_v"))).alias("_v0"),
+            F.min(F.when(F.col("_cum") > F.ceil("_rank"), F.col("_v"))).alias("_v1"),
+            F.first(F.col("_rank") - F.floor("_rank")).alias("_part"),
+        )
     )
-    return ends.select(
-        *keys, (F.col("_v0") + F.col("_part") * (F.col("_v1") - F.col("_v0"))).alias("q")
+    value = F.col("_v0") + F.col("_part") * (F.col("_v1") - F.col("_v0"))
+    names = [f"{c}_q{i}" for c in cols for i in range(len(probs))]
+    found = ends.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_q") == q, value)).alias(name) for q, name in enumerate(names)]
     )
+    return attach(bounds.select(*keys), found, keys) if keys else found
 
 
 def modes(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

@@ -21,6 +21,7 @@ TREES = 100
 SAMPLE = 256
 POOL = TREES * SAMPLE  # rows of one group that may enter any tree
 SCORE_ROWS = 100_000  # rows of one group scored by one task
+SCORE_BLOCK = 512  # rows taken through all trees at a time
 
 FOREST = (
     "tree int, sampled int, feature array<int>, threshold array<double>, left array<int>, "
@@ -60,6 +61,9 @@ def _draw(
     candidates = pool.select(*keys, id_col, *features, F.explode(hits).alias("tree")).withColumn(
         "u", _uniform(F.lit(seed), F.col("tree"), ident)
     )
+    # the partitions of this window are also those of the tree building
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    candidates = candidates.repartition(parts, *keys, "tree")
     order = Window.partitionBy(*keys, "tree").orderBy("u", id_col)
     return candidates.withColumn("rank", F.row_number().over(order)).where(
         F.col("rank") <= sample
@@ -112,26 +116,46 @@ def build_forest(
     return drawn.groupBy(*keys, "tree").applyInPandas(run, schema)
 
 
+def complete_tree(tree: dict, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tree with all leaves at ``depth``: children of slot i are 2i + 1 and 2i + 2.
+
+    An early leaf sends everything left until the bottom. Gives feature and threshold per
+    slot, and the path length per bottom slot.
+    """
+    slots = 2 ** (depth + 1) - 1
+    feature, cut, length = np.zeros(slots, np.int64), np.full(slots, np.inf), np.zeros(slots)
+    stack = [(0, 0, 0)]
+    while stack:
+        node, slot, level = stack.pop()
+        if tree["feature"][node] >= 0:
+            feature[slot], cut[slot] = tree["feature"][node], tree["threshold"][node]
+            stack.append((tree["left"][node], 2 * slot + 1, level + 1))
+            stack.append((tree["right"][node], 2 * slot + 2, level + 1))
+        else:
+            length[2 ** (depth - level) * (slot + 1) - 1] = tree["length"][node]
+    return feature, cut, length
+
+
 def path_scores(forest: Sequence[dict], x: np.ndarray) -> np.ndarray:
     """Minus the anomaly score of each row of ``x``: lower is more anomalous."""
-    total = np.zeros(len(x))
-    rows = np.arange(len(x))
-    for tree in forest:
-        feature, cut = np.asarray(tree["feature"]), np.asarray(tree["threshold"])
-        left, right = np.asarray(tree["left"]), np.asarray(tree["right"])
-        node = np.zeros(len(x), dtype=np.int64)
-        while True:
-            f = feature[node]
-            inner = f >= 0
-            if not inner.any():
-                break
-            goes_left = x[rows, np.maximum(f, 0)] <= cut[node]
-            node = np.where(inner, np.where(goes_left, left[node], right[node]), node)
-        total += np.asarray(tree["length"])[node]
-    scale = average_path(forest[0]["sampled"]) if len(forest) else 0.0
+    sampled = max((t["sampled"] for t in forest), default=0)
+    scale = float(average_path(sampled))
     if scale == 0:
         return np.full(len(x), -0.5)
-    return -np.power(2.0, -total / len(forest) / scale)
+    depth = int(np.ceil(np.log2(max(sampled, 2))))
+    trees = [complete_tree(t, depth) for t in forest]
+    feature, cut, length = (np.concatenate(part) for part in zip(*trees))
+    first = (np.arange(len(trees)) * len(trees[0][0]))[:, None]
+    total = np.empty(len(x))
+    for start in range(0, len(x), SCORE_BLOCK):
+        block = x[start : start + SCORE_BLOCK]
+        values, row = block.ravel(), np.arange(len(block)) * x.shape[1]
+        slot = np.zeros((len(trees), len(block)), dtype=np.int64)
+        for _ in range(depth):
+            at = slot + first
+            slot = 2 * slot + 1 + (values.take(feature.take(at) + row) > cut.take(at))
+        total[start : start + SCORE_BLOCK] = length.take(slot + first).sum(axis=0)
+    return -np.power(2.0, -total / len(trees) / scale)
 
 
 def isolation_scores(
@@ -174,8 +198,5 @@ def _score_groups(
         trees = right.sort_values("tree").to_dict("records")
         return left.assign(raw=path_scores(trees, left[list(features)].to_numpy(float)))
 
-    return (
-        rows.groupBy(*keys, "_task")
-        .cogroup(forests.groupBy(*keys, "_task"))
-        .applyInPandas(run, schema)
-    )
+    by = [*keys, "_task"]
+    return G.python_groups(rows, by).cogroup(G.python_groups(forests, by)).applyInPandas(run, schema)

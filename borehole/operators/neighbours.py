@@ -208,7 +208,8 @@ def nearest_places(
         return _edges(pdf, pdf, features, keys)
 
     if not trees:
-        edges = places.groupBy(*keys).applyInPandas(local, edge_schema)
+        groups = G.python_groups(places, keys) if keys else places.groupBy()
+        edges = groups.applyInPandas(local, edge_schema)
         return _cut_to_k(G.attach(edges, per_key_k, keys), keys)
 
     shared = places.sparkSession.sparkContext.broadcast(trees)
@@ -235,7 +236,8 @@ def nearest_places(
 
     homes = places.withColumn("_radius", F.lit(0.0)).withColumn("_home", F.lit(-1).cast("long"))
     homes = materialise(homes.mapInPandas(route, routed_schema).drop("_radius", "_home"), "homes")
-    first = materialise(homes.groupBy(*keys, "_leaf").applyInPandas(local, edge_schema), "edges")
+    first = G.python_groups(homes, [*keys, "_leaf"]).applyInPandas(local, edge_schema)
+    first = materialise(first, "edges")
     first = G.attach(first, per_key_k, keys)
 
     # a place that found enough neighbours at home knows how far the others can be
@@ -287,7 +289,7 @@ def _ask_leaves(
         return _edges(left, right, features, keys)
 
     by = [*at, "_task"]
-    return queries.groupBy(*by).cogroup(others.groupBy(*by)).applyInPandas(run, schema)
+    return G.python_groups(queries, by).cogroup(G.python_groups(others, by)).applyInPandas(run, schema)
 
 
 # --- outlier factor ---------------------------------------------------------------------

@@ -237,15 +237,14 @@ def fit_holt_winters(
     schema = _piece_schema(df, keys)
     needed = [*keys, "_pos", "y", "piece", "period", "n_train", "_n"]
     fits = (
-        train.select(*needed).groupBy(*keys, "piece").applyInPandas(_summarise(keys), schema)
-    )
+        G.python_groups(train.select(*needed), [*keys, "piece"])
+        .applyInPandas(_summarise(keys), schema)
+    )
     pieces = -(-rows.largest // piece_rows)
     while pieces > 1:
-        fits = (
-            fits.withColumn("_to", F.floor(F.col("piece") / FAN_IN))
-            .groupBy(*keys, "alpha", "beta", "gamma", "_to")
-            .applyInPandas(_combine(schema.names), schema)
-        )
+        fits = fits.withColumn("_to", F.floor(F.col("piece") / FAN_IN))
+        groups = G.python_groups(fits, [*keys, "alpha", "beta", "gamma", "_to"])
+        fits = groups.applyInPandas(_combine(schema.names), schema)
         pieces = -(-pieces // FAN_IN)
     sse = F.col("squares")[0]
     params = [F.col(c) for c in ("alpha", "beta", "gamma")]

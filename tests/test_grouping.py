@@ -73,7 +73,7 @@ def test_bracket_of_a_large_group_encloses_the_quantile(spark):
     )
     pdf = df.toPandas()
     for p in (0.1, 0.25, 0.5, 0.999):
-        got = G._bracketed_quantile(df, "v", p, (), 60_000).first()["q"]
+        got = G.bracketed_quantiles(df, ["v"], [p], (), 60_000).first()["v_q0"]
         assert got == pytest.approx(np.quantile(pdf["v"], p), abs=1e-12)
 
 
