@@ -21,7 +21,7 @@ from borehole.session import materialise
 
 MAX_GROUP_ROWS = "spark.borehole.maxGroupRows"
 DEFAULT_MAX_GROUP_ROWS = 2_000_000
-PERCENTILE_ROWS = 100_000  # rows of a group whose distinct values may all be kept in memory
+PERCENTILE_CELLS = 1_000_000  # values of a group that may all be kept in memory by one task
 SPREAD_ROWS = 5_000_000
 
 
@@ -58,11 +58,17 @@ def python_groups(df: DataFrame, cols: Sequence[str]) -> GroupedData:
     return df.repartition(parts, *cols).groupBy(*cols)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A small table in one file split is dealt out to all cores; a large one has splits enough."""
-    if df.count() > SPREAD_ROWS:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+def spread(df: DataFrame, label: str) -> DataFrame:
+    """A stored copy for several passes.
+
+    A small table often comes from one file split and would stay one task in every pass, so
+    it is dealt out to all cores; a large one has splits enough.
+    """
+    stored = materialise(df, label)
+    if stored.count() > SPREAD_ROWS:  # from the file footers
+        return stored
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return materialise(stored.repartition(cores), label)
 
 
 def same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
@@ -214,7 +220,8 @@ def exact_quantiles(
     """
     numbers = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
     largest = largest_group(df, keys)
-    if largest <= min(PERCENTILE_ROWS, max_group_rows(df.sparkSession)):
+    small = largest <= max_group_rows(df.sparkSession)
+    if small and largest * len(cols) <= PERCENTILE_CELLS:
         aggs = [
             F.percentile(c, F.lit(float(p))).alias(f"{c}_q{i}")
             for c in cols
@@ -228,24 +235,41 @@ def bracketed_quantiles(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float], keys: Sequence[str], largest: int
 ) -> DataFrame:
     """:func:`exact_quantiles` for groups of any size, in three passes for all columns together."""
-    accuracy = max(10_000, min(1_000_000, int(largest**0.5)))
+    accuracy = max(1_000, min(1_000_000, int(largest**0.5)))
     eps = 2.0 / accuracy
     asked = [(c, p) for c in cols for p in probs]
-
-    def edge(c: str, p: float, at: float, extreme: Column) -> Column:
-        """An approximate quantile beyond ``p``, or the extreme value.
+    marks = [min(max(p + side, 0.0), 1.0) for p in probs for side in (-eps, eps)]
+    sketches = [
+        F.percentile_approx(c, F.lit(marks), F.lit(accuracy)).alias(f"_s{i}")
+        for i, c in enumerate(cols)
+    ]
+    extremes = [
+        f(c).alias(f"_{name}{i}")
+        for i, c in enumerate(cols)
+        for name, f in (("min", F.min), ("max", F.max), ("n", F.count))
+    ]
+
+    def edge(q: int, high: bool) -> Column:
+        """An approximate quantile just beyond the asked one, or the extreme value.
 
         In small groups the sketch is not wider than the two ranks it must enclose.
         """
-        if not 0.0 < at < 1.0:
+        i, mark = q // len(probs), 2 * (q % len(probs)) + high
+        extreme = F.col(f"_max{i}" if high else f"_min{i}")
+        if marks[mark] in (0.0, 1.0):
             return extreme
-        sketch = F.percentile_approx(c, F.lit(at), F.lit(accuracy))
-        return F.when(F.count(c) >= 2 * accuracy, sketch).otherwise(extreme)
+        enough = F.col(f"_n{i}") >= 2 * accuracy
+        return F.when(enough, F.col(f"_s{i}")[mark]).otherwise(extreme)
 
-    bounds = df.groupBy(*keys).agg(
-        F.array(*[edge(c, p, p - eps, F.min(c)) for c, p in asked]).alias("_lo"),
-        F.array(*[edge(c, p, p + eps, F.max(c)) for c, p in asked]).alias("_hi"),
-        F.array(*[F.count(c) for c, _ in asked]).alias("_n"),
+    bounds = (
+        df.groupBy(*keys)
+        .agg(*sketches, *extremes)
+        .select(
+            *keys,
+            F.array(*[edge(q, False) for q in range(len(asked))]).alias("_lo"),
+            F.array(*[edge(q, True) for q in range(len(asked))]).alias("_hi"),
+            F.array(*[F.col(f"_n{q // len(probs)}") for q in range(len(asked))]).alias("_n"),
+        )
     )
     bounded = attach(df, bounds, keys)
     below = bounded.groupBy(*keys).agg(
@@ -258,24 +282,26 @@ def bracketed_quantiles(
             F.struct(
                 F.lit(q).alias("_q"),
                 F.when(F.col(c).between(F.col("_lo")[q], F.col("_hi")[q]), F.col(c)).alias("_v"),
+                F.col("_n")[q].alias("_rows"),
             )
             for q, (c, _) in enumerate(asked)
         ]
     )
     # equal values are counted before they are ranked, so heavy ties stay one row
     inside = (
-        bounded.select(*keys, F.inline(F.filter(candidates, lambda s: s["_v"].isNotNull())))
+        bounded.select(*keys, F.inline(candidates))
+        .where(F.col("_v").isNotNull())
         .groupBy(*keys, "_q", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.first("_rows").alias("_rows"))
     )
-    ranked = attach(attach(inside, bounds.select(*keys, "_n"), keys), below, keys)
+    ranked = attach(inside, below, keys)
     upto = (
         Window.partitionBy(*keys, "_q")
         .orderBy("_v")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     prob = F.array(*[F.lit(p) for _, p in asked])[F.col("_q")]
-    rank = prob * (F.col("_n")[F.col("_q")] - 1)
+    rank = prob * (F.col("_rows") - 1)
     reached = F.sum("_c").over(upto) + F.col("_below")[F.col("_q")]
     ends = (
         ranked.withColumn("_cum", reached)
