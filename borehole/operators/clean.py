@@ -58,6 +58,41 @@ def drop_sparse_columns(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     return df.select(*[F.col(c) for c in df.columns if nulls[c] <= threshold * rows])
 
 
+BOOLEAN_TEXTS = ("True", "TRUE", "true", "False", "FALSE", "false")
+
+
+def _cell_counts(df: DataFrame) -> dict[str, dict[str, int]]:
+    """Per column: rows, non-null cells and, for texts, cells of each kind. One pass."""
+    aggs: list[Column] = [F.count(F.lit(1)).alias("rows")]
+    texts = P.text_columns(df)
+    for i, c in enumerate(df.columns):
+        aggs.append(F.count(F.col(c)).alias(f"present{i}"))
+        if c in texts:
+            aggs += [
+                F.count(P.try_number(df, c)).alias(f"number{i}"),
+                F.count_if(F.col(c).rlike(P.INTEGER)).alias(f"integer{i}"),
+                F.count_if(F.col(c).isin(*BOOLEAN_TEXTS)).alias(f"boolean{i}"),
+            ]
+    row = df.agg(*aggs).first().asDict()
+    kinds = ("present", "number", "integer", "boolean")
+    return {
+        c: {"rows": row["rows"]} | {k: row.get(f"{k}{i}", 0) for k in kinds}
+        for i, c in enumerate(df.columns)
+    }
+
+
+def _numeric_cast(df: DataFrame, c: str, n: dict[str, int], inferred: bool) -> Column:
+    """The column as the type its cells speak for."""
+    rows, present, numbers = n["rows"], n["present"], n["number"]
+    if inferred and rows and n["integer"] == rows:
+        return F.trim(c).cast("long").alias(c)
+    if inferred and rows and n["boolean"] == rows:
+        return (F.lower(c) == "true").alias(c)
+    if numbers > 0.5 * rows or (inferred and present and numbers == present):
+        return P.try_number(df, c).alias(c)
+    return F.col(c)
+
+
 def coerce_numeric(df: DataFrame, inferred: bool = False) -> DataFrame:
     """Text columns become double when more than half of all rows are numbers.
 
@@ -68,28 +103,10 @@ def coerce_numeric(df: DataFrame, inferred: bool = False) -> DataFrame:
     texts = P.text_columns(df)
     if not texts:
         return df
-    aggs: list[Column] = [F.count(F.lit(1)).alias("rows")]
-    for i, c in enumerate(texts):
-        aggs += [
-            F.count(c).alias(f"present{i}"),
-            F.count(P.try_number(df, c)).alias(f"number{i}"),
-            F.count_if(F.col(c).rlike(P.INTEGER)).alias(f"integer{i}"),
-            F.count_if(F.col(c).isin("True", "TRUE", "true", "False", "FALSE", "false")).alias(
-                f"bool{i}"
-            ),
-        ]
-    row = df.agg(*aggs).first()
-    rows = row["rows"]
-    casts: dict[str, Column] = {}
-    for i, c in enumerate(texts):
-        present, numbers = row[f"present{i}"], row[f"number{i}"]
-        if inferred and rows and row[f"integer{i}"] == rows:
-            casts[c] = F.trim(c).cast("long")
-        elif inferred and rows and row[f"bool{i}"] == rows:
-            casts[c] = F.lower(c) == "true"
-        elif numbers > 0.5 * rows or (inferred and present and numbers == present):
-            casts[c] = P.try_number(df, c)
-    return df.select(*[casts[c].alias(c) if c in casts else F.col(c) for c in df.columns])
+    counts = _cell_counts(df.select(*texts))
+    return df.select(
+        *[_numeric_cast(df, c, counts[c], inferred) if c in counts else F.col(c) for c in df.columns]
+    )
 
 
 def date_like_columns(df: DataFrame, order_by: Sequence[str] = ()) -> list[str]:
@@ -121,9 +138,20 @@ def coerce_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def tidy(df: DataFrame, order_by: Sequence[str] = (), inferred: bool = False) -> DataFrame:
-    """The whole cleaning pass over a freshly read table."""
-    df = drop_empty_columns(drop_empty_rows(clean_column_names(P.clean_nans(df))))
-    df = coerce_numeric(df, inferred)
+    """The whole cleaning pass over a freshly read table.
+
+    Empty columns and numeric columns are found in the same pass over the data.
+    """
+    df = drop_empty_rows(clean_column_names(P.clean_nans(df)))
+    counts = _cell_counts(df)
+    texts = P.text_columns(df)
+    df = df.select(
+        *[
+            _numeric_cast(df, c, counts[c], inferred) if c in texts else F.col(c)
+            for c in df.columns
+            if counts[c]["present"]
+        ]
+    )
     return coerce_dates(df, date_like_columns(df, order_by))
 
 

@@ -56,11 +56,7 @@ def validate_dataset(df: DataFrame, min_rows: int = 1, min_cols: int = 1) -> Dat
     check = "dataset"
     rows = F.col("rows")
     nulls = [F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)]
-    one = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_distinct(F.struct(*df.columns)).alias("different"),
-        *nulls,
-    )
+    one = df.agg(F.count(F.lit(1)).alias("rows"), *nulls)
     n_cols = len(df.columns)
     entries = [
         _entry(check, None, "empty", severity=ERROR, keep=rows == 0),
@@ -79,14 +75,15 @@ def validate_dataset(df: DataFrame, min_rows: int = 1, min_cols: int = 1) -> Dat
                    keep=(rows > 0) & (F.col(f"n{i}") == rows)),
             _entry(check, c, "over_half_missing", share, severity=WARNING, keep=share > 50),
         ]
-    copies = rows - F.col("different")
     entries += [
-        _entry(check, None, "duplicate_rows", copies,
-               severity=F.when(copies > 0, F.lit(WARNING)).otherwise(F.lit(INFO))),
-        *[_entry(check, None, "dtype_columns", float(n), detail=t)
-          for t, n in sorted(_dtype_counts(df).items())],
-    ]
-    return _unfold(one, entries)
+        _entry(check, None, "dtype_columns", float(n), detail=t)
+        for t, n in sorted(_dtype_counts(df).items())
+    ]
+    # apart from the counts above: rows must be shuffled to be compared, and would carry them
+    copies = F.col("duplicate_rows")
+    severity = F.when(copies > 0, F.lit(WARNING)).otherwise(F.lit(INFO))
+    repeated = _entry(check, None, "duplicate_rows", copies, severity=severity)
+    return _unfold(one, entries).unionAll(_unfold(duplicate_rows(df), [repeated]))
 
 
 def missing_stats(df: DataFrame) -> DataFrame:

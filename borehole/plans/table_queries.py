@@ -11,13 +11,10 @@ from borehole.plans import views as V
 from borehole.plans.registry import query
 
 
-@query("select n_nationkey, n_name, n_regionkey from nation")
+@query("select l_orderkey, l_linenumber, l_quantity from lineitem")
 def clean_column_names(spark, sf):
-    df = V.table(spark, sf, "nation").toDF(" n nationkey ", "n_name($)", "n-_regionkey")
-    return C.clean_column_names(df)
-
-
-EMPTY_ROWS = "case when c_custkey % 4 = 1 then null else {} end"
+    df = V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return C.clean_column_names(df.toDF(" l orderkey ", "l_linenumber($)", "l-_quantity"))
 
 
 @query("""select c_acctbal as a, c_mktsegment as b from customer where c_custkey % 4 <> 1""")
@@ -125,13 +122,19 @@ def missing_percentage(spark, sf):
     return V.rounded(C.missing_percentage(V.gappy_customers(spark, sf)))
 
 
-@query("""select * from (values ('l_orderkey', 'bigint'), ('l_partkey', 'bigint'),
-  ('l_suppkey', 'bigint'), ('l_linenumber', 'int'), ('l_quantity', 'double'),
-  ('l_extendedprice', 'double'), ('l_discount', 'double'), ('l_tax', 'double'),
-  ('l_returnflag', 'string'), ('l_linestatus', 'string'), ('l_shipdate', 'timestamp_ntz'))
-  t(column_name, dtype)""")
+TYPED = """(values ('id', 'bigint'), ('segment', 'string'), ('balance', 'double'),
+  ('nation', 'double'), ('seen', 'timestamp_ntz'), ('sparse', 'double')) t(column_name, dtype)"""
+
+
+@query(f"""with {V.GAPPY}, counts as ({" union all ".join(f"""
+  select '{c}' as column_name, count(*) - count({c}) as missing from gappy"""
+  for c in ("id", "segment", "balance", "nation", "seen", "sparse"))})
+select column_name, dtype, missing from counts join {TYPED} using (column_name)""")
 def column_types(spark, sf):
-    return C.column_types(V.table(spark, sf, "lineitem"))
+    """Every column with its type and missing values."""
+    df = V.gappy_customers(spark, sf)
+    missing = Q.missing_stats(df).select("column_name", F.col("count").alias("missing"))
+    return C.column_types(df).join(missing, "column_name")
 
 
 # --- missing values ---------------------------------------------------------------------
@@ -328,20 +331,32 @@ def duplicate_rows(spark, sf):
     )
 
 
-@query("""select * from (values ('bigint', 3::bigint), ('int', 1), ('double', 4), ('string', 2),
-  ('timestamp_ntz', 1)) t(dtype, columns)""")
+@query("""select dtype, columns, n as rows from (values ('bigint', 3::bigint), ('int', 1),
+  ('double', 4), ('string', 2), ('timestamp_ntz', 1)) t(dtype, columns),
+  (select count(*) as n from lineitem)""")
 def dtype_histogram(spark, sf):
-    return Q.dtype_histogram(V.table(spark, sf, "lineitem"))
-
-
-@query("""select 'columns' as check, column_name, metric, null::double as value, null::varchar as detail,
-  severity from (values
-    ('r_size', 'missing_required', 'error'), ('r_note', 'missing_optional', 'warning'),
-    ('r_name', 'extra', 'info'), ('r_regionkey', 'found', 'info'), ('r_name', 'found', 'info'),
-    ('r_regionkey', 'required_found', 'info')) t(column_name, metric, severity)""")
+    df = V.table(spark, sf, "lineitem")
+    return Q.dtype_histogram(df).withColumn("rows", F.lit(df.count()))
+
+
+@query("""select 'columns' as check, column_name, metric, null::double as value,
+  null::varchar as detail, severity from (values
+    ('c_size', 'missing_required', 'error'), ('c_note', 'missing_optional', 'warning'),
+    ('c_acctbal', 'extra', 'info'), ('c_custkey', 'found', 'info'), ('c_acctbal', 'found', 'info'),
+    ('c_custkey', 'required_found', 'info')) t(column_name, metric, severity)
+union all select 'numeric', 'c_custkey', unnest(['missing_count', 'min', 'max', 'mean', 'std',
+    'unique_values']), unnest([count(*) - count(c_custkey), min(c_custkey), max(c_custkey),
+    round(avg(c_custkey), 4), round(stddev_samp(c_custkey), 4), count(distinct c_custkey)]), null,
+  'info' from customer
+union all select 'numeric', 'c_custkey', 'data_type', null, 'bigint', 'info'""")
 def validate_columns(spark, sf):
-    df = V.table(spark, sf, "region")
-    return Q.validate_columns(df, ["r_regionkey", "r_size"], ["r_note"])
+    """Which expected columns are there, and what is in those that are."""
+    df = V.table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    required = ["c_custkey", "c_size"]
+    there = [c for c in required if c in df.columns]
+    return _union([
+        Q.validate_columns(df, required, ["c_note"]), Q.validate_numeric_columns(df, there)
+    ])
 
 
 @query(f"""with {V.TEXTS}, {V.GAPPY}, n as (

@@ -121,7 +121,8 @@ def register_dataset(df: DataFrame, dataset_id: str, folder: str) -> C.Profile:
         .partitionBy("dataset_id")
         .parquet(folder)
     )
-    return C.detect_dataset_type(df)
+    stored = df.sparkSession.read.parquet(f"{folder.rstrip('/')}/dataset_id={dataset_id}")
+    return C.detect_dataset_type(stored)
 
 
 def load_datasets(
