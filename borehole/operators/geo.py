@@ -220,7 +220,8 @@ def similar_stations(
                 "value_similarity", "combined_score")
     )
     order = [F.col("combined_score").desc_nulls_last(), F.col("station_id")]
-    return G.top_per_group(scored, ["target_id"], order, k)
+    # one target needs no groups: each task then keeps its best k in a heap instead of sorting
+    return G.top_per_group(scored, ["target_id"] if len(found) > 1 else [], order, k)
 
 
 def idw_heatmap(
