@@ -16,6 +16,7 @@ from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from borehole.session import materialise
 
@@ -85,11 +86,8 @@ def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     if not keys:
         row = per_key.first()
-        types = dict(zip(per_key.columns, [f.dataType for f in per_key.schema]))
-        return df.select(
-            "*",
-            *[F.lit(row[c] if row else None).cast(types[c]).alias(c) for c in per_key.columns],
-        )
+        values = row.asDict() if row else {}
+        return df.select("*", *[_literal(values.get(f.name), f) for f in per_key.schema])
     added = [c for c in per_key.columns if c not in keys]
     return (
         df.alias("l")
@@ -98,6 +96,13 @@ def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _literal(value, field: T.StructField) -> Column:
+    """A collected value as a column of its own type."""
+    if isinstance(field.dataType, T.TimestampNTZType) and value is not None:
+        value = value.isoformat(sep=" ")  # as a datetime it would pass through a time zone
+    return F.lit(value).cast(field.dataType).alias(field.name)
+
+
 @dataclass(frozen=True)
 class Ordered:
     """Rows with their place in their group.

@@ -9,6 +9,7 @@ same place are one weighted place, so copies cost nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,8 @@ from borehole.operators import grouping as G
 from borehole.session import materialise
 
 LEAF_ROWS = 2_000
-MAX_LEAVES = 16_384  # bounds the tree every task gets; leaves grow beyond
-SAMPLE_PER_LEAF = 64
+MAX_LEAVES = 131_072  # bounds the tree every task gets to about 10 MB; leaves grow beyond
+SAMPLE_PER_LEAF = 16
 QUERY_ROWS = 20_000  # second-round questions to one leaf per task
 DIGITS = 9  # distances equal to this many digits are ties, broken by id
 SMALLEST_K, LARGEST_K, K_SHARE = 5, 50, 0.05
@@ -207,11 +208,6 @@ def nearest_places(
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         return _edges(pdf, pdf, features, keys)
 
-    if not trees:
-        groups = G.python_groups(places, keys) if keys else places.groupBy()
-        edges = groups.applyInPandas(local, edge_schema)
-        return _cut_to_k(G.attach(edges, per_key_k, keys), keys)
-
     shared = places.sparkSession.sparkContext.broadcast(trees)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -299,24 +295,76 @@ def lof_scores(
     df: DataFrame, features: Sequence[str], id_col: str, keys: Sequence[str] = (),
     leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
-    """Every row with ``raw``, minus its local outlier factor. Features must not be null."""
+    """Every row with ``raw``, minus its local outlier factor. Features must not be null.
+
+    A group of no more than ``leaf_rows`` places is scored by one task; many such groups take
+    one shuffle together. Larger groups are spread over leaves.
+    """
     exact = df.select(
         *[(F.col(c) + F.lit(0.0)).alias(c) if c in features else F.col(c) for c in df.columns]
     )  # no negative zeros: they would group apart
     places = exact.groupBy(*keys, *features).agg(
         F.min(id_col).alias("_place"), F.count(F.lit(1)).alias("_mult")
     )
-    sizes = exact.groupBy(*keys).agg(neighbour_count(F.count(F.lit(1))).alias("_k"))
-    if sizes.agg(F.min("_k")).first()[0] < 2:
+    places = materialise(places, "places")
+    sizes = places.groupBy(*keys).agg(
+        neighbour_count(F.sum("_mult")).alias("_k"), F.count(F.lit(1)).alias("_places")
+    )
+    limits = sizes.agg(F.min("_k").alias("k"), F.min("_places").alias("low"),
+                       F.max("_places").alias("high")).first()
+    if limits["k"] is None or limits["k"] < 2:
         raise ValueError("not enough samples for a local outlier factor")
-    places = materialise(G.attach(places, sizes, keys), "places")
+    sized = G.attach(places, sizes, keys)
+    small, large = F.col("_places") <= leaf_rows, F.col("_places") > leaf_rows
+    found = []
+    if limits["low"] <= leaf_rows:
+        found.append(_small_groups(sized.where(small).drop("_places"), features, keys))
+    if limits["high"] > leaf_rows:
+        one = materialise(sized.where(large).drop("_places"), "places")
+        found.append(_large_groups(one, features, keys, leaf_rows))
+    by_place = reduce(DataFrame.unionByName, found)
+    return G.attach(exact, by_place, [*keys, *features])
+
+
+def _small_groups(
+    places: DataFrame, features: Sequence[str], keys: Sequence[str]
+) -> DataFrame:
+    """``keys, features, raw`` of groups that fit one task."""
+    kept = [places.schema[c] for c in (*keys, *features)]
+    schema = T.StructType([*kept, T.StructField("raw", T.DoubleType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_place", ignore_index=True)
+        k, mult, n = int(pdf["_k"].iloc[0]), pdf["_mult"].to_numpy(), len(pdf)
+        # edges come by place and by (distance, id) within a place
+        q, o, d = _nearest(pdf, pdf, features, k)
+        before = np.cumsum(mult[o]) - mult[o]
+        start = np.searchsorted(q, np.arange(n))
+        before = before - np.append(before, 0)[start][q]
+        own = np.minimum(mult - 1, k)
+        take = np.clip(np.minimum(mult[o], (k - own)[q] - before), 0, None)
+        kdist = np.zeros(n)
+        np.maximum.at(kdist, q, np.where(take > 0, d, 0.0))
+        reach = np.bincount(q, take * np.maximum(kdist[o], d), n) + own * kdist
+        lrd = 1 / (reach / k + TINY)
+        around = np.bincount(q, take * lrd[o], n) + own * lrd
+        return pdf[[*keys, *features]].assign(raw=-around / k / lrd)
+
+    groups = G.python_groups(places, keys) if keys else places.groupBy()
+    return groups.applyInPandas(run, schema)
+
+
+def _large_groups(
+    places: DataFrame, features: Sequence[str], keys: Sequence[str], leaf_rows: int
+) -> DataFrame:
+    """``keys, features, raw`` by joins along the neighbour edges."""
     edges = materialise(nearest_places(places, features, keys, leaf_rows), "neighbours")
 
     own = F.least(F.col("_mult") - 1, F.col("_k"))
     at_q = [*keys, "_place"]
     reach = edges.groupBy(*keys, F.col("_q").alias("_place")).agg(F.max("_d").alias("_kdist"))
     with_k = G.attach(places, reach, at_q).withColumn("_kdist", F.coalesce("_kdist", F.lit(0.0)))
-    with_k = materialise(with_k.select(*keys, "_place", "_mult", "_k", "_kdist"), "_reach")
+    with_k = materialise(with_k.select(*keys, "_place", "_mult", "_k", "_kdist"), "reach")
 
     far = with_k.select(*keys, F.col("_place").alias("_o"), F.col("_kdist").alias("_o_kdist"))
     sums = (
@@ -337,5 +385,5 @@ def lof_scores(
     )
     factor = (F.coalesce("_around", F.lit(0.0)) + own * F.col("_lrd")) / F.col("_k") / F.col("_lrd")
     by_place = G.attach(density, totals, at_q).withColumn("raw", -factor)
-    by_place = G.attach(places, by_place.select(*at_q, "raw"), at_q)
-    return G.attach(exact, by_place.select(*keys, *features, "raw"), [*keys, *features])
+    scored = G.attach(places, by_place.select(*at_q, "raw"), at_q)
+    return scored.select(*keys, *features, "raw")
