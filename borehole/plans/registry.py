@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from borehole.session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -18,9 +21,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         if fn.__name__ in QUERIES:
             raise ValueError(f"query {fn.__name__} is registered twice")
-        QUERIES[fn.__name__] = fn
+
+        @wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf)
+
+        QUERIES[fn.__name__] = run
         if sql:
             ORACLES[fn.__name__] = sql
-        return fn
+        return run
 
     return register

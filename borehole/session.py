@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +30,35 @@ def local_session(cores: int | str = "*", app: str = "borehole") -> SparkSession
     )
 
 
+@cache
+def _package_archive() -> str:
+    """This package as a zip file; the driver serves it, so a driver-local file is enough."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="borehole-package-"), "borehole.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(root)))
+    return target
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers of this application the package, once.
+
+    Functions run by workers are found by import there. A job submitted with ``--py-files``
+    does not need this.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        context.addPyFile(_package_archive())
+        _SHIPPED.add(context.applicationId)
+
+
 @cache
 def _local_scratch() -> str:
     return tempfile.mkdtemp(prefix="borehole-")
