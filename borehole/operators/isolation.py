@@ -54,12 +54,13 @@ def _draw(
     )
     # twice as many candidates as a tree takes, then the exact number of smallest hashes
     share = 2.0 * sample / F.least(F.col("_rows"), F.lit(trees * sample))
-    hits = F.filter(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: _uniform(F.lit(seed), t, ident) < share,
-    )
-    candidates = pool.select(*keys, id_col, *features, F.explode(hits).alias("tree")).withColumn(
-        "u", _uniform(F.lit(seed), F.col("tree"), ident)
+    every_tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
+    candidates = (
+        pool.withColumn("_share", share)
+        .select(*keys, id_col, *features, "_share", every_tree.alias("tree"))
+        .withColumn("u", _uniform(F.lit(seed), F.col("tree"), ident))
+        .where(F.col("u") < F.col("_share"))
+        .drop("_share")
     )
     # the partitions of this window are also those of the tree building
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -140,7 +140,7 @@ def _nearest(
     """For each query its ``k`` nearest others by (distance, id): positions and distances."""
     others_x = others[list(features)].to_numpy(float)
     x = queries[list(features)].to_numpy(float)
-    same = queries["_place"].to_numpy()[:, None]
+    ids, own = others["_place"].to_numpy(), queries["_place"].to_numpy()
     keep = min(k + 1, len(others))  # one more: the query itself may be among them
     block = max(1, 4_000_000 // max(len(others), 1))
     rows, cols, dist = [], [], []
@@ -149,15 +149,19 @@ def _nearest(
         d2 = np.zeros((len(part), len(others)))
         for j in range(x.shape[1]):
             d2 += (part[:, j, None] - others_x[None, :, j]) ** 2
-        d = np.round(np.sqrt(d2), DIGITS)
-        # others are sorted by id, so a stable sort breaks ties by id
-        nearest = np.argsort(d, axis=1, kind="stable")[:, :keep]
-        taken = np.take_along_axis(d, nearest, axis=1)
-        is_self = others["_place"].to_numpy()[nearest] == same[start : start + block]
-        r, c = np.nonzero(~is_self & (np.cumsum(~is_self, axis=1) <= k))
-        rows.append(r + start)
-        cols.append(nearest[r, c])
-        dist.append(taken[r, c])
+        # all that may tie with the last one wanted, then in order of (distance, id)
+        last = np.sqrt(np.partition(d2, keep - 1, axis=1)[:, keep - 1]) + 2 * 10.0**-DIGITS
+        r, c = np.nonzero(d2 <= (last * last)[:, None])
+        d = np.round(np.sqrt(d2[r, c]), DIGITS)
+        order = np.lexsort((c, d, r))
+        r, c, d = r[order], c[order], d[order]
+        other = ids[c] != own[start + r]
+        r, c, d = r[other], c[other], d[other]
+        first = np.searchsorted(r, np.arange(len(part)))
+        nearest = np.arange(len(r)) - first[r] < k
+        rows.append(r[nearest] + start)
+        cols.append(c[nearest])
+        dist.append(d[nearest])
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
 
 
