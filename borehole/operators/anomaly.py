@@ -92,8 +92,9 @@ def detect(
     if method not in METHODS:
         raise ValueError(f"unknown method: {method}")
     features = choose_features(df, features, [id_col, *keys])
-    # read by the medians, the scaling, the fit and the scoring
-    rows = G.spread(df.select(*keys, id_col, *features), "features")
+    # read by the medians, the scaling, the fit and, row by row in Python, a forest's scoring
+    store = G.spread if method == "isolation_forest" else materialise
+    rows = store(df.select(*keys, id_col, *features), "features")
     inner = {c: f"x{i}" for i, c in enumerate(features)}
     both = rows.select("*", *[P.try_number(rows, c).alias(x) for c, x in inner.items()])
     ready = prepared_features(both, list(inner.values()), keys, scale)

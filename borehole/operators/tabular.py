@@ -214,7 +214,7 @@ def train_and_predict(
     task = choose_task(known, target, task)
     stratify = [target] if task == CLASSIFICATION else []
     # read by the feature fit, the forest and the metrics
-    rows = materialise(train_test_split(known, id_col, test_size, seed, stratify), "split")
+    rows = G.spread(train_test_split(known, id_col, test_size, seed, stratify), "split")
     features = fit_features(rows, [id_col, target, "is_test"], include_ids)
     train = rows.where(~F.col("is_test"))
     model, found = fit_forest(train, target, task, features, seed, max_depth, trees)

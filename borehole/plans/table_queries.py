@@ -336,7 +336,7 @@ def duplicate_rows(spark, sf):
   (select count(*) as n from lineitem)""")
 def dtype_histogram(spark, sf):
     df = V.table(spark, sf, "lineitem")
-    return Q.dtype_histogram(df).withColumn("rows", F.lit(df.count()))
+    return Q.dtype_histogram(df).withColumn("rows", F.lit(df.count()).cast("long"))
 
 
 @query("""select 'columns' as check, column_name, metric, null::double as value,
