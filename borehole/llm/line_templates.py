@@ -15,42 +15,37 @@ lines. Extra columns are not returned.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from borehole.session import materialise
+
 DEPTH = 2
 CONSTANT = 4
 MIN_DOCS = 3
 FIELD = "<*>"
-
-
-def templates(line: Column) -> Column:
-    """The templates of a line as strings: kind, number of tokens, then the tokens."""
-    tokens = F.transform(F.split(line, r"\s+"), lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
-    n = F.size(tokens)
-    half = F.ceil(n / F.lit(2)).cast("int")
-
-    def named(kind: str, part: Column) -> Column:
-        return F.concat_ws(" ", F.lit(kind), n.cast("string"), F.array_join(part, " "))
-
-    head = named("head", F.slice(tokens, F.lit(1), half))
-    tail = named(
-        "tail", F.concat(F.slice(tokens, 1, DEPTH), F.slice(tokens, half + 1, F.greatest(n - half, F.lit(0))))
-    )
-    whole = named("line", tokens)
-    return F.when(n >= 2 * CONSTANT, F.array(whole, head, tail)).otherwise(F.array(whole))
+WHITE = " \t\n\x0b\f\r"
 
 
 def line_keys(docs: DataFrame) -> DataFrame:
-    """``doc_id, pos, template``: 64-bit hashes of the templates of all lines that aren't blank."""
+    """``doc_id, pos, template``: 64-bit hashes of the templates of all lines that aren't blank.
+
+    Every step is a projection of its own, so that no line is cut twice.
+    """
     lines = docs.where("doc_id is not null").select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")
     )
-    trimmed = F.regexp_replace("line", r"^\s+|\s+$", "")
-    lines = lines.select("doc_id", "pos", trimmed.alias("line")).where("line <> ''")
-    return lines.select("doc_id", "pos", F.explode(templates(F.col("line"))).alias("t")).select(
-        "doc_id", "pos", F.xxhash64("t").alias("template")
-    )
+    lines = lines.select("doc_id", "pos", F.btrim("line", F.lit(WHITE)).alias("line")).where("line <> ''")
+    fields = F.regexp_replace("line", r"\S*[0-9]\S*", FIELD)
+    lines = lines.select("doc_id", "pos", F.when(F.col("line").rlike("[0-9]"), fields).otherwise(F.col("line")).alias("line"))
+    lines = lines.select("doc_id", "pos", F.split("line", r"\s+").alias("tokens"))
+    n = F.size("tokens")
+    half = F.ceil(n / F.lit(2)).cast("int")
+    whole = F.xxhash64(F.lit("line"), n, "tokens")
+    head = F.xxhash64(F.lit("head"), n, F.slice("tokens", F.lit(1), half))
+    tail = F.xxhash64(F.lit("tail"), n, F.slice("tokens", 1, DEPTH), F.slice("tokens", half + 1, n - half))
+    keys = F.when(n >= 2 * CONSTANT, F.array(whole, head, tail)).otherwise(F.array(whole))
+    return lines.select("doc_id", "pos", F.explode(keys).alias("template"))
 
 
 def drop_recurring_lines(
@@ -58,7 +53,7 @@ def drop_recurring_lines(
 ) -> DataFrame:
     """``doc_id, n_lines, n_dropped, text``: every document without its recurring lines."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keys = line_keys(texts)
+    keys = materialise(line_keys(texts), "templates")
     found = (
         keys.select("template", "doc_id").distinct().groupBy("template")
         .agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
