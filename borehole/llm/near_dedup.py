@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from borehole.llm.cleanup import release
 from borehole.llm.components import connected_components
 from borehole.llm.hashing import LOWER, U64, chunks, grams, mix, signed, word_bounds, word_hashes
 from borehole.session import materialise, ship_package
@@ -250,13 +251,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaders = bands.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1")
     crowded = materialise(bands.join(leaders, "band"), "buckets")
 
-    edges = _star_links(crowded, reps, texts)
+    sets = materialise(_sets_of(crowded.select("doc_id"), texts), "sets")
+    del bands, leaders
+    release(spark)
+
+    edges = _star_links(crowded, reps, sets)
     components = connected_components(edges)
     crowded = crowded.join(components, crowded.doc_id == components.node, "left").select(
         "band", "leader", "doc_id", F.coalesce("component", "doc_id").alias("component")
     )
     crowded = materialise(crowded.where("doc_id <> leader"), "followers")
-    edges = materialise(edges.union(_rest_links(crowded, reps, texts)), "links")
+    edges = materialise(edges.union(_rest_links(crowded, reps, sets)), "links")
     components = connected_components(edges)
     classes = members.join(components, members.rep == components.node, "left").select(
         F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("component_id")
@@ -269,11 +274,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _sets_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    wanted = texts.join(ids.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # one plan for all sizes: the ids are never broadcast
+    wanted = texts.join(ids.distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return wanted.mapInArrow(_full_sets, "doc_id long, shingles binary")
 
 
-def _star_links(crowded: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+def _star_links(crowded: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
     """Confirmed links between members of a bucket and its smallest member."""
     pairs = crowded.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
 
@@ -285,15 +291,13 @@ def _star_links(crowded: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFr
     likely = materialise(
         pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_prune, "a long, b long"), "likely"
     )
-    ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    sets = materialise(_sets_of(ids, texts), "sets")
-    full = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(
+    full = likely.hint("merge").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b"
     )
     return materialise(full.select("a", "b", "left", "right").mapInArrow(_confirm, "a long, b long"), "links")
 
 
-def _rest_links(followers: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+def _rest_links(followers: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between members of one bucket that lie in different components so far.
 
     A bucket's members are dealt into blocks, and each pair of blocks is a group, so no group
@@ -304,9 +308,8 @@ def _rest_links(followers: DataFrame, reps: DataFrame, texts: DataFrame) -> Data
     )
     open_ = sizes.where("lo < hi").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = materialise(followers.join(open_, "band").select("band", "blocks", "doc_id", "component"), "open")
-    sets = _sets_of(rows.select("doc_id"), texts)
     part = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    dealt = rows.join(reps.select("doc_id", "signature"), "doc_id").join(sets, "doc_id").withColumn("part", part)
+    dealt = rows.hint("merge").join(reps.select("doc_id", "signature"), "doc_id").join(sets, "doc_id").withColumn("part", part)
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "band", "doc_id", "component", "signature", "shingles", "part",
         F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"),

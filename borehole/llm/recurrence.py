@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from borehole.llm.cleanup import release
 from borehole.llm.hashing import (
     BLOCK_BYTES, U64, Chunk, byte_grams, chunks, grams, signed, sliding_min, word_bounds, word_hashes,
 )
@@ -285,6 +286,8 @@ def recurring_runs(texts: DataFrame, spec: Spec, kernel: Kernel) -> DataFrame:
         .groupBy("doc_id").agg(F.collect_list("h").alias("anchors"))
     )
     hits = materialise(hits, "anchors")
+    del rows
+    release(texts.sparkSession)
     segments = known.join(hits, "doc_id").select("doc_id", "text", "anchors").mapInArrow(
         _segment_rows(spec), "h long, doc_id long, start int, windows int, state byte, content binary"
     )
@@ -293,7 +296,10 @@ def recurring_runs(texts: DataFrame, spec: Spec, kernel: Kernel) -> DataFrame:
         .mapInArrow(_decided(kernel), "doc_id long, start int, windows int")
         .groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("marks"))
     )
-    return materialise(marks, "marks")
+    marks = materialise(marks, "marks")
+    del segments
+    release(texts.sparkSession)
+    return marks
 
 
 def covered(marks: pa.Scalar, n: int, width: int) -> np.ndarray:
