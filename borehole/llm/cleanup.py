@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import SparkSession
 
@@ -14,5 +15,7 @@ def release(spark: SparkSession) -> None:
     after a phase has been written to the scratch folder. Dropping the Python handles and asking
     the JVM to collect keeps the disk at the need of one phase. Results don't depend on it.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round drops the handles, the second what they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

@@ -14,7 +14,8 @@ and consecutive windows with one anchor form a segment. Three jobs, each ending
    size, and returns the runs of windows that start in a smaller document.
 3. ``marks``: the runs of each document, joined to its text.
 
-Every shuffle carries rows keyed by a hash of contents; texts are shuffled twice, by id.
+Whole copies of a smaller document are found by digests first and take no part in step 2: all they
+have goes. Every shuffle carries rows keyed by a hash of contents; texts are shuffled twice, by id.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from borehole.session import materialise, ship_package
 #: Segments that a kernel gets at once, unless one anchor alone has more.
 KERNEL_ROWS = 20_000
 KERNEL_BYTES = 4 << 20
+#: The number of windows of a run that ends with its text.
+WHOLE = 1 << 30
 
 SINGLE, SPEAKER, THROUGH = 0, 1, 2
 
@@ -279,13 +282,14 @@ def recurring_runs(texts: DataFrame, spec: Spec, kernel: Kernel) -> DataFrame:
     """
     ship_package(texts.sparkSession)
     known = texts.where("doc_id is not null and text is not null")
+    copies = _copies(known)
     part = F.when(F.col("state") == THROUGH, F.xxhash64("doc_id", F.lit(1))).otherwise(F.col("h"))
     rows = known.mapInArrow(_anchor_rows(spec), "h long, doc_id long, state byte")
     hits = (
         rows.repartition(part).sortWithinPartitions("h").mapInArrow(_recurring, "doc_id long, h long")
         .groupBy("doc_id").agg(F.collect_list("h").alias("anchors"))
     )
-    hits = materialise(hits, "anchors")
+    hits = materialise(hits.join(copies, "doc_id", "left_anti"), "anchors")
     del rows
     release(texts.sparkSession)
     segments = known.join(hits, "doc_id").select("doc_id", "text", "anchors").mapInArrow(
@@ -294,6 +298,7 @@ def recurring_runs(texts: DataFrame, spec: Spec, kernel: Kernel) -> DataFrame:
     marks = (
         segments.repartition(part).sortWithinPartitions("h")
         .mapInArrow(_decided(kernel), "doc_id long, start int, windows int")
+        .union(copies.select("doc_id", F.lit(0), F.lit(WHOLE)))
         .groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("marks"))
     )
     marks = materialise(marks, "marks")
@@ -302,8 +307,22 @@ def recurring_runs(texts: DataFrame, spec: Spec, kernel: Kernel) -> DataFrame:
     return marks
 
 
+def _copies(known: DataFrame) -> DataFrame:
+    """Ids of the documents whose whole text, by length and 128 hash bits, a smaller id has too."""
+    same = ["size", "one", "two"]
+    digests = known.select(
+        "doc_id", F.length("text").alias("size"), F.xxhash64("text").alias("one"),
+        F.xxhash64(F.lit("second"), "text").alias("two"),
+    )
+    digests = materialise(digests, "digests")
+    first = digests.groupBy(*same).agg(F.min("doc_id").alias("first"))
+    return materialise(digests.join(first, same).where("first < doc_id").select("doc_id").distinct(), "copies")
+
+
 def covered(marks: pa.Scalar, n: int, width: int) -> np.ndarray:
     """Which of ``n`` units lie in a marked window."""
+    if n < width:
+        return np.zeros(n, bool)
     both = marks.values
     start = both.field(0).to_numpy().astype(np.int64)
     end = start + both.field(1).to_numpy() + width - 1
