@@ -100,18 +100,20 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches):
-    for chunk in chunks(batches):
-        n, one, two, sig = [], [], [], []
-        for _, s in shingle_sets(chunk):
-            n.append(len(s))
-            one.append(int(signed(mix(s).sum(dtype=U64).reshape(1))[0]))
-            two.append(int(signed(mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64).reshape(1))[0]))
-            sig.append(signature(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(chunk.ids, pa.int64()), pa.array(n, pa.int64()), pa.array(one, pa.int64()),
-             pa.array(two, pa.int64()), pa.array(sig, pa.binary())],
-            names=["doc_id", "n_shingles", "digest", "digest2", "signature"],
-        )
+    for batch in batches:
+        for chunk in chunks([batch]):
+            n, one, two, sig = [], [], [], []
+            for _, s in shingle_sets(chunk):
+                n.append(len(s))
+                one.append(int(signed(mix(s).sum(dtype=U64).reshape(1))[0]))
+                two.append(int(signed(mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64).reshape(1))[0]))
+                sig.append(signature(s).tobytes() if len(s) else None)
+            ids = batch.column(0).slice(int(chunk.rows[0]), len(chunk.rows))
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
+                 pa.array(sig, pa.binary())],
+                names=["doc_id", "n_shingles", "digest", "digest2", "signature"],
+            )
 
 
 def _bands(batches):

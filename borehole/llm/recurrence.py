@@ -246,7 +246,7 @@ def _decided(kernel: Kernel):
             idx = np.flatnonzero(~through)
             text = table.column("content").combine_chunks()
             segments = [Segment(int(d[i]), int(s[i]), int(w[i]), text[i].as_py()) for i in idx.tolist()]
-            if found := list(kernel(segments)):
+            if found := list(kernel(segments)) if segments else []:
                 out.append(tuple(np.array(x, np.int64) for x in zip(*found, strict=True)))
             d, s, w = (np.concatenate(x) for x in zip(*out, strict=True))
             return pa.RecordBatch.from_arrays(
