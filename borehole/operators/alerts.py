@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from borehole.functions import parsing as P
 from borehole.operators import grouping as G
 
 HIGH, LOW, NORMAL = "HIGH", "LOW", "NORMAL"
@@ -21,6 +22,7 @@ def alert_thresholds(
     approx: bool = False,
 ) -> DataFrame:
     """``upper`` and ``lower``: exact linear-interpolated quantiles unless ``approx``."""
+    df = P.clean_nans(df)
     if approx:
         return df.groupBy(*keys).agg(
             F.percentile_approx(value, F.lit(upper_q)).cast("double").alias("upper"),
@@ -33,9 +35,10 @@ def alert_thresholds(
 
 
 def alert_level(value: Column, upper: Column, lower: Column) -> Column:
-    """HIGH above ``upper``, LOW below ``lower``, else (and for null) NORMAL."""
+    """HIGH above ``upper``, LOW below ``lower``, else (and for null and NaN) NORMAL."""
+    missing = F.isnan(value.cast("double"))
     return (
-        F.when(value > upper, F.lit(HIGH)).when(value < lower, F.lit(LOW)).otherwise(F.lit(NORMAL))
+        F.when(missing, F.lit(NORMAL)).when(value > upper, F.lit(HIGH)).when(value < lower, F.lit(LOW)).otherwise(F.lit(NORMAL))
     )
 
 
@@ -43,7 +46,7 @@ def risk_score(value: Column, upper: Column, lower: Column, signed: bool = False
     """How far beyond its threshold, relative to the threshold, at most 1; 0 when NORMAL.
 
     Relative to the threshold's size; with ``signed`` relative to the threshold itself, so
-    negative thresholds give negative scores. Null at a threshold of 0.
+    negative thresholds give negative scores. Null at a threshold of 0; 0 for NaN.
     """
 
     def beyond(distance: Column, threshold: Column) -> Column:
@@ -52,7 +55,8 @@ def risk_score(value: Column, upper: Column, lower: Column, signed: bool = False
         return F.when(ratio.isNotNull(), F.least(ratio, F.lit(1.0)))
 
     return (
-        F.when(value > upper, beyond(value - upper, upper))
+        F.when(F.isnan(value.cast("double")), F.lit(0.0))
+        .when(value > upper, beyond(value - upper, upper))
         .when(value < lower, beyond(lower - value, lower))
         .otherwise(F.lit(0.0))
     )

@@ -53,8 +53,8 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
 
 
 def drop_sparse_columns(df: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Drop columns whose share of nulls is above ``threshold``."""
-    rows, nulls = null_counts(df)
+    """Drop columns whose share of missing values (null or NaN) is above ``threshold``."""
+    rows, nulls = null_counts(P.clean_nans(df))
     return df.select(*[F.col(c) for c in df.columns if nulls[c] <= threshold * rows])
 
 
@@ -233,7 +233,8 @@ def recommendations(kind: str) -> list[str]:
 
 
 def missing_percentage(df: DataFrame) -> DataFrame:
-    """Null cells as a percentage of all cells."""
+    """Missing cells (null or NaN) as a percentage of all cells."""
+    df = P.clean_nans(df)
     cells = F.count(F.lit(1)) * len(df.columns)
     nulls = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in df.columns])
     return df.agg(F.try_divide(F.lit(100.0) * nulls, cells).alias("missing_percentage"))
@@ -270,14 +271,15 @@ def _widened(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def fill_mean(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     cols = [c for c in P.numeric_columns(df) if c not in keys]
-    df = _widened(df, cols)
+    df = _widened(P.clean_nans(df), cols)
     return _fill_from(df, df.groupBy(*keys).agg(*[F.avg(c).alias(f"fill_{c}") for c in cols]), cols, keys)
 
 
 def fill_median(
     df: DataFrame, cols: Sequence[str] | None = None, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Nulls become the exact median of their column."""
+    """Missing values (null or NaN) become the exact median of their column."""
+    df = P.clean_nans(df)
     cols = [c for c in (P.numeric_columns(df) if cols is None else cols) if c not in keys]
     if not cols:
         return df
@@ -290,7 +292,8 @@ def fill_median(
 def fill_mode(
     df: DataFrame, cols: Sequence[str] | None = None, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Nulls become the most frequent value, the smallest on ties."""
+    """Missing values (null or NaN) become the most frequent value, the smallest on ties."""
+    df = P.clean_nans(df)
     cols = [c for c in (df.columns if cols is None else cols) if c not in keys]
     if not cols:
         return df
@@ -435,7 +438,8 @@ def impute_median(
 def standardize(
     df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()
 ) -> DataFrame:
-    """(x - mean) / population deviation; a constant feature becomes 0."""
+    """(x - mean) / population deviation; a constant feature becomes 0. NaN is missing."""
+    df = P.clean_nans(df)
     stats = df.groupBy(*keys).agg(
         *[F.avg(c).alias(f"mean_{c}") for c in features],
         *[F.stddev_pop(c).alias(f"std_{c}") for c in features],

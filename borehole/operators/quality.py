@@ -53,6 +53,7 @@ def is_valid(report: DataFrame) -> bool:
 
 def validate_dataset(df: DataFrame, min_rows: int = 1, min_cols: int = 1) -> DataFrame:
     """Size, empty and sparse columns, duplicate rows, column types."""
+    df = P.clean_nans(df)
     check = "dataset"
     rows = F.col("rows")
     nulls = [F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)]
@@ -87,7 +88,8 @@ def validate_dataset(df: DataFrame, min_rows: int = 1, min_cols: int = 1) -> Dat
 
 
 def missing_stats(df: DataFrame) -> DataFrame:
-    """(column_name, count, percentage) of nulls."""
+    """(column_name, count, percentage) of missing values: nulls and NaN."""
+    df = P.clean_nans(df)
     one = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)],
@@ -147,6 +149,7 @@ def validate_numeric_columns(
     df: DataFrame, columns: Sequence[str], allow_missing: bool = True, approx: bool = False
 ) -> DataFrame:
     """Unparseable and missing values, and the spread of numeric columns."""
+    df = P.clean_nans(df)
     check, entries, aggs = "numeric", _absent("numeric", columns, df), []
     dtypes = dict(df.dtypes)
     for i, c in enumerate(x for x in columns if x in df.columns):

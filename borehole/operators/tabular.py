@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -28,7 +29,6 @@ from borehole.session import materialise
 
 TREES = 100
 CLASS_LIMIT = 10  # fewer distinct targets make a classification
-MAX_CATEGORIES = 1_000  # categories of one text feature that become columns
 REGRESSION, CLASSIFICATION = "regression", "classification"
 
 
@@ -104,16 +104,14 @@ def fit_features(
     df: DataFrame, leave_out: Sequence[str] = (), include_ids: bool = False
 ) -> Features:
     """Numbers pass (nulls as the exact median); texts become one column per category but the
-    alphabetically first, zeros for categories not seen. Dates and booleans are not used,
-    nor are texts whose name says identifier unless ``include_ids``.
+    alphabetically first, zeros for categories not seen; vectors are sparse, so a text may have
+    any number of categories. Dates and booleans are not used, nor are texts with a whole part of
+    their name that says identifier (``station_name``, not ``residence``) unless ``include_ids``.
     """
     numbers = [c for c in P.numeric_columns(df) if c not in leave_out]
-    ids = set() if include_ids else set(C._named(df.columns, C.IDENTIFIER_WORDS))
+    words = set(C.IDENTIFIER_WORDS)
+    ids = set() if include_ids else {c for c in df.columns if words & set(re.split("[^a-z0-9]+", c.lower()))}
     texts = [c for c in P.text_columns(df) if c not in leave_out and c not in ids]
-    counts = C.distinct_counts(df, texts)
-    wide = [c for c in texts if counts[c] > MAX_CATEGORIES]
-    if wide:
-        raise ValueError(f"too many categories for one column each: {wide}; encode them as labels")
     row = G.exact_quantiles(df, numbers, [0.5]).first() if numbers else None
     parts = []
     for c in numbers:
@@ -234,6 +232,7 @@ def train_and_predict(
 def regression_metrics(
     df: DataFrame, actual: str = "actual", predicted: str = "predicted"
 ) -> DataFrame:
+    df = P.clean_nans(df).where(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
     y, e = F.col(actual).cast("double"), F.col(actual) - F.col(predicted)
     return df.agg(
         F.sqrt(F.avg(e * e)).alias("rmse"),

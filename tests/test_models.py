@@ -62,16 +62,22 @@ def test_numeric_classes_sort_as_numbers(wells):
     assert trained.task == "classification" and trained.classes == [5.0, 10.0, 15.0]
 
 
-def test_bad_targets(wells, monkeypatch):
+def test_bad_targets(wells):
     with pytest.raises(ValueError):
         T.choose_target(wells, "nope")
     with pytest.raises(ValueError):
         T.choose_target(wells.select("soil"))
     with pytest.raises(ValueError):
         T.train_test_split(wells, "row", 0.9)
-    monkeypatch.setattr(T, "MAX_CATEGORIES", 2)
-    with pytest.raises(ValueError, match="too many"):
-        T.fit_features(wells, ["row", "level"])
+
+
+def test_any_number_of_categories(spark):
+    df = spark.range(3000).select(
+        "id", F.col("id").cast("string").alias("residence"), F.lit("a").alias("well_name"), (F.col("id") % 7).alias("level")
+    )
+    features = T.fit_features(df, ["id", "level"])
+    names = " ".join(features.names)
+    assert "residence" in names and "well_name" not in names
 
 
 def test_clusters_are_the_best_of_their_starts(spark):

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from borehole.operators import alerts
 from borehole.operators import clean as C
 from borehole.operators import quality as Q
 from borehole.session import scratch_path
@@ -172,3 +173,18 @@ def test_registering_again_replaces_one_dataset(spark):
         files.register_dataset(spark.range(n), name, folder)
     got = files.load_datasets(spark, folder).groupBy("dataset_id").count().collect()
     assert {r[0]: r[1] for r in got} == {"a": 7, "b": 5}
+
+
+def test_nan_is_missing(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(i, nan if i % 5 == 0 else float(i)) for i in range(20)], "id long, x double")
+    good = df.select("id", F.when(~F.isnan("x"), F.col("x")).alias("x"))
+    for made in (C.fill_mean, C.fill_median, C.fill_mode, lambda d: C.standardize(d, ["x"]),
+                 C.missing_percentage, Q.missing_stats, Q.validate_dataset,
+                 lambda d: Q.validate_numeric_columns(d, ["x"]), lambda d: alerts.alert_thresholds(d, "x"),
+                 lambda d: C.drop_sparse_columns(d, 0.1)):
+        left, right = made(df), made(good)
+        assert sorted(left.columns) == sorted(right.columns)
+        assert sorted(map(str, left.collect())) == sorted(map(str, right.collect())) or "x" not in left.columns
+    level = alerts.alert_level(F.col("x"), F.lit(15.0), F.lit(3.0))
+    assert df.where(F.isnan("x")).select(level.alias("l")).distinct().first()["l"] == alerts.NORMAL
