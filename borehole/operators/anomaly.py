@@ -208,8 +208,13 @@ def batch_anomalies(
         )
     state = materialise(state, "datasets")
     good = state.where(F.col("error").isNull()).select(*keys)
-    usable = df.alias("l").join(good.alias("r"), G.same_keys("l", "r", keys), "left_semi")
-    scored = detect(usable, id_col, features, contamination, method, keys=keys)
+    if good.isEmpty():
+        scored = df.select(*keys, id_col, *features).where(F.lit(False)).withColumns(
+            {"raw": F.lit(0.0), "anomaly_score": F.lit(0.0), "is_anomaly": F.lit(False)}
+        )
+    else:
+        usable = df.alias("l").join(good.alias("r"), G.same_keys("l", "r", keys), "left_semi")
+        scored = detect(usable, id_col, features, contamination, method, keys=keys)
     stats = anomaly_statistics(scored, keys).select(*keys, "anomalies_detected", "anomaly_rate")
     results = G.attach(
         state.withColumn("success", F.col("error").isNull()).select(*keys, "success", "error"),

@@ -189,8 +189,18 @@ def sarima_paths(
 def sarima_or_simpler(
     series: DataFrame, period: int = 12, horizon: int = 6, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """SARIMA paths; series it cannot fit get Holt-Winters or mean and drift."""
-    fitted = materialise(sarima_paths(series, period, horizon, keys), "paths")
+    """SARIMA paths; series it cannot fit get Holt-Winters or mean and drift.
+
+    A series without two seasons is fitted without the seasonal part.
+    """
+    paths = sarima_paths(series, period, horizon, keys)
+    if period > 1:
+        sizes = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+        few = materialise(sizes.where((F.col("_rows") > 0) & (F.col("_rows") < 2 * period)).select(*keys, "_rows"), "short")
+        if not few.isEmpty():
+            short = G.attach(series, few, keys).where(F.col("_rows").isNotNull()).drop("_rows")
+            paths = paths.unionByName(sarima_paths(short, 1, horizon, keys))
+    fitted = materialise(paths, "paths")
     done = fitted.withColumn("method", F.lit(METHOD))
     if keys:
         have = fitted.select(*keys).distinct()

@@ -94,7 +94,9 @@ def _month_number(c: Column) -> Column:
 
 
 def series_steps(rows: G.Ordered, keys: Sequence[str] = ()) -> DataFrame:
-    """The regular step of each series: ``step_months`` or ``step_time`` or, unknown, one day.
+    """The regular step of each series: ``step_months``, ``step_time`` or, unknown, one day.
+
+    ``weekdays_only`` is set where every day from Monday to Friday has a row and weekends have none.
 
     ``rows`` must come from :func:`split_series` with ``before=1``.
     """
@@ -104,6 +106,9 @@ def series_steps(rows: G.Ordered, keys: Sequence[str] = ()) -> DataFrame:
         .withColumn("_gap", F.col("ds") - F.col("_before"))
         .withColumn("_months", _month_number(F.col("ds")) - _month_number(F.col("_before")))
     )
+    one_day, weekend = F.make_dt_interval(F.lit(1)), F.make_dt_interval(F.lit(3))
+    after_weekend = (F.weekday("ds") == 0) & (F.col("_gap") == weekend)
+    in_week = F.weekday("ds").between(1, 4) & (F.col("_gap") == one_day)
     last_day = F.last_day("ds") == F.to_date("ds")
     same_day = F.min(F.date_format("ds", "dd HH:mm:ss")) == F.max(
         F.date_format("ds", "dd HH:mm:ss")
@@ -118,6 +123,7 @@ def series_steps(rows: G.Ordered, keys: Sequence[str] = ()) -> DataFrame:
         F.max("_months").alias("_max_months"),
         F.every(last_day).alias("_month_ends"),
         same_day.alias("_same_day"),
+        F.every(F.col("_gap").isNull() | after_weekend | in_week).alias("_weekdays"),
     )
     enough = F.col("n") >= 3
     monthly = (F.col("_min_months") == F.col("_max_months")) & (F.col("_min_months") > 0)
@@ -132,6 +138,7 @@ def series_steps(rows: G.Ordered, keys: Sequence[str] = ()) -> DataFrame:
             F.col("_min_months"),
         ).alias("step_months"),
         (F.col("_month_ends") & ~F.col("_same_day")).alias("at_month_end"),
+        (enough & ~even & F.col("_weekdays")).alias("weekdays_only"),
     )
 
 
@@ -145,7 +152,14 @@ def date_after(start: Column, step: Column) -> Column:
     ).otherwise(by_month)
     one_day = F.make_dt_interval(F.lit(1))
     by_time = start + F.coalesce(F.col("step_time"), one_day) * step
-    return F.when(F.col("step_months").isNotNull(), by_month).otherwise(by_time)
+    ahead = F.weekday(start) + step
+    days = F.floor(ahead / 5) * 7 + ahead % 5 - F.weekday(start)
+    by_weekday = start + F.make_dt_interval(days.cast("int"))
+    return (
+        F.when(F.col("step_months").isNotNull(), by_month)
+        .when(F.col("weekdays_only"), by_weekday)
+        .otherwise(by_time)
+    )
 
 
 def forecast_dates(

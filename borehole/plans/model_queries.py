@@ -86,8 +86,8 @@ def classification_metrics(spark, sf):
     return V.rounded(T.classification_metrics(df))
 
 
-def _train(spark, sf, target, **options):
-    return T.train_and_predict(V.samples(spark, sf), "row_id", target, max_depth=6, **options)
+def _train(spark, sf, target):
+    return T.train_and_predict(V.samples(spark, sf), "row_id", target)
 
 
 @query()
@@ -104,21 +104,21 @@ def forest_classification(spark, sf):
 
 @query()
 def feature_importance(spark, sf):
-    trained = _train(spark, sf, "l_extendedprice", trees=20)
+    trained = _train(spark, sf, "l_extendedprice")
     df = V.samples(spark, sf)
     return V.rounded(T.feature_importance(df, trained.model, trained.feature_names))
 
 
 @query()
 def sample_predictions(spark, sf):
-    trained = _train(spark, sf, "l_extendedprice", trees=20)
+    trained = _train(spark, sf, "l_extendedprice")
     return V.rounded(T.sample_predictions(trained.predictions, "row_id"))
 
 
 @query()
 def stored_model_predictions(spark, sf):
     """A classifier is written, read back and applied to all rows, with class probabilities."""
-    trained = _train(spark, sf, "l_returnflag", trees=20)
+    trained = _train(spark, sf, "l_returnflag")
     path = T.save_model(trained.model, scratch_path(spark, "models"), "flags")
     scored = T.load_and_predict(path, V.samples(spark, sf).drop("l_returnflag"))
     labels = F.array(*[F.lit(c) for c in T.model_classes(T.load_model(path))])
@@ -297,9 +297,8 @@ def auto_analysis(spark, sf):
     df = V.raw_readings(spark, sf).withColumns({
         "lat": F.lit(8.0) + F.col("id") % 29, "lon": F.lit(68.0) + F.col("id") % 31,
     })
-    options = {analyze.TABULAR: {"trees": 10, "max_depth": 5}}
     roles = analyze.Roles("id", keys=["station"], target="level")
-    profile, found = analyze.auto_analyze(df, roles, options)
+    profile, found = analyze.auto_analyze(df, roles)
     rows = [
         table.agg(
             F.lit(profile.kind).alias("kind"), F.lit(kind).alias("analysis"),

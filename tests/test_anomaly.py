@@ -157,3 +157,11 @@ def test_batch_keeps_failures_apart(spark):
     assert {r["d"] for r in top.collect()} <= {"a", "b"}
     assert top.groupBy("d").count().agg(F.max("count")).first()[0] <= 5
     assert A.batch_summary(results).first()["failed_analyses"] == 2
+
+
+@pytest.mark.parametrize("method", ["local_outlier_factor", "isolation_forest"])
+def test_batch_where_all_fail(spark, method):
+    df = planted(spark, 100).withColumn("d", F.lit("a")).where("id < 2")
+    results, top = A.batch_anomalies(df, "d", "id", method=method, datasets=["none"])
+    assert [tuple(r) for r in results.select("d", "success", "error").collect()] == [("none", False, "dataset not found")]
+    assert top.count() == 0 and A.batch_summary(results).first()["failed_analyses"] == 1

@@ -128,6 +128,28 @@ def test_without_keys(spark):
         assert found.components.first()["trend"] == "Upward trend detected"
 
 
+def test_weekday_steps_cross_weekends(spark):
+    days = pd.bdate_range("2024-01-01", periods=30)
+    rows = [(d.to_pydatetime(), 1.0) for d in days]
+    df = spark.createDataFrame(rows, "ds timestamp_ntz, y double")
+    got = S.forecast_dates(df, 12, 1).orderBy("step").toPandas()["ds"]
+    assert list(got) == list(pd.bdate_range(days[-1], periods=13)[1:])
+
+
+def test_sarima_without_two_seasons(spark):
+    rng = np.random.default_rng(3)
+    values = {"few": np.cumsum(rng.normal(size=60)), "many": 5 + np.tile([0.0, 1.0], 100)}
+    df = make(spark, values)
+    found = W.forecast(df, "ds", "y", ["station"], period=40, horizon=4, method="sarimax")
+    pdf = found.forecast.toPandas()
+    assert len(pdf) == 8
+    plain = paths(A.sarima_paths(make(spark, {"few": values["few"]}), 1, 4, ["station"]))["few"]
+    few = pdf[pdf["station"] == "few"].sort_values("step")
+    assert set(few["method"]) == {"sarimax"}
+    got = few["yhat"]
+    np.testing.assert_allclose(got, plain, atol=1e-9)
+
+
 @pytest.mark.parametrize(
     "days, expected",
     [
@@ -135,6 +157,11 @@ def test_without_keys(spark):
         (["2020-01-15", "2020-02-15", "2020-03-15"], "2020-04-15"),
         (["2020-01-01", "2020-01-08", "2020-01-15"], "2020-01-22"),
         (["2020-01-01", "2020-01-02", "2020-01-09"], "2020-01-10"),
+        (["2024-02-01", "2024-02-02", "2024-02-05", "2024-02-09"], "2024-02-10"),
+        (["2024-02-01", "2024-02-02", "2024-02-05", "2024-02-06"], "2024-02-07"),
+        (["2024-02-05", "2024-02-06", "2024-02-07", "2024-02-08", "2024-02-09"], "2024-02-10"),
+        (["2024-02-02", "2024-02-05", "2024-02-06", "2024-02-07", "2024-02-08", "2024-02-09"], "2024-02-12"),
+        (["2024-02-03", "2024-02-04", "2024-02-07"], "2024-02-08"),
     ],
 )
 def test_next_date(spark, days, expected):
