@@ -5,8 +5,9 @@ their id) and is small enough to share; every row is then put into a leaf. A que
 in the order of a priority queue over the tree's nodes, best centroid first. How many leaves is
 calibrated: the true neighbours of at most ``CALIBRATION`` queries are found by brute force over
 all rows, and the visits are widened until the share of true neighbours in visited leaves reaches
-``RECALL``. Leaves and their queries are dealt in parts of bounded size, so a leaf may hold any
-share of the rows; copies of a vector are scored once.
+``RECALL``. Neighbouring leaves share a bin; a query goes once to each bin with the leaves it visits
+there, and k rows come back. Bins and their queries are dealt in parts of bounded size, so a leaf
+may hold any share of the rows; copies of a vector are scored once.
 
 Nearness is the inner product in double precision, of the vectors as given; ties go to the smaller
 id, and a query's own id is no candidate. Vectors that are null, hold null or non-finite
@@ -34,8 +35,8 @@ LEAF_SAMPLE = 16
 BRANCH = 8
 CALIBRATION = 256
 RECALL = 0.97
-PART = 8192
-ASK = 4096
+PART = 1 << 16
+ASK = 512
 
 
 @dataclass
@@ -137,8 +138,8 @@ def best_of(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
     begin = np.searchsorted(which[by], np.arange(len(first)))
     own = vectors[first]
     out = []
-    for at in range(0, len(queries), 512):
-        q = queries[at : at + 512]
+    for at in range(0, len(queries), 128):
+        q = queries[at : at + 128]
         rough = q @ own.T
         wanted = min(k + 1, len(own))
         cut = np.partition(rough, len(own) - wanted, axis=1)[:, len(own) - wanted]
@@ -162,6 +163,25 @@ def best_of(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k best rows of each query."""
+    order = np.lexsort((ids, -score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[keep], ids[keep], score[keep]
+
+
+def in_bins(sizes: list[int]) -> tuple[list[int], list[int]]:
+    """The bin of each leaf, of at most ``PART`` rows unless one leaf has more, and each bin's parts."""
+    bins, held = [], [0]
+    for n in sizes:
+        if held[-1] and held[-1] + n > PART:
+            held.append(0)
+        held[-1] += n
+        bins.append(len(held) - 1)
+    return bins, [max(1, -(-n // PART)) for n in held]
+
+
 def _top(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -228,45 +248,66 @@ def nearest_vectors(
     leaves = materialise(vectors.mapInArrow(place, "vec_id long, vector array<double>, leaf long"), "leaves")
     visits = calibrate(tree, leaves, k, recall)
 
+    # a row per leaf; the tree bounds their number
+    sizes = {r["leaf"]: r["count"] for r in leaves.groupBy("leaf").count().collect()}
+    bins, parts = in_bins([sizes.get(i, 0) for i in range(tree.leaves)])
+
     def ask(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            seen = [shared.value.visits(v, visits) for v in _matrix(batch.column(1))]
-            column = pa.array(seen, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=["query_id", "query", "seen"])
-
-    queries = (
-        leaves.where("vec_id % 20 = 0").select("vec_id", "vector")
-        .mapInArrow(ask, "query_id long, query array<double>, seen array<long>")
-        .select("query_id", "query", F.explode("seen").alias("leaf"))
-    )
-    queries = materialise(queries, "asked")
-    parts = leaves.groupBy("leaf").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    asks = queries.groupBy("leaf").agg(F.ceil(F.count("*") / ASK).cast("int").alias("asks"))
-    shape = parts.join(asks, "leaf")  # a row per leaf; the tree bounds their number
+            rows, bin_, seen = [], [], []
+            for row, vector in enumerate(_matrix(batch.column(1)) if batch.num_rows else ()):
+                own: dict[int, list[int]] = {}
+                for leaf in shared.value.visits(vector, visits):
+                    own.setdefault(bins[leaf], []).append(leaf)
+                rows += [row] * len(own)
+                bin_ += own.keys()
+                seen += own.values()
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(bin_, pa.int64()),
+                 pa.array(seen, pa.list_(pa.int64()))],
+                names=["query_id", "query", "bin", "seen"],
+            )
+
+    queries = leaves.where("vec_id % 20 = 0").select("vec_id", "vector")
+    queries = materialise(
+        queries.mapInArrow(ask, "query_id long, query array<double>, bin long, seen array<long>"), "asked"
+    )
+    counts = {r["bin"]: r["count"] for r in queries.groupBy("bin").count().collect()}  # a row per bin
+    asks = [-(-counts.get(b, 0) // ASK) for b in range(len(parts))]
+
+    def of(values: list[int], at: str):
+        return F.get(F.array(*[F.lit(v) for v in values]), F.col(at).cast("int"))
+
+    def numbers(n):
+        return F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)))
+
+    left = leaves.withColumn("bin", of(bins, "leaf").cast("long"))
     left = (
-        leaves.join(F.broadcast(shape), "leaf")
-        .withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-        .withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
-        .select("leaf", "part", "ask", "vec_id", "vector")
+        left.withColumn("part", F.pmod(F.xxhash64("vec_id"), of(parts, "bin")).cast("int"))
+        .withColumn("ask", numbers(of(asks, "bin")))
+        .select("bin", "part", "ask", "leaf", "vec_id", "vector")
     )
     right = (
-        queries.join(F.broadcast(shape), "leaf")
-        .withColumn("ask", F.pmod(F.xxhash64("query_id"), F.col("asks")).cast("int"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("leaf", "part", "ask", "query_id", "query")
+        queries.withColumn("ask", F.pmod(F.xxhash64("query_id"), of(asks, "bin")).cast("int"))
+        .withColumn("part", numbers(of(parts, "bin")))
+        .select("bin", "part", "ask", "query_id", "query", "seen")
     )
 
     def score(key: tuple[pa.Scalar, ...], own: pa.Table, asked: pa.Table) -> pa.Table:
         out = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         if own.num_rows and asked.num_rows:
-            out = best_of(
-                own.column("vec_id").to_numpy(), _matrix(own.column("vector")),
-                asked.column("query_id").to_numpy(), _matrix(asked.column("query")), k,
-            )
+            leaf, ids, vectors = own.column("leaf").to_numpy(), own.column("vec_id").to_numpy(), _matrix(own.column("vector"))
+            query_ids, points = asked.column("query_id").to_numpy(), _matrix(asked.column("query"))
+            seen = asked.column("seen").combine_chunks()
+            who, which = np.repeat(np.arange(len(query_ids)), np.diff(seen.offsets.to_numpy())), seen.flatten().to_numpy()
+            for one in np.unique(leaf):
+                rows, near = leaf == one, who[which == one]
+                if len(near):
+                    found = best_of(ids[rows], vectors[rows], query_ids[near], points[near], k)
+                    out = _best(*(np.concatenate(x) for x in zip(out, found, strict=True)), k)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, out), strict=True)))
 
-    by = ("leaf", "part", "ask")
+    by = ("bin", "part", "ask")
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(score, "query_id long, vec_id long, score double")
     return _top(found, k).select("query_id", "rank", "vec_id", "score")
