@@ -7,7 +7,8 @@ the full distance of what it finds. After radius r over m segments every code ne
 ``m * (r + 1)`` has been seen, so a query is done when its k-th verified distance is below that.
 The best of all blocks are merged by a window over each query.
 
-A task holds one block of codes and one block of queries. Equal codes are held once with their k+1
+A task holds one block of codes and one block of queries, and searches a slice of them at a time.
+Equal codes are held once with their k+1
 smallest ids, which is all that ties can need, so copies don't widen a bucket.
 
 Ties go to the smaller id. A query's own id is no candidate. With fewer than k candidates all are
@@ -17,7 +18,9 @@ other than the commonest (the smaller one of equals) take no part; repeated ids
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,10 @@ from borehole.session import materialise, ship_package
 
 BLOCK = 1 << 16
 QUERIES = 1 << 13
+#: Blocks at least, so that small tables keep several tasks busy too.
+BLOCKS = 8
+#: Pairs of query and code that a task holds at once.
+PAIRS = 1 << 22
 SEGMENT = 16
 
 
@@ -70,10 +77,42 @@ def segment_values(codes: np.ndarray, bits: int) -> list[tuple[np.ndarray, int]]
     return out
 
 
+def _words(codes: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of 64-bit words, padded with zeros."""
+    return np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8)))).view(np.uint64)
+
+
+def _fresh_pairs(table: tuple, asked: np.ndarray, open_: np.ndarray, size: int, radius: int) -> Iterator[np.ndarray]:
+    """``query * size + code`` of the pairs that differ by ``radius`` bits in one segment.
+
+    Few neighbouring values are looked up; where there would be more of them than codes, the
+    values that codes hold are compared instead.
+    """
+    values, sort, edge, width = table
+    if radius > width:
+        return
+    if comb(width, radius) * 16 <= size:
+        for flip in combinations(range(width), radius):
+            value = asked[open_] ^ sum(1 << f for f in flip)
+            n = edge[value + 1] - edge[value]
+            hit = np.flatnonzero(n)
+            if len(hit):
+                n = n[hit]
+                at = np.repeat(edge[value[hit]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                yield np.repeat(open_[hit], n) * size + sort[at]
+        return
+    query, code = np.nonzero(np.bitwise_count(asked[open_][:, None] ^ values[None]) == radius)
+    yield open_[query] * size + code
+
+
 def search_block(
     ids: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, distance) of each query's k nearest in one block, exactly."""
+    """(query, id, distance) of each query's k nearest in one block, exactly.
+
+    Queries are taken in slices of at most ``PAIRS`` pairs of query and code, which bounds memory
+    even where every code has to be verified.
+    """
     order = np.argsort(ids, kind="stable")
     ids, codes = ids[order], np.ascontiguousarray(codes[order])
     wide = codes.shape[1]
@@ -85,56 +124,69 @@ def search_block(
     by = by[rank < k + 1]
     held = np.bincount(which[by], minlength=len(first))
     start = np.cumsum(held) - held
-
-    bits = wide * 8
     tables = []
-    for (values, width), (asked, _) in zip(segment_values(distinct, bits), segment_values(queries, bits), strict=True):
+    for values, width in segment_values(distinct, wide * 8):
         sort = np.argsort(values, kind="stable")
         edge = np.searchsorted(values[sort], np.arange((1 << width) + 1))
-        tables.append((sort, edge, asked, width))
-    need = min(k, len(ids))
-    open_ = np.arange(len(queries))
-    found_q = np.zeros(0, np.int64)
-    found_c = np.zeros(0, np.int64)
-    seen = np.zeros(0, np.int64)
-    widest = max(w for *_, w in tables)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for radius in range(widest + 1):
-        new = []
-        for sort, edge, asked, width in tables:
-            for flip in combinations(range(width), radius) if radius <= width else ():
-                value = asked[open_] ^ sum(1 << f for f in flip)
-                n = edge[value + 1] - edge[value]
-                hit = np.flatnonzero(n)
-                if not len(hit):
-                    continue
-                n = n[hit]
-                at = np.repeat(edge[value[hit]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                new.append(np.repeat(open_[hit], n) * len(distinct) + sort[at])
-        if new:
-            seen = np.union1d(seen, np.concatenate(new))
-        found_q, found_c = seen // len(distinct), seen % len(distinct)
-        distance = np.bitwise_count(queries[found_q] ^ distinct[found_c]).sum(axis=1, dtype=np.int64)
-        n = held[found_c]
-        at = by[np.repeat(start[found_c] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        q, d = np.repeat(found_q, n), np.repeat(distance, n)
-        other = ids[at] != query_ids[q]
+        tables.append((values.astype(np.uint32), sort, edge, width))
+    words = _words(distinct)
+    step = max(1, PAIRS // len(distinct))
+    out = []
+    for lo in range(0, len(queries), step):
+        asked, asked_ids = queries[lo : lo + step], query_ids[lo : lo + step]
+        q, code, d = _nearest_distinct(tables, words, held, asked, np.isin(asked_ids, ids), wide * 8, k)
+        n = held[code]
+        at = by[np.repeat(start[code] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        q, d = np.repeat(q, n), np.repeat(d, n)
+        other = ids[at] != asked_ids[q]
         q, d, at = q[other], d[other], at[other]
         sort = np.lexsort((ids[at], d, q))
         q, d, at = q[sort], d[sort], at[sort]
-        rank = np.arange(len(q)) - np.searchsorted(q, q)
-        covered = len(tables) * (radius + 1)
-        sure = np.zeros(len(queries), bool)
-        sure[q[(rank == need - 1) & (d < covered)]] = True
-        if radius == widest:
-            sure[open_] = True
-        keep = sure[q] & (rank < k)
-        out.append((query_ids[q[keep]], ids[at[keep]], d[keep]))
-        open_ = open_[~sure[open_]]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+        out.append((asked_ids[q[keep]], ids[at[keep]], d[keep].astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _nearest_distinct(
+    tables: list[tuple], words: np.ndarray, held: np.ndarray, queries: np.ndarray, own: np.ndarray, bits: int, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, code, distance) of all codes that hold one of a query's k nearest ids, ties included.
+
+    ``held`` counts the ids of a code; ``own`` tells which queries are among the ids themselves.
+    """
+    size = len(words)
+    asked = [v.astype(np.uint32) for v, _ in segment_values(queries, bits)]
+    query_words = _words(queries)
+    seen = np.zeros(len(queries) * size, bool)
+    near = np.zeros((len(queries), bits + 1), np.int64)  # ids verified, by distance
+    verified = np.zeros(len(queries), np.int64)
+    open_ = np.arange(len(queries))
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    for radius in range(max(w for *_, w in tables) + 1):
+        for table, values in zip(tables, asked, strict=True):
+            for pairs in _fresh_pairs(table, values, open_, size, radius):
+                pairs = pairs[~seen[pairs]]
+                if not len(pairs):
+                    continue
+                seen[pairs] = True
+                query, code = pairs // size, pairs % size
+                distance = np.bitwise_count(query_words[query] ^ words[code]).sum(axis=1, dtype=np.int64)
+                cells = np.bincount(query * (bits + 1) + distance, held[code], near.size)
+                near += cells.astype(np.int64).reshape(near.shape)
+                verified += np.bincount(query, minlength=len(queries))
+                kept.append((pairs, distance.astype(np.int16)))
+        # all codes nearer than this have been seen
+        covered = min(len(tables) * (radius + 1), bits + 1)
+        enough = near[open_, :covered].sum(axis=1) - own[open_] >= k
+        open_ = open_[~enough & (verified[open_] < size)]
         if not len(open_):
             break
-        seen = seen[~sure[found_q]]
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    pairs, distance = (np.concatenate(x) for x in zip(*kept, strict=True))
+    # the distance by which k ids beside the query's own have been verified; farther ones can't be among them
+    cut = (np.cumsum(near, axis=1) < k + own[:, None]).sum(axis=1)
+    wanted = distance <= cut[pairs // size]
+    pairs = pairs[wanted]
+    return pairs // size, pairs % size, distance[wanted]
 
 
 def nearest_codes(codes: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -143,7 +195,7 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int = 20) -> DataFram
     ship_package(spark)
     codes = materialise(codes, "codes")
     queries = materialise(queries, "queries")
-    blocks = max(1, -(-codes.count() // BLOCK))
+    blocks = max(BLOCKS, -(-codes.count() // BLOCK))
     asks = max(1, -(-queries.count() // QUERIES))
 
     def numbers(n: int) -> Column:

@@ -47,6 +47,25 @@ def test_hamming_is_exact(vectors):
     assert hamming.nearest_by_sign(vectors.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(("rows", "wide", "values"), [(1, 8, 256), (30, 3, 256), (900, 8, 256), (900, 8, 2), (300, 1, 256), (50, 13, 20)])
+def test_block_search_in_slices(monkeypatch, rows, wide, values):
+    """Slices of few pairs, copies of codes, queries inside and outside of the block, fewer ids than k."""
+    monkeypatch.setattr(hamming, "PAIRS", 5000)
+    rng = np.random.default_rng(rows)
+    ids = rng.permutation(2 * rows)[:rows].astype(np.int64)
+    codes = rng.integers(0, values, (rows, wide)).astype(np.uint8)
+    codes[rows // 2 :] = codes[: rows - rows // 2]
+    asked = np.concatenate([ids[:20], np.arange(10**6, 10**6 + 20)])
+    queries = np.concatenate([codes[:20], rng.integers(0, 256, (20, wide)).astype(np.uint8)])
+    want = []
+    for i, q in zip(asked.tolist(), queries, strict=True):
+        d, other = np.bitwise_count(codes ^ q).sum(axis=1, dtype=np.int64), ids != i
+        order = np.lexsort((ids[other], d[other]))[:20]
+        want += [(i, *x) for x in zip(ids[other][order].tolist(), d[other][order].tolist(), strict=True)]
+    got = hamming.search_block(ids, codes, asked, queries, 20)
+    assert sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(want)
+
+
 def test_tree_recall(vectors, monkeypatch):
     monkeypatch.setattr(kmeans_tree, "LEAF_ROWS", 16)
     want = expected(lambda t, q: -(t * q).sum(axis=1))
