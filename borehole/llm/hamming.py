@@ -215,6 +215,9 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int = 20) -> DataFram
     by = ("block", "ask")
     right = right.select(F.col("block").cast("long").alias("block"), F.col("ask").cast("long").alias("ask"), "vec_id", "code")
     left = left.select(F.col("block").cast("long").alias("block"), F.col("ask").cast("long").alias("ask"), "vec_id", "code")
+    # rows are few bytes and much work: a given number keeps Spark from merging groups by size
+    tasks = min(2 * blocks * asks, max(2 * BLOCKS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    left, right = left.repartition(tasks, *by), right.repartition(tasks, *by)
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, "query_id long, vec_id long, distance long")
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
