@@ -7,11 +7,14 @@ and consecutive windows with one anchor form a segment. Three jobs, each ending
 1. ``anchors``: the anchors of every document go to the partition of their hash; those found in
    two documents come back. Within a batch of documents a repeated anchor is known to recur: its
    documents pass through, and one row speaks for the batch, so an anchor that a third of all
-   documents share sends one row per batch.
+   documents share sends one row per batch. Rows carry counts, so anchors with more than ``HOT``
+   segments are known; there are at most corpus / ``HOT`` of them, and every task gets their list.
 2. ``segments``: the segments with a recurring anchor go to the partition of that anchor. A
    segment equal to one of a smaller document in the same batch is decided there and passes
    through. A kernel (automata or suffix order) gets whole anchor groups, in blocks of bounded
-   size, and returns the runs of windows that start in a smaller document.
+   size, and returns the runs of windows that start in a smaller document. Segments of hot anchors
+   are cut into their windows, and each window goes to the partition of its own hash, one row per
+   batch; there it is compared whole, and only the smallest document so far is held.
 3. ``marks``: the runs of each document, joined to its text.
 
 Whole copies of a smaller document are found by digests first and take no part in step 2: all they
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +41,16 @@ from borehole.session import materialise, ship_package
 #: Segments that a kernel gets at once, unless one anchor alone has more.
 KERNEL_ROWS = 20_000
 KERNEL_BYTES = 4 << 20
+#: Segments (of ``Spec.reach`` windows) above which an anchor's windows are dealt by their own hashes.
+HOT = KERNEL_ROWS
+#: Hot segments that are cut into windows at once.
+CUT_ROWS = 4096
 #: The number of windows of a run that ends with its text.
 WHOLE = 1 << 30
 
-SINGLE, SPEAKER, THROUGH = 0, 1, 2
+#: States of segments. An anchor's row has THROUGH, or its number of segments, below 0 for a speaker.
+THROUGH, SINGLE, WINDOW = 0, 1, 2
+_SEGMENT = "h long, doc_id long, start int, windows int, state byte, content binary"
 
 Kernel = Callable[[list["Segment"]], Iterator[tuple[int, int, int]]]
 
@@ -74,6 +84,11 @@ class Spec:
     width: int
     gram: int
 
+    @property
+    def reach(self) -> int:
+        """The windows that can hold one place of an anchor."""
+        return self.width - self.gram + 1
+
     def units(self, chunk: Chunk) -> Units:
         if self.unit == "byte":
             return Units(None, None, chunk.bounds, self._minima(chunk.data, byte_grams))
@@ -90,13 +105,20 @@ class Spec:
         out = np.empty(n, U64)
         for at in range(0, n, BLOCK_BYTES // 2):
             to = min(n, at + BLOCK_BYTES // 2)
-            out[at:to] = sliding_min(hashed(units[at : to + self.width - 1]), self.width - self.gram + 1)
+            out[at:to] = sliding_min(hashed(units[at : to + self.width - 1]), self.reach)
         return out
 
     def windows_of(self, units: Units, i: int) -> tuple[int, int]:
         lo, hi = int(units.cut[i]), int(units.cut[i + 1])
         return lo, max(lo, hi - self.width + 1)
 
+    def cut(self, content: bytes) -> list[bytes]:
+        """The windows of a segment."""
+        if self.unit == "byte":
+            return [content[i : i + self.width] for i in range(len(content) - self.width + 1)]
+        words = content.split(b" ")
+        return [b" ".join(words[i : i + self.width]) for i in range(len(words) - self.width + 1)]
+
 
 def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of equal neighbours."""
@@ -108,12 +130,13 @@ def _anchor_rows(spec: Spec):
     def rows(batches):
         for chunk in chunks(batches, size=8 << 20):
             units = spec.units(chunk)
-            found, owner = [], []
+            found, owner, number = [], [], []
             for i in range(len(chunk.ids)):
                 lo, hi = spec.windows_of(units, i)
                 if hi > lo:
-                    mine = np.unique(units.minima[lo:hi])
+                    mine, n = np.unique(units.minima[lo:hi], return_counts=True)
                     found.append(mine)
+                    number.append(-(-n // spec.reach))
                     owner.append(np.full(len(mine), chunk.ids[i], np.int64))
             if not found:
                 continue
@@ -121,9 +144,9 @@ def _anchor_rows(spec: Spec):
             order = np.lexsort((doc, h))
             h, doc = h[order], doc[order]
             first, last = runs(h)
+            n = np.add.reduceat(np.concatenate(number)[order], first)
             many = doc[first] != doc[last - 1]
-            shared = np.repeat(many, last - first)
-            state = np.where(shared, THROUGH, SINGLE).astype(np.int8)
+            state = np.repeat(np.where(many, THROUGH, n), last - first)
             keep = np.ones(len(h), bool)
             keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
             speak = first[many]
@@ -131,7 +154,7 @@ def _anchor_rows(spec: Spec):
                 [
                     pa.array(np.concatenate((signed(h)[keep], signed(h)[speak]))),
                     pa.array(np.concatenate((doc[keep], doc[speak]))),
-                    pa.array(np.concatenate((state[keep], np.full(len(speak), SPEAKER, np.int8)))),
+                    pa.array(np.concatenate((state[keep], -n[many])).astype(np.int32)),
                 ],
                 names=["h", "doc_id", "state"],
             )
@@ -160,33 +183,76 @@ def _groups(batches, key: int = 0) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _recurring(batches):
-    """(doc_id, h) of every document that holds a recurring anchor."""
-    for table in _groups(batches):
-        h, doc, state = (table.column(i).to_numpy() for i in range(3))
-        first, last = runs(h)
-        open_ = state != THROUGH
-        spoken = np.add.reduceat(state == SPEAKER, first) > 0
-        n = np.add.reduceat(open_, first)
-        least = np.minimum.reduceat(np.where(open_, doc, np.iinfo(np.int64).max), first)
-        most = np.maximum.reduceat(np.where(open_, doc, np.iinfo(np.int64).min), first)
-        yes = spoken | (n > 1) & (least < most)
-        keep = (state == THROUGH) | (state == SINGLE) & np.repeat(yes, last - first)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(h[keep])], names=["doc_id", "h"])
+def _recurring(limit: int):
+    """(doc_id, h) of every document that holds a recurring anchor, and (null, h) of every hot one."""
+
+    def rows(batches):
+        for table in _groups(batches):
+            h, doc, state = (table.column(i).to_numpy() for i in range(3))
+            first, last = runs(h)
+            open_ = state != THROUGH
+            spoken = np.add.reduceat(state < 0, first) > 0
+            n = np.add.reduceat(open_, first)
+            least = np.minimum.reduceat(np.where(open_, doc, np.iinfo(np.int64).max), first)
+            most = np.maximum.reduceat(np.where(open_, doc, np.iinfo(np.int64).min), first)
+            yes = spoken | (n > 1) & (least < most)
+            keep = (state == THROUGH) | (state > 0) & np.repeat(yes, last - first)
+            hot = h[first[yes & (np.add.reduceat(np.abs(state.astype(np.int64)), first) > limit)]]
+            ids = pa.concat_arrays([pa.array(doc[keep], pa.int64()), pa.nulls(len(hot), pa.int64())])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate((h[keep], hot)))], names=["doc_id", "h"])
+
+    return rows
+
+
+def _window_rows(spec: Spec, rows: list[tuple[tuple[int, int, int, int], bytes]]) -> Iterator[tuple]:
+    """The windows of hot segments, by ascending documents: those of an earlier one pass through.
+
+    A window that a document has k times is one row, with the other k - 1 starts after its content.
+    """
+    first: dict[bytes, tuple[int, list[int]]] = {}
+    for (doc, start, windows, h), content in rows:
+        gone = np.zeros(windows, bool)
+        for i, window in enumerate(spec.cut(content)):
+            low, starts = first.setdefault(window, (doc, []))
+            if low < doc:
+                gone[i] = True
+            else:
+                starts.append(start + i)
+        if gone.any():
+            for a, b in zip(*(x.tolist() for x in runs(gone)), strict=True):
+                if gone[a]:
+                    yield h, doc, start + a, b - a, THROUGH, None
+    for window, (doc, starts) in first.items():
+        h = int.from_bytes(blake2b(window, digest_size=8).digest(), "little", signed=True)
+        yield h, doc, starts[0], len(starts), WINDOW, window + np.array(starts[1:], "<i4").tobytes()
+
+
+def _segment_batch(rows: list[tuple]) -> pa.RecordBatch:
+    h, doc, start, n, state, content = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()),
+         pa.array(n, pa.int32()), pa.array(state, pa.int8()), pa.array(content, pa.binary())],
+        names=["h", "doc_id", "start", "windows", "state", "content"],
+    )
 
 
-def _segment_rows(spec: Spec):
+def _segment_rows(spec: Spec, hot: np.ndarray):
     """The segments with recurring anchors; repeats within the batch are decided here."""
 
     def rows(batches):
+        cut_up = set(hot.tolist())
         for batch in batches:
             wanted = batch.column(2)
             for chunk in chunks([batch], size=4 << 20):
                 units = spec.units(chunk)
                 first: dict[bytes, tuple[int, int, int, int]] = {}
                 h, doc, start, n, state, content = [], [], [], [], [], []
+                large: list[tuple[tuple[int, int, int, int], bytes]] = []
 
-                def put(row, kind, text, h=h, doc=doc, start=start, n=n, state=state, content=content):
+                def put(row, kind, text, h=h, doc=doc, start=start, n=n, state=state, content=content, large=large):
+                    if kind == SINGLE and row[3] in cut_up:
+                        large.append((row, text))
+                        return
                     h.append(row[3])
                     doc.append(row[0])
                     start.append(row[1])
@@ -227,10 +293,48 @@ def _segment_rows(spec: Spec):
                          pa.array(n, pa.int32()), pa.array(state, pa.int8()), pa.array(content, pa.binary())],
                         names=["h", "doc_id", "start", "windows", "state", "content"],
                     )
+                large.sort(key=lambda x: (x[0][3], x[0][0]))
+                for at in range(0, len(large), CUT_ROWS):
+                    yield _segment_batch(list(_window_rows(spec, large[at : at + CUT_ROWS])))
 
     return rows
 
 
+def _settled(batches):
+    """Windows of hot anchors become rows that pass through where a smaller document has them too.
+
+    Rows are sorted by ``h``. Of every window only the smallest document so far is held.
+    """
+    at, first = None, {}
+    for batch in batches:
+        is_window = batch.column(4).to_numpy() == WINDOW
+        if not is_window.any():
+            yield batch
+            continue
+        out = []
+        for h, doc, start, n, content in zip(
+            *(batch.column(i).filter(pa.array(is_window)).to_pylist() for i in (0, 1, 2, 3, 5)), strict=True
+        ):
+            if h != at:
+                at, first = h, {}
+            end = len(content) - 4 * (n - 1)
+            window, starts = content[:end], [start, *np.frombuffer(content, "<i4", n - 1, end).tolist()] if n > 1 else [start]
+            low, own = first.setdefault(window, (doc, []))
+            if doc == low:
+                own += starts
+                continue
+            if doc < low:
+                first[window] = doc, starts
+                doc, starts = low, own
+            out += [(h, doc, s, 1, THROUGH, None) for s in starts]
+        rest = [batch.filter(pa.array(~is_window))]
+        if out:
+            rest.append(_segment_batch(out).cast(batch.schema))
+        rest = pa.Table.from_batches(rest)
+        order = np.argsort(rest.column(0).to_numpy(), kind="stable")
+        yield from rest.take(order).combine_chunks().to_batches()
+
+
 def _decided(kernel: Kernel):
     """Runs of windows to remove: passed through, or found by the kernel in blocks of whole groups."""
 
@@ -254,7 +358,7 @@ def _decided(kernel: Kernel):
                 names=["doc_id", "start", "windows"],
             )
 
-        for table in _groups(batches):
+        for table in _groups(_settled(batches)):
             # split a large batch between groups, so that the kernel's memory stays bounded
             keys = table.column(0).to_numpy()
             at = 0
@@ -284,16 +388,17 @@ def recurring_runs(texts: DataFrame, spec: Spec, kernel: Kernel) -> DataFrame:
     known = texts.where("doc_id is not null and text is not null")
     copies = _copies(known)
     part = F.when(F.col("state") == THROUGH, F.xxhash64("doc_id", F.lit(1))).otherwise(F.col("h"))
-    rows = known.mapInArrow(_anchor_rows(spec), "h long, doc_id long, state byte")
+    rows = known.mapInArrow(_anchor_rows(spec), "h long, doc_id long, state int")
     hits = (
-        rows.repartition(part).sortWithinPartitions("h").mapInArrow(_recurring, "doc_id long, h long")
+        rows.repartition(part).sortWithinPartitions("h").mapInArrow(_recurring(HOT), "doc_id long, h long")
         .groupBy("doc_id").agg(F.collect_list("h").alias("anchors"))
     )
     hits = materialise(hits.join(copies, "doc_id", "left_anti"), "anchors")
     del rows
     release(texts.sparkSession)
+    hot = [h for row in hits.where("doc_id is null").select("anchors").collect() for h in row.anchors]
     segments = known.join(hits, "doc_id").select("doc_id", "text", "anchors").mapInArrow(
-        _segment_rows(spec), "h long, doc_id long, start int, windows int, state byte, content binary"
+        _segment_rows(spec, np.array(hot, np.int64)), _SEGMENT
     )
     marks = (
         segments.repartition(part).sortWithinPartitions("h")

@@ -3,11 +3,13 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from borehole.llm import near_dedup, phrase_automata, suffix_parse
+from borehole.llm import near_dedup, phrase_automata, recurrence, suffix_parse
 from borehole.llm.components import connected_components
+from borehole.llm.hashing import Chunk
 from borehole.llm.line_templates import drop_recurring_lines
 
 SCHEMA = "doc_id long, text string, band long, leader string, marks int"
@@ -132,6 +134,48 @@ def test_bytes_are_exact(docs):
     assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == want
 
 
+def brute_force_windows(rows, units, width):
+    """The starts of all windows that a document with a smaller id has too."""
+    first = {}
+    cut = {i: units(t) for i, t in rows}
+    for i in sorted(cut):
+        for k in range(len(cut[i]) - width + 1):
+            first.setdefault(tuple(cut[i][k : k + width]), i)
+    gone = {i: {k for k in range(len(u) - width + 1) if first[tuple(u[k : k + width])] < i} for i, u in cut.items()}
+    return {i: starts for i, starts in gone.items() if starts}
+
+
+@pytest.mark.parametrize("limit", [10, 10**6])
+@pytest.mark.parametrize("operator", [phrase_automata, suffix_parse])
+def test_hot_anchors_are_cut(spark, monkeypatch, operator, limit):
+    """A passage with different words around it: no kernel call gets more windows of an anchor than the limit says."""
+    monkeypatch.setattr(recurrence, "HOT", limit, raising=False)
+    core = "a core of exactly thirteen words that all of the documents here share"
+    rng = random.Random(8)
+    rows = [(i, f"{' '.join(f'l{rng.randrange(4)}' for _ in range(6))} {core} r{i % 7} s{i % 5} t{i}") for i in range(300)]
+    rows += [(1000 + i, f"{core} " * 5 + f"u{i}") for i in range(3)] + [(2000, "z" * 700), (2001, "z" * 900)]
+    rng.shuffle(rows)
+    spec, kernel = operator.SPEC, operator.locate if operator is phrase_automata else operator.order
+
+    def guarded(segments):
+        windows = {}
+        for s in segments:
+            data = np.frombuffer(s.content, np.uint8)
+            anchor = spec.units(Chunk(np.zeros(1), np.array([0, len(data)]), data, np.zeros(1))).minima[0]
+            windows[anchor] = windows.get(anchor, 0) + s.windows
+        assert max(windows.values()) <= limit * (spec.width - spec.gram + 1)
+        return kernel(segments)
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    marks = recurrence.recurring_runs(docs, spec, guarded).collect()
+    got = {}
+    for r in marks:
+        size = len(dict(rows)[r.doc_id].encode()) if spec.unit == "byte" else len(dict(rows)[r.doc_id].split())
+        got[r.doc_id] = {k for m in r.marks for k in range(m.start, min(m.start + m.windows, size - spec.width + 1))}
+    units = (lambda t: t.encode()) if spec.unit == "byte" else str.split
+    assert got == brute_force_windows(rows, units, spec.width)
+
+
 def test_repeated_rows_and_empty_tables(spark):
     long = " ".join(f"t{i}" for i in range(40))
     twice = spark.createDataFrame([(1, long), (1, long), (2, long), (None, long)], "doc_id long, text string")
