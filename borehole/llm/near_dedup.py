@@ -12,8 +12,12 @@ white space; shorter documents have one shingle, empty ones none. Two documents
    when the posterior probability of a similarity of at least 0.75, given the matches so far and
    a uniform prior, is below ``MISS``.
 4. Survivors are confirmed on their full sets; links become components.
-5. Members of a bucket that still lie in different components are compared with each other, in
-   blocks: a task holds two blocks of members and returns the links it adds, never all pairs.
+5. Members of a bucket that still lie in different components are compared with each other, if
+   they are at most ``BLOCK``. Members of larger buckets meet again by the rare part of their sets:
+   with shingles in one order of all sets, counted ones last, a link shares a shingle of the first
+   seventh (and one) of the smaller set and the first quarter (and one) of the larger. So pages of
+   one source that share less than a link don't meet. These groups get stars as in 2 to 4; what
+   still lies in different components is compared by signatures, in blocks, and then confirmed.
 
 Shingles are compared as 64-bit hashes of all their words.
 
@@ -35,7 +39,9 @@ from pyspark.sql import functions as F
 
 from borehole.llm.cleanup import release
 from borehole.llm.components import connected_components
-from borehole.llm.hashing import LOWER, U64, chunks, grams, mix, signed, word_bounds, word_hashes
+from borehole.llm.hashing import (
+    LOWER, U64, chunks, grams, mix, signed, text_buffers, word_bounds, word_hashes,
+)
 from borehole.session import materialise, ship_package
 
 WORDS = 5
@@ -46,6 +52,8 @@ BATCH = 32
 #: A pair is pruned when the posterior probability that it is a link is below this.
 MISS = 1e-6
 BLOCK = 256
+#: Cells of the table of counts that orders shingles: rare cells first.
+CELL_BITS = 18
 
 _FACTORS = np.random.default_rng(20260102).integers(1, 2**63, HASHES, dtype=np.int64).astype(U64) | U64(1)
 _SKETCH = "doc_id long, n_shingles long, digest long, digest2 long, signature binary"
@@ -201,10 +209,8 @@ def _confirm(batches):
         yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok)], names=["a", "b"])
 
 
-def _block_links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Links between two blocks of a bucket's members, as a spanning forest of new ones."""
-    here = table.column("x").to_numpy() == table.column("part").to_numpy()
-    there = table.column("y").to_numpy() == table.column("part").to_numpy()
+def _bucket_links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Links between members of a small bucket, as a spanning forest of new ones."""
     ids = table.column("doc_id").to_numpy()
     comp = table.column("component").to_numpy()
     sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
@@ -218,10 +224,8 @@ def _block_links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return c
 
     found = []
-    right = np.flatnonzero(there)
-    for i in np.flatnonzero(here).tolist():
-        ok = right[(ids[right] > ids[i]) | ~here[right]]
-        ok = ok[comp[ok] != comp[i]]
+    for i in range(len(ids)):
+        ok = np.flatnonzero((ids > ids[i]) & (comp != comp[i]))
         if len(ok):
             ok = ok[bayes_keep(np.broadcast_to(sig[i], (len(ok), HASHES)), sig[ok])]
         for j in ok.tolist():
@@ -229,11 +233,75 @@ def _block_links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             if p != q and linked(sets[i], sets[j]):
                 parent[max(p, q)] = min(p, q)
                 found.append((int(ids[i]), int(ids[j])))
+    return _pairs(found)
+
+
+def _block_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Pairs of two blocks that lie in different components and survive size and posterior tests."""
+    part = table.column("part").to_numpy()
+    here, there = part == table.column("x").to_numpy(), part == table.column("y").to_numpy()
+    ids, comp, size = (table.column(x).to_numpy() for x in ("doc_id", "component", "n_shingles"))
+    sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
+    found = []
+    right = np.flatnonzero(there)
+    for i in np.flatnonzero(here).tolist():
+        ok = right[((ids[right] > ids[i]) | ~here[right]) & (comp[right] != comp[i])]
+        ok = ok[_sizes_agree(size[ok], size[i])]
+        if len(ok):
+            ok = ok[bayes_keep(np.broadcast_to(sig[i], (len(ok), HASHES)), sig[ok])]
+        found += [(int(ids[i]), int(ids[j])) for j in ok]
+    return _pairs(found)
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.Table:
     return pa.table(
-        {"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())}
+        {"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())}
     )
 
 
+def _cell(shingles: np.ndarray) -> np.ndarray:
+    return (mix(shingles) >> U64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _cell_counts(batches):
+    total = np.zeros(1 << CELL_BITS, np.int64)
+    for batch in batches:
+        at, raw = text_buffers(batch.column(1))
+        total += np.bincount(_cell(np.frombuffer(raw[at[0] : at[-1]].tobytes(), U64)), minlength=len(total))
+    cells = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(total[cells])], names=["cell", "n"])
+
+
+def prefix(shingles: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first shingles of a set in the common order, and how many it needs towards larger sets.
+
+    Linked sets of n <= m shingles have at least 6/7 n and 3/4 m in common, so less than that
+    can't lie behind both prefixes.
+    """
+    n = len(shingles)
+    order = np.lexsort((shingles, counts[_cell(shingles)]))
+    return shingles[order[: n + 1 + (-PERCENT * n // 100)]], n + 1 + (-2 * PERCENT * n // (100 + PERCENT))
+
+
+def _prefix_rows(counts: np.ndarray):
+    def rows(batches):
+        for batch in batches:
+            keys, sizes, small = [], [], []
+            for s in batch.column(1).to_pylist():
+                own, n = prefix(np.frombuffer(s, U64), counts)
+                keys.append(own)
+                sizes.append(len(own))
+                small.append(np.arange(len(own)) < n)
+            if keys:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signed(np.concatenate(keys))), pa.array(np.repeat(batch.column(0).to_numpy(), sizes)),
+                     pa.array(np.repeat(batch.column(2).to_numpy(), sizes)), pa.array(np.concatenate(small))],
+                    names=["key", "doc_id", "component", "small"],
+                )
+
+    return rows
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
     spark = docs.sparkSession
@@ -293,6 +361,10 @@ def _star_links(crowded: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFra
     likely = materialise(
         pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_prune, "a long, b long"), "likely"
     )
+    return _confirmed(likely, sets)
+
+
+def _confirmed(likely: DataFrame, sets: DataFrame) -> DataFrame:
     full = likely.hint("merge").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b"
     )
@@ -302,18 +374,75 @@ def _star_links(crowded: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFra
 def _rest_links(followers: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between members of one bucket that lie in different components so far.
 
-    A bucket's members are dealt into blocks, and each pair of blocks is a group, so no group
-    holds more than two blocks. Members of buckets with one component do not take part.
+    Members of buckets with one component do not take part.
     """
     sizes = followers.groupBy("band").agg(
         F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")
     )
-    open_ = sizes.where("lo < hi").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = materialise(followers.join(open_, "band").select("band", "blocks", "doc_id", "component"), "open")
-    part = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    dealt = rows.hint("merge").join(reps.select("doc_id", "signature"), "doc_id").join(sets, "doc_id").withColumn("part", part)
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", "doc_id", "component", "signature", "shingles", "part",
-        F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"),
+    open_ = sizes.where("lo < hi").select("band", "n")
+    rows = materialise(followers.join(open_, "band").select("band", "n", "doc_id", "component"), "open")
+    few = rows.where(F.col("n") <= BLOCK).hint("merge").join(reps.select("doc_id", "signature"), "doc_id")
+    links = few.join(sets, "doc_id").groupBy("band").applyInArrow(_bucket_links, "a long, b long")
+    many = rows.where(F.col("n") > BLOCK)
+    if many.isEmpty():
+        return links
+    return links.union(_prefix_links(many.select("doc_id", "component").distinct(), reps, sets))
+
+
+def _prefix_links(members: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between members of large buckets, which meet by the shingles of their prefixes.
+
+    A group is one shingle. One of a pair has it in its short prefix, and one lies outside of the
+    group's largest component: the rarer of the two kinds is compared with all, in pairs of blocks.
+    """
+    wide = materialise(
+        members.hint("merge").join(sets, "doc_id").select("doc_id", "shingles", "component"), "wide"
+    )
+    cells = wide.mapInArrow(_cell_counts, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << CELL_BITS, np.int64)
+    counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    keys = wide.mapInArrow(_prefix_rows(counts), "key long, doc_id long, component long, small boolean")
+    keys = materialise(keys, "prefixes")
+    leaders = keys.groupBy("key").agg(
+        F.min("doc_id").alias("leader"), F.min_by("component", "doc_id").alias("led"), F.max("small").alias("any"),
+        F.min("component").alias("lo"), F.max("component").alias("hi"),
+    ).where("lo < hi and any")
+    shared = materialise(keys.join(leaders, "key").select("key", "leader", "led", "doc_id", "component", "small"), "shared")
+    del cells, keys, leaders
+    release(reps.sparkSession)
+    star = _star_links(shared.where("component <> led"), reps, sets)
+
+    # components of components
+    own = wide.select(F.col("doc_id").alias("id"), "component")
+    moved = star.join(own.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(
+        own.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b"
+    )
+    moved = connected_components(moved.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    shared = shared.join(moved, shared.component == moved.node, "left").select(
+        "key", "doc_id", "small", F.coalesce(moved.component, shared.component).alias("component")
+    )
+    shared = materialise(shared, "grouped")
+    del moved
+    release(reps.sparkSession)
+    kinds = shared.groupBy("key", "component").agg(F.count("*").alias("n"), F.count_if("small").alias("short"))
+    groups = kinds.groupBy("key").agg(
+        F.count("*").alias("kinds"), F.sum("n").alias("n"), F.sum("short").alias("short"),
+        (F.sum("n") - F.max("n")).alias("outside"), F.max_by("component", "n").alias("top"),
+    ).where("kinds > 1 and short > 0")
+    asking = F.when(F.col("short") <= F.col("outside"), F.col("small")).otherwise(F.col("component") != F.col("top"))
+    asked = F.least("short", "outside")
+    rows = shared.join(groups, "key").select(
+        "key", "doc_id", "component", asking.alias("asking"), F.ceil(asked / BLOCK).cast("int").alias("ours"),
+        F.ceil((F.col("n") - asked) / BLOCK).cast("int").alias("others"),
+    )
+    deal = F.xxhash64("doc_id")
+    part = F.when(F.col("asking"), F.pmod(deal, F.col("ours"))).otherwise(F.col("ours") + F.pmod(deal, F.col("others")))
+    last = F.when(F.col("asking"), F.col("ours") + F.col("others")).otherwise(F.col("ours")) - 1
+    spread = (
+        rows.withColumn("part", part.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+        .hint("merge").join(reps.select("doc_id", "n_shingles", "signature"), "doc_id")
+        .select("key", "doc_id", "component", "n_shingles", "signature", "part",
+                F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
     )
-    return spread.groupBy("band", "x", "y").applyInArrow(_block_links, "a long, b long")
+    pairs = spread.groupBy("key", "x", "y").applyInArrow(_block_pairs, "a long, b long").distinct()
+    return star.union(_confirmed(materialise(pairs, "pairs"), sets))

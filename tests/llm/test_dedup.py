@@ -96,6 +96,53 @@ def test_buckets_of_many_components(spark, monkeypatch):
         assert {got[10 * k + j + 1] for j in range(3)} == {10 * k + 1}
 
 
+def hot_source() -> list[tuple[int, set[int]]]:
+    """Pages of one source with 60 and 83 percent in common, and near copies of some of them."""
+    rng = np.random.default_rng(4)
+    common = rng.integers(1, 2**63, 500, dtype=np.int64).tolist()
+    sets = [{*common[: 60 if i % 2 else 83], *rng.integers(1, 2**63, 40 if i % 2 else 17, dtype=np.int64).tolist()} for i in range(80)]
+    sets += [{*sorted(s)[k % 5 :], *range(k % 9)} for k, s in enumerate(sets[:30])]
+    return [(7 * i % 113, s) for i, s in enumerate(sets)]
+
+
+def test_prefixes_keep_links_and_part_a_hot_source():
+    sets = [np.array(sorted(s), np.uint64) for _, s in hot_source()]
+    counts = np.zeros(1 << near_dedup.CELL_BITS, np.int64)
+    for s in sets:
+        np.add.at(counts, near_dedup._cell(s), 1)
+    made = [near_dedup.prefix(s, counts) for s in sets]
+    met = links = 0
+    for x, (long, n) in enumerate(made):
+        for y, (other, m) in enumerate(made[:x]):
+            meet = bool({*long[:n].tolist()} & {*other.tolist()} or {*long.tolist()} & {*other[:m].tolist()})
+            link = near_dedup.linked(sets[x], sets[y])
+            assert meet or not link
+            met, links = met + meet, links + link
+    assert links > 20 and met < 3 * links
+
+
+def test_large_open_buckets(spark, monkeypatch):
+    """Only pairs that meet by a prefix are compared, and all links are found."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rows = [(i, " ".join(f"w{x}" for x in sorted(s))) for i, s in hot_source()]
+    sets = {i: shingles(t) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x in sets:
+        for y in sets:
+            both = len(sets[x] & sets[y])
+            if x < y and 100 * both >= 75 * (len(sets[x]) + len(sets[y]) - both):
+                p, q = root(x), root(y)
+                parent[max(p, q)] = min(p, q)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == {i: root(i) for i in sets}
+
+
 def test_phrases_are_exact(docs):
     rows = sorted(awkward())
     first, words = {}, {}
