@@ -95,6 +95,17 @@ def test_boundaries_are_optimal():
             assert ends[-1] == lengths[-1] and len(ends) <= k and cost(ends) == best
 
 
+def test_long_lengths_are_near_the_optimum(spark):
+    """Above the exact cells the padded size is at most 65/64 of the least one."""
+    lengths = np.random.default_rng(2).integers(2049, 9000, 400)
+    docs = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "doc_id long, n long")
+    got = sum(r.bucket_tokens for r in packing.pack(docs, buckets=5, length_col="n").collect())
+    exact, counts = np.unique(lengths, return_counts=True)
+    ends = np.array(packing.boundaries(exact, counts, 5))
+    best = int((counts * ends[np.searchsorted(ends, exact)]).sum())
+    assert best <= got <= best * 65 / 64
+
+
 def test_batches_fit(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARE", 10)
     rows = [(i, "w " * (i % 37)) for i in range(200)] + [(500, None), (501, "w " * 5000), (None, "w"), (3, "w w w")]
