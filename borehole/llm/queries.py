@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from borehole.llm import (
-    blocks, bpe, hamming, kmeans_tree, language, line_templates, near_dedup, packing, phrase_automata, suffix_parse,
+    bit_codes, blocks, bpe, hamming, kmeans_tree, language, line_templates, near_dedup, packing, phrase_automata,
+    risk_rules, suffix_parse, whitening,
 )
 
 
@@ -65,6 +66,23 @@ def op10_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans_tree.nearest_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return bit_codes.hard_negatives(_table(spark, sf_dir, "embeddings"), moved)
+
+
+def op12_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = risk_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return made.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -73,7 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_near_dedup, op2_phrase_dedup, op3_suffix_dedup, op4_language, op5_main_text, op6_line_dedup, op7_packing,
-        op8_bpe, op9_hamming, op10_kmeans_tree, pipeline,
+        op8_bpe, op9_hamming, op10_kmeans_tree, op11_bit_codes, op12_risk_rules, op13_whitening, pipeline,
     )
 }
 
@@ -157,4 +175,74 @@ d AS (SELECT q.vec_id AS query_id, v.vec_id,
       FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM d)
 SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 20""",
+    "op11_bit_codes": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score,
+       score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 3""",
+    "op12_risk_rules": rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS stratum, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT r, {_WORDS} AS ws, string_split(text, chr(10)) AS ls FROM t
+), l AS (
+  SELECT r, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines
+  FROM (SELECT r, list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w)
+), g AS (
+  SELECT r, i, array_to_string(ws[i:i + 7], ' ') AS g
+  FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)
+), c AS (
+  SELECT r, count(DISTINCT i) AS n_repeat_words
+  FROM (SELECT r, unnest(range(i, i + 8)) AS i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1)
+  GROUP BY r
+), m AS (
+  SELECT doc_id, stratum, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, n_lines, n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM t JOIN w USING (r) JOIN l USING (r) LEFT JOIN c USING (r)
+), f AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
+), y AS (
+  SELECT doc_id, min(quality) AS good FROM labels WHERE quality IN (0, 1) GROUP BY doc_id HAVING min(quality) = max(quality)
+), k(rule, level, a, b) AS (VALUES
+  {", ".join(f"({rule}, {i}, {a}, {b})" for rule, ladder in enumerate((
+      [(c, 0) for c in risk_rules.SYMBOL_SHARE], [(c, 0) for c in risk_rules.REPEATED_WORDS],
+      [(c, 0) for c in risk_rules.REPEATED_LINES], risk_rules.WORD_LENGTH)) for i, (a, b) in enumerate(ladder))}
+), hit AS (
+  SELECT f.*, rule, level, CASE rule
+    WHEN 0 THEN 100 * n_symbols > a * word_chars WHEN 1 THEN 100 * n_repeat_words > a * n_words
+    WHEN 2 THEN 100 * n_dup_lines > a * n_lines
+    ELSE 100 * word_chars < a * n_words OR 100 * word_chars > b * n_words END AS rejected
+  FROM f, k
+), s AS (
+  SELECT stratum, rule, level, count(*) FILTER (good = 1) AS n, count(*) FILTER (good = 1 AND rejected) AS g,
+         count(*) FILTER (good = 0 AND rejected) AS p
+  FROM hit JOIN y USING (doc_id) WHERE NOT base_failed GROUP BY ALL HAVING count(*) FILTER (good = 1) > 0
+), chosen AS (
+  SELECT stratum, rule, max_by(level, (p - g) * 100 - level) AS level FROM s
+  WHERE p > g AND g < n * {risk_rules.ALPHA / risk_rules.RULES}
+    AND list_sum(list_transform(range(0, g + 1), lambda i: exp(
+          lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk_rules.ALPHA / risk_rules.RULES})
+          + (n - i) * ln(1 - {risk_rules.ALPHA / risk_rules.RULES}))))
+      <= {risk_rules.DELTA / risk_rules.RULES} / (SELECT count(DISTINCT stratum) FROM s)
+  GROUP BY ALL
+), gone AS (
+  SELECT doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+         bool_or(rejected AND hit.level = chosen.level) AS gone
+  FROM hit LEFT JOIN chosen USING (stratum, rule) GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(gone, false) AS kept FROM gone""",
 }
