@@ -7,8 +7,10 @@ is taken for all of them at once. Words above ``LONG`` bytes take the same merge
 (rank, place), so that their time does not grow with the square of their length.
 
 ``encode`` returns ``n_tokens, ids`` and ``decode`` the text of ids: the vocabulary has no decoder,
-so tokens are joined by one space. Null and empty texts have no tokens and decode to the empty
-string; unknown ids are skipped. The strings of the special tokens are those tokens wherever they
+so tokens are joined by one space. ``encode(..., decoded=True)`` does both in one pass over the texts. Null and
+empty texts have no tokens and decode to the empty string; unknown ids are skipped. An empty table gives no rows;
+repeated rows come back as often as given, and ids may be null. A task holds texts of about ``TOGETHER`` characters
+at a time, or one longer text, whose tables take some fifty bytes a character. The strings of the special tokens are those tokens wherever they
 occur. Texts with letters beyond the Latin blocks are cut into words by the library's own splitter,
 which settles which Unicode version counts as a letter. Other columns pass ``encode`` by id only.
 """
@@ -23,6 +25,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +34,7 @@ from borehole.session import ship_package
 
 LONG = 64
 #: Characters of texts that are encoded at once; one longer text alone.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
 NONE = np.int32(2**31 - 1)
 LATIN = 0x240
 #: The word pattern that ``latin_words`` follows (fixed value of the vocabulary file).
@@ -54,20 +57,17 @@ class Tokenizer:
             spec = json.load(f)
         model = spec["model"]
         vocab = model["vocab"]
-        self.tokens = {i: t for t, i in vocab.items()}
+        tokens = {i: t for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens.update({i: t for t, i in self.special.items()})
+        tokens.update({i: t for t, i in self.special.items()})
         suffix = model.get("end_of_word_suffix") or ""
         pairs = [p.split(" ") if isinstance(p, str) else p for p in model["merges"]]
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(pairs):
-            self.ranks.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
         self.width = max(vocab.values()) + 1
-        keys = np.array([a * self.width + b for a, b in self.ranks], np.int64)
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.key_ranks = np.array([r for r, _ in self.ranks.values()], np.int32)[order]
+        # the merge table: pairs as sorted numbers, and the first rank of each
+        keys = np.array([vocab[a] * self.width + vocab[b] for a, b in pairs], np.int64)
+        self.keys, first = np.unique(keys, return_index=True)
+        self.key_ranks = first.astype(np.int32)
         letters = byte_letters()
         self.start = np.array([vocab[letters[b]] for b in range(256)], np.int32)
         self.end = np.array([vocab[letters[b] + suffix] for b in range(256)], np.int32)
@@ -78,7 +78,7 @@ class Tokenizer:
         if pattern != PATTERN:
             raise ValueError(f"unsupported word pattern {pattern!r}")
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.strings = np.array([self.tokens.get(i) for i in range(max(self.tokens) + 1)], object)
+        self.strings = np.array([tokens.get(i) for i in range(max(tokens) + 1)], object)
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) * self.width + b
@@ -105,7 +105,7 @@ class Tokenizer:
             ids[:, -1] = self.end[raw[:, -1]]
             if length > LONG:
                 for k, row in zip(own.tolist(), ids, strict=True):
-                    done.append((np.array([k]), np.array([merge_long(row.tolist(), self.ranks)], np.int32)))
+                    done.append((np.array([k]), self.merge_long(row)[None]))
             else:
                 done.extend((own[rows], final) for rows, final in self.merge(ids))
         for rows, final in done:
@@ -156,6 +156,37 @@ class Tokenizer:
                 p = at[to_left]
                 rank[to_left, p - 1] = self.pair_ranks(ids[to_left, p - 1], ids[to_left, p])
 
+    def merge_long(self, word: np.ndarray) -> np.ndarray:
+        """The same merges of one long word from a heap; stale entries are recognised by their pair."""
+        ids, n = word.tolist(), len(word)
+        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
+        first = self.pair_ranks(word[:-1], word[1:])
+        heap = [(int(first[i]), i, ids[i], ids[i + 1]) for i in np.flatnonzero(first != NONE).tolist()]
+        heapq.heapify(heap)
+
+        def push(i: int) -> None:
+            j = right[i]
+            if j >= 0:
+                key = ids[i] * self.width + ids[j]
+                at = int(np.searchsorted(self.keys, key))
+                if at < len(self.keys) and self.keys[at] == key:
+                    heapq.heappush(heap, (int(self.key_ranks[at]), i, ids[i], ids[j]))
+
+        alive = [True] * n
+        while heap:
+            rank, i, a, b = heapq.heappop(heap)
+            j = right[i]
+            if not alive[i] or j < 0 or ids[i] != a or ids[j] != b:
+                continue
+            ids[i], alive[j] = int(self.merged[rank]), False
+            right[i] = right[j]
+            if right[j] >= 0:
+                left[right[j]] = i
+            push(i)
+            if left[i] >= 0:
+                push(left[i])
+        return np.array([x for x, ok in zip(ids, alive, strict=True) if ok], np.int32)
+
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, text after text, and the number of ids of each."""
         plain, raw, other = [], [], []
@@ -270,77 +301,54 @@ def byte_letters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
-def merge_long(ids: list[int], ranks: dict) -> list[int]:
-    """The same merges from a heap; stale entries are recognised by their pair."""
-    n = len(ids)
-    left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-    heap = []
-
-    def push(i: int) -> None:
-        j = right[i]
-        if j >= 0 and (p := ranks.get((ids[i], ids[j]))):
-            heapq.heappush(heap, (p[0], i, ids[i], ids[j], p[1]))
-
-    for i in range(n):
-        push(i)
-    alive = [True] * n
-    while heap:
-        _, i, a, b, new = heapq.heappop(heap)
-        j = right[i]
-        if not alive[i] or j < 0 or ids[i] != a or ids[j] != b:
-            continue
-        ids[i], alive[j] = new, False
-        right[i] = right[j]
-        if right[j] >= 0:
-            left[right[j]] = i
-        push(i)
-        if left[i] >= 0:
-            push(left[i])
-    return [x for x, ok in zip(ids, alive, strict=True) if ok]
-
-
 @cache
 def tokenizer(path: str) -> Tokenizer:
     """One per worker process."""
     return Tokenizer(path)
 
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids`` for every row."""
+def _slices(texts: pa.Array):
+    """Runs of rows of about ``TOGETHER`` characters, as (first row, texts)."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.utf8_length(texts), 0), np.int64))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + TOGETHER, "right")))
+        yield at, [t or "" for t in texts.slice(at, to - at).to_pylist()]
+        at = to
+
+
+def encode(
+    docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False
+) -> DataFrame:
+    """``doc_id, n_tokens, ids`` for every row, and the text of its ids if ``decoded``."""
     ship_package(docs.sparkSession)
-    file = path or default_path()
 
     def run(batches):
-        own = tokenizer(file)
+        own = tokenizer(path or default_path())
         for batch in batches:
-            texts, at, size = [], 0, 0
-            for i in range(batch.num_rows):
-                texts.append(batch.column(1)[i].as_py() or "")
-                size += len(texts[-1])
-                if size > TOGETHER or i == batch.num_rows - 1:
-                    flat, n = own.encode_all(texts)
-                    ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(at, len(texts)), pa.array(n), ids],
-                        names=["doc_id", "n_tokens", "ids"],
-                    )
-                    texts, at, size = [], i + 1, 0
-
+            for at, texts in _slices(batch.column(1)):
+                flat, n = own.encode_all(texts)
+                ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+                columns = [batch.column(0).slice(at, len(texts)), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                if decoded:
+                    columns.append(pa.array([own.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = ["doc_id", "n_tokens", "ids", *["decoded"] * decoded]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with a column ``decoded``, which replaces one of that name."""
     ship_package(encoded.sparkSession)
-    file = path or default_path()
     rows = encoded.drop("decoded")
     place = rows.columns.index(ids_col)
     schema = rows.withColumn("decoded", F.lit("")).schema
 
     def run(batches):
-        own = tokenizer(file)
+        own = tokenizer(path or default_path())
         for batch in batches:
             column = batch.column(place)
             ends = column.offsets.to_numpy()

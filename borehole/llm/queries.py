@@ -51,7 +51,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents")))
+    coded = bpe.encode(_table(spark, sf_dir, "documents"), decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select(
         "doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")

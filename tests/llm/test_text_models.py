@@ -63,9 +63,16 @@ def test_tokens_equal_the_library(spark):
     texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(150).collect()]
     texts += [None, "", "I'LL 'ss ''s 're've12²½", "ΑΣ ΣΑΣ İ ß", "漢字 ひらがな 🙂", "a" * 3000, "<|endoftext|>x<|startoftext|>",
               "\x00\x1f\x7f\x85 ​", "ét́"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for r in bpe.decode(bpe.encode(docs)).collect():
-        ids = lib.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
-        assert (r.ids, r.n_tokens) == (ids, len(ids))
-        assert r.decoded == lib.decode(ids, skip_special_tokens=False)
+    texts += ["the" * 40 + "ing" * 30 + "zq" * 50 + "ß" * 40]  # one word above LONG bytes
+    # other columns, also of the result's names, take no part; repeated rows come back
+    rows = [(i, t, "x", 1) for i, t in enumerate(texts)] + [(0, texts[0], "x", 1), (None, texts[1], "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, decoded int")
+    for coded in (bpe.decode(bpe.encode(docs)), bpe.encode(docs, decoded=True)):
+        assert coded.columns == ["doc_id", "n_tokens", "ids", "decoded"]
+        got = coded.collect()
+        assert len(got) == len(rows)
+        for r in got:
+            ids = lib.encode(texts[1 if r.doc_id is None else r.doc_id] or "", add_special_tokens=False).ids
+            assert (r.ids, r.n_tokens) == (ids, len(ids))
+            assert r.decoded == lib.decode(ids, skip_special_tokens=False)
     assert bpe.decode(bpe.encode(docs.where("false"))).count() == 0
