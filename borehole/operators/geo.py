@@ -10,16 +10,18 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from borehole.functions import parsing as P
 from borehole.functions.geodesy import haversine_km, linspace
 from borehole.operators import grouping as G
+from borehole.operators import similarity as S
+from borehole.operators.similarity import GEO_WEIGHT, RELEVANT_KM, VALUE_WEIGHT
 from borehole.session import materialise
 
-GEO_WEIGHT, VALUE_WEIGHT = 0.3, 0.7
-RELEVANT_KM = 1000.0
 SAME_PLACE_WEIGHT = 1e6
 PLACES_PER_TASK = 100_000
+LITERAL_TARGETS = 1000  # more targets are looked for through the tree of all stations
 
 
 def valid_coordinates(df: DataFrame, lat: str, lon: str) -> DataFrame:
@@ -167,23 +169,33 @@ def similar_stations(
     lon: str,
     value: str,
     id_col: str,
-    targets: str | int | Sequence,
+    targets: str | int | Sequence | DataFrame | None = None,
     k: int = 5,
 ) -> DataFrame:
     """The ``k`` stations most like each target by place and value, best first.
 
-    The target rows are looked up first and become literals, so every station is scored
-    where it lies; only ``k`` rows per target and task are shuffled.
+    ``targets`` is an id, some ids, a table whose first column holds ids, or ``None`` for every station. The rows of a
+    few ids become literals: every station is scored where it lies, and only ``k`` rows per target and task are
+    shuffled. More targets go through :class:`~borehole.operators.similarity.Search`. Missing values count as 0;
+    stations without id or coordinates are left out. Ids of a list must exist, those of a table may be absent.
     """
-    wanted = [targets] if isinstance(targets, (str, int)) else list(targets)
-    if len(wanted) > 1000:
-        raise ValueError("at most 1000 targets at a time")
     points = df.select(
         F.col(id_col).alias("station_id"),
         P.try_number(df, lat).alias("lat"),
         P.try_number(df, lon).alias("lon"),
         F.coalesce(P.try_number(df, value), F.lit(0.0)).alias("value"),
-    )
+    ).where("station_id is not null and lat is not null and lon is not null")
+    if targets is None or isinstance(targets, DataFrame):
+        wanted = targets if targets is None else targets.select(F.col(targets.columns[0]).alias("target_id"))
+        search = S.Search(points)
+        return search.best(S.targets_of(search.points, wanted), k)
+    wanted = [targets] if isinstance(targets, (str, int)) else list(targets)
+    if len(wanted) > LITERAL_TARGETS:
+        listed = df.sparkSession.createDataFrame([(w,) for w in wanted], T.StructType([T.StructField("target_id", df.schema[id_col].dataType)]))
+        missing = [r["target_id"] for r in listed.join(points, F.col("target_id") == F.col("station_id"), "left_anti").limit(10).collect()]
+        if missing:
+            raise ValueError(f"target stations not found: {sorted(map(str, missing))}")
+        return similar_stations(df, lat, lon, value, id_col, listed, k)
     # the first row of an id, should it occur twice
     found = (
         points.where(F.col("station_id").isin(wanted))

@@ -123,6 +123,18 @@ def similar_stations(spark, sf):
     return V.rounded(found)
 
 
+EVERY = SIMILAR.replace("on t.station_id in (1, 7, 42)\n    and t.station_id", "on t.station_id")
+
+
+@query(f"""with {V.STATIONS_LARGE}, {EVERY}
+select target_id, station_id, round(lat, 4) as lat, round(lon, 4) as lon, round(value, 4) as value,
+  round(distance_km, 4) as distance_km, round(value_similarity, 4) as value_similarity,
+  round(combined_score, 4) as combined_score, cast(rank as int) as rank from best where rank <= 5""")
+def similar_to_each_station(spark, sf):
+    """Every station as a target."""
+    return V.rounded(geo.similar_stations(V.stations_large(spark, sf), "lat", "lon", "value", "station_id", k=5))
+
+
 GRID = """box as (
   select min(lat) as s, max(lat) as n, min(lon) as w, max(lon) as e from stations_large),
 grid as (

@@ -150,3 +150,82 @@ def test_auto_analysis(spark):
     assert found["anomaly"]["statistics"].first()["total_samples"] == n
     with pytest.raises(ValueError):
         analyze.run_analysis(df, "other", analyze.Roles("row"))
+
+
+def _stations(n, seed=0, places=10**6):
+    """Stations with few places and values, so that scores tie, and a third of them at one place."""
+    rng = np.random.default_rng(seed)
+    lat, lon = rng.uniform(-85, 85, n).round(1), rng.uniform(-180, 180, n).round(1)
+    lat[::3], lon[::3] = 10.0, 179.9
+    value = rng.integers(0, 40, n) / 4.0
+    value[::3] = 3.0
+    return [(f"s{i:05d}", float(a), float(o), float(v)) for i, (a, o, v) in enumerate(zip(lat, lon, value, strict=True))]
+
+
+STATION = "sid string, lat double, lon double, v double"
+
+
+def _most_alike(rows, target, k):
+    from math import asin, cos, radians, sin, sqrt
+
+    def score(a, b):
+        h = sin(radians(b[1] - a[1]) / 2) ** 2 + cos(radians(a[1])) * cos(radians(b[1])) * sin(radians(b[2] - a[2]) / 2) ** 2
+        km = 2 * 6371 * asin(sqrt(min(1, h)))
+        return 0.3 * max(0, 1 - km / 1000) + 0.7 / (1 + abs(a[3] - b[3]))
+
+    found = sorted((-round(score(target, r), 9), r[0]) for r in rows if r[0] != target[0])
+    return [-s for s, _ in found[:k]]
+
+
+@pytest.mark.parametrize(("leaf_rows", "part_rows", "ask_rows"), [(1024, 4096, 8192), (16, 24, 40)])
+def test_every_station_finds_its_most_alike(spark, monkeypatch, leaf_rows, part_rows, ask_rows):
+    from borehole.operators import similarity as S
+
+    monkeypatch.setattr(S, "PART_ROWS", part_rows)
+    monkeypatch.setattr(S, "ASK_ROWS", ask_rows)
+    rows = _stations(700)
+    df = spark.createDataFrame(rows + [("gone", None, 1.0, 1.0), (None, 1.0, 1.0, 1.0)], STATION)
+    points = df.toDF("station_id", "lat", "lon", "value").na.drop()
+    search = S.Search(points, leaf_rows)
+    got = {}
+    for r in search.best(S.targets_of(points), 5).orderBy("target_id", "rank").collect():
+        got.setdefault(r.target_id, []).append((round(r.combined_score, 9), r.station_id))
+    assert set(got) == {r[0] for r in rows}
+    for r in rows:
+        assert [s for s, _ in got[r[0]]] == pytest.approx(_most_alike(rows, r, 5), abs=2e-9)
+    # all stations at the hot place are alike: the smallest ids win
+    assert [i for _, i in got["s00003"]] == ["s00000", "s00006", "s00009", "s00012", "s00015"]
+
+
+def test_similarity_over_many_targets(spark):
+    rows = _stations(1200, seed=4)
+    df = spark.createDataFrame(rows + [("gone", None, 1.0, None)], STATION)
+    few = geo.similar_stations(df, "lat", "lon", "v", "sid", ["s00001", "s00008"], k=3)
+    listed = geo.similar_stations(df, "lat", "lon", "v", "sid", [r[0] for r in rows[:1100]], k=3)
+    every = geo.similar_stations(df, "lat", "lon", "v", "sid", k=3)
+    asked = geo.similar_stations(df, "lat", "lon", "v", "sid", spark.createDataFrame([("s00001",), ("s00008",), ("none",)], "x string"), k=3)
+
+    def of(found):
+        return sorted((r.target_id, r["rank"], round(r.combined_score, 9)) for r in found.where("target_id in ('s00001', 's00008')").collect())
+
+    assert of(few) == of(listed) == of(every) == of(asked) and len(of(few)) == 6
+    assert listed.select("target_id").distinct().count() == 1100 and asked.count() == 6
+    with pytest.raises(ValueError, match="not found.*nowhere"):
+        geo.similar_stations(df, "lat", "lon", "v", "sid", [r[0] for r in rows] + ["nowhere"])
+    alone = geo.similar_stations(df.where("sid = 's00001'"), "lat", "lon", "v", "sid")
+    assert alone.isEmpty() and geo.similar_stations(df.where("false"), "lat", "lon", "v", "sid").isEmpty()
+
+
+def test_compared_pairs_grow_below_the_square(spark):
+    from borehole.operators import similarity as S
+
+    def compared(n):
+        rng = np.random.default_rng(n)
+        rows = [(i, float(a), float(o), float(v)) for i, (a, o, v) in enumerate(zip(
+            rng.uniform(8, 37, n), rng.uniform(68, 97, n), rng.uniform(0, 200, n), strict=True))]
+        points = spark.createDataFrame(rows, "station_id long, lat double, lon double, value double")
+        return S.Search(points, 64).compared(S.targets_of(points), 5)
+
+    small, large = compared(2000), compared(16_000)
+    assert large < 0.2 * 16_000**2
+    assert large < 8**1.8 * small
