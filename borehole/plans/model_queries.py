@@ -217,14 +217,41 @@ def write_geojson(spark, sf):
     return V.rounded(back.select("properties.id", "type", "properties.lat"))
 
 
+def _written_collection(spark, sf):
+    path = scratch_path(spark, "collection")
+    points = geo.stations(V.stations_large(spark, sf), "lat", "lon", "value", "station_id")
+    return path, sinks.write_feature_collection(geo.to_geojson(points), path)
+
+
 @query(f"""with {V.STATIONS_LARGE} select 'FeatureCollection' as type, count(*) as features
 from stations_large""")
 def feature_collection(spark, sf):
-    points = geo.stations(V.stations_large(spark, sf), "lat", "lon", "value", "station_id")
-    document = sinks.feature_collection(geo.to_geojson(points))
-    schema = "type string, features array<struct<type: string>>"
-    parsed = document.select(F.from_json("value", schema).alias("d"))
-    return parsed.select("d.type", F.size("d.features").cast("long").alias("features"))
+    """Kind of the document, from its opening, and the features of all its parts by the manifest."""
+    _, manifest = _written_collection(spark, sf)
+    total = manifest.agg(F.sum("features").alias("features"))
+    opening = spark.read.text(manifest.first()["file"]).where(F.col("value").startswith('{"type":'))
+    kind = F.from_json(F.concat("value", F.lit("]}")), "type string, features array<string>")["type"]
+    return opening.select(kind.alias("type")).join(total)
+
+
+@query(f"""with {V.STATIONS_LARGE} select station_id::varchar as id, 'Feature' as type,
+  round(lat, 4) as lat, round(value, 4) as value from stations_large""")
+def collection_features(spark, sf):
+    """The features of a collection written in parts, read back field by field."""
+    path, _ = _written_collection(spark, sf)
+    schema = "type string, properties struct<id: string, lat: double, value: double>"
+    back = sinks.read_feature_collection(spark, path).select(F.from_json("feature", schema).alias("f"))
+    return V.rounded(back.select("f.properties.id", "f.type", "f.properties.lat", "f.properties.value"))
+
+
+@query(f"""with {V.STATIONS_LARGE} select station_id, true as success, 'stations' as task,
+  round(value, 4) as value, lat > 20 as north from stations_large""")
+def result_envelopes(spark, sf):
+    """The envelope of each result, read back field by field."""
+    df = V.stations_large(spark, sf).select("station_id", "value", (F.col("lat") > 20).alias("north"))
+    schema = "success boolean, task string, data struct<station_id: long, value: double, north: boolean>"
+    back = sinks.result_envelope(df, "stations").select(F.from_json("value", schema).alias("r"))
+    return V.rounded(back.select("r.data.station_id", "r.success", "r.task", "r.data.value", "r.data.north"))
 
 
 @query(f"""with {V.GAPPY} select id, segment, balance, segment is null as wrote_null from gappy""")

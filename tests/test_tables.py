@@ -1,6 +1,7 @@
 """Cleaning, detection, quality and files on small tables with known answers."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,10 +162,49 @@ def test_json_keeps_nulls(spark):
     )
 
 
-def test_too_large_a_collection_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(sinks, "COLLECTION_LIMIT", 3)
-    with pytest.raises(ValueError):
-        sinks.feature_collection(spark.range(4).select(F.lit("{}").alias("feature")))
+def _document(spark, path):
+    """The parts of a written collection, joined in the order of its manifest."""
+    text = ""
+    for r in sinks.read_manifest(spark, path).collect():
+        with open(r["file"].removeprefix("file:"), encoding="utf-8") as part:
+            text += part.read()
+    return json.loads(text)
+
+
+def test_a_collection_in_parts_is_one_document(spark, tmp_path):
+    path = str(tmp_path / "map")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        _check_collection(spark, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def _check_collection(spark, path):
+    made = [(i, f'{{"type":"Feature","properties":{{"id":{i},"name":"é {i}"}}}}') for i in range(500)]
+    # the first feature three times, another one twice, one without text
+    rows = made + [made[0], made[0], made[7], (3, None)]
+    features = spark.createDataFrame(rows, "id long, feature string").repartition(5)
+    manifest = sinks.write_feature_collection(features, path).collect()
+    assert len(manifest) > 1 and sum(r["features"] for r in manifest) == 503
+    assert [r["part"] for r in manifest] == sorted(r["part"] for r in manifest) and all(r["bytes"] > 0 for r in manifest)
+    document = _document(spark, path)
+    assert document["type"] == "FeatureCollection"
+    assert [f["properties"]["id"] for f in document["features"]] == sorted([r[0] for r in rows if r[1]])
+    back = sinks.read_feature_collection(spark, path).collect()
+    assert sorted(r["feature"] for r in back) == sorted(r[1] for r in rows if r[1])
+    # written again: the manifest names the new parts only
+    sinks.write_feature_collection(features.where("id = 3"), path)
+    assert [f["properties"]["id"] for f in _document(spark, path)["features"]] == [3]
+    assert sinks.read_feature_collection(spark, path).count() == 1
+
+
+def test_an_empty_collection(spark, tmp_path):
+    path = str(tmp_path / "map")
+    nothing = spark.createDataFrame([(1, None)], "id long, feature string")
+    assert sum(r["features"] for r in sinks.write_feature_collection(nothing, path).collect()) == 0
+    assert _document(spark, path) == {"type": "FeatureCollection", "features": []}
+    assert sinks.read_feature_collection(spark, path).count() == 0
 
 
 def test_registering_again_replaces_one_dataset(spark):
