@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from borehole.operators import clean as C
 from borehole.operators import grouping as G
 from borehole.operators import isolation, neighbours
 from borehole.session import materialise
+from borehole.sources.layouts import Datasets
 
 METHODS = {
     "isolation_forest": isolation.isolation_scores,
@@ -224,6 +226,65 @@ def batch_anomalies(
     return results, top_anomalies(scored, id_col, top, keys)
 
 
+def batch_layouts(
+    datasets: Datasets,
+    id_col: str,
+    features: DataFrame | None = None,
+    contamination: float = 0.1,
+    method: str = "isolation_forest",
+    wanted: Sequence[str] | None = None,
+    top: int = 5,
+    id_type: str = "string",
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`batch_anomalies` over datasets of different layouts, each with features of its own.
+
+    ``features`` has ``dataset_id, features``; by default a dataset's numeric columns. Datasets with equal feature
+    lists are analysed together, so there is one plan per list. Ids are read as ``id_type``, whose order breaks ties. Results are ``dataset_id, success, error,
+    anomalies_detected, anomaly_rate, features``; top anomalies have ``dataset_id``, the id, ``anomaly_score, is_anomaly,
+    rank`` and the features' ``values`` in a map. A dataset without rows, features or ``id_col`` fails alone.
+    """
+    rows = datasets.rows
+    spark = rows.sparkSession
+    lists = materialise(features or datasets.features([id_col]), "features")
+    has_id = rows.groupBy("dataset_id").agg(F.bool_or(F.map_contains_key("cells", id_col)).alias("_id"))
+    state = datasets.known.select("dataset_id").distinct().join(lists, "dataset_id", "left").join(has_id, "dataset_id", "left")
+    error = (
+        F.when(F.coalesce(F.size("features"), F.lit(0)) == 0, F.lit("no numeric features found"))
+        .when(~F.coalesce("_id", F.lit(False)), F.lit(f"id column not found: {id_col}"))
+    )
+    state = state.select("dataset_id", "features", error.alias("error"))
+    if wanted is not None:
+        asked = spark.createDataFrame([(d,) for d in wanted], "dataset_id string").distinct()
+        known = state.withColumn("_known", F.lit(True))
+        missing = F.when(F.col("_known").isNull(), F.lit("dataset not found")).otherwise(F.col("error"))
+        state = asked.join(known, "dataset_id", "left").select("dataset_id", "features", missing.alias("error"))
+    state = materialise(state, "datasets")
+    good = state.where("error is null")
+    # one row per distinct list of features
+    plans = [tuple(r["features"]) for r in good.select("features").distinct().orderBy("features").collect()]
+    counts = ["anomalies_detected", "anomaly_rate"]
+    results = [state.where("error is not null").select(
+        "dataset_id", F.lit(False).alias("success"), "error", F.lit(None).cast("long").alias(counts[0]),
+        F.lit(None).cast("double").alias(counts[1]),
+    )]
+    tops = []
+    for names in plans:
+        mine = good.where(F.col("features") == F.array(*[F.lit(c) for c in names])).select("dataset_id")
+        inner = {c: f"f{i}" for i, c in enumerate(names)}
+        df = rows.join(mine, "dataset_id", "left_semi").select(
+            "dataset_id", F.col("cells")[id_col].try_cast(id_type).alias("_id"), *[F.col("cells")[c].alias(x) for c, x in inner.items()]
+        )
+        found, best = batch_anomalies(df, "dataset_id", "_id", list(inner.values()), contamination, method, None, top)
+        results.append(found.select("dataset_id", "success", "error", *counts))
+        values = F.map_from_arrays(
+            F.array(*[F.lit(c) for c in names]), F.array(*[P.try_number(best, x) for x in inner.values()])
+        )
+        tops.append(best.select("dataset_id", F.col("_id").alias(id_col), "anomaly_score", "is_anomaly", "rank", values.alias("values")))
+    result = reduce(DataFrame.unionByName, results).join(state.select("dataset_id", "features"), "dataset_id")
+    empty = f"dataset_id string, `{id_col}` {id_type}, anomaly_score double, is_anomaly boolean, rank int, values map<string,double>"
+    return result, reduce(DataFrame.unionByName, tops) if tops else spark.createDataFrame([], empty)
+
+
 def batch_summary(results: DataFrame) -> DataFrame:
     """Datasets, successes, failures, and all anomalies found."""
     return results.agg(

@@ -4,6 +4,8 @@ from borehole.operators import anomaly as A
 from borehole.operators import isolation, neighbours
 from borehole.plans import views as V
 from borehole.plans.registry import query
+from borehole.session import scratch_path
+from borehole.sources.layouts import read_datasets
 from pyspark.sql import functions as F
 
 FEATURES = ["balance", "nation"]
@@ -136,6 +138,70 @@ def batch_summary(spark, sf):
     return A.batch_summary(results)
 
 
+LAYOUTS = {"AUTOMOBILE": 0, "BUILDING": 0, "FURNITURE": 1, "MACHINERY": 2}
+
+
+def _layouts(spark, sf):
+    """Segments as files of three layouts: two with numbers under other names and delimiters, one of texts only."""
+    df = V.samples_planted(spark, sf)
+    path = scratch_path(spark, "layouts")
+    forms = (
+        (",", ["id", "balance", "nation"]),
+        ("|", [F.lit("kept").alias("Remark"), F.col("nation").alias("Nation No."), "id", F.col("balance").alias("Balance ($)")]),
+        (";", ["id", F.concat(F.lit("no. "), "nation").alias("remark")]),
+    )
+    for number, (delimiter, columns) in enumerate(forms):
+        names = [name for name, n in LAYOUTS.items() if n == number]
+        part = df.where(F.col("segment").isin(*names)).select("segment", *columns)
+        part.write.partitionBy("segment").option("header", True).option("sep", delimiter).csv(f"{path}/{number}")
+    return read_datasets(spark, f"{path}/*/segment=*", dataset_pattern=r"segment=([^/]+)/")
+
+
+def _batch_layouts(spark, sf):
+    wanted = [*LAYOUTS, "NOWHERE"]
+    return A.batch_layouts(_layouts(spark, sf), "id", method="local_outlier_factor", wanted=wanted, id_type="bigint")
+
+
+USABLE = "('AUTOMOBILE', 'BUILDING', 'FURNITURE')"
+
+
+@query(f"""with {V.PLANTED} select segment as dataset_id, count(*) as n_rows,
+  case segment when 'FURNITURE' then 'Balance_|Nation_No' when 'MACHINERY' then '' else 'balance|nation' end as features
+from samples_planted where segment in {USABLE} or segment = 'MACHINERY' group by 1""")
+def read_layouts(spark, sf):
+    """Rows and numeric columns of each dataset, of three layouts."""
+    found = _layouts(spark, sf)
+    counted = found.rows.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    listed = found.features(["id"]).select("dataset_id", F.array_join("features", "|").alias("features"))
+    return counted.join(listed, "dataset_id")
+
+
+@query(f"""{LOF_BY_SEGMENT} select g as dataset_id, true as success, null::varchar as error,
+  count(*) filter (is_anomaly)::double as anomalies_detected,
+  round(count(*) filter (is_anomaly) / count(*)::double, 4) as anomaly_rate from scored where g in {USABLE} group by 1
+union all select 'MACHINERY', false, 'no numeric features found', null, null
+union all select 'NOWHERE', false, 'dataset not found', null, null""")
+def batch_layouts(spark, sf):
+    """Datasets of two layouts, one without numbers and one that is not there, in one batch."""
+    results, _ = _batch_layouts(spark, sf)
+    return V.rounded(results.withColumn("anomalies_detected", F.col("anomalies_detected").cast("double")).drop("features"))
+
+
+@query(f"""{LOF_BY_SEGMENT}, ranked as (
+  select *, row_number() over (partition by g order by anomaly_score desc, id) as rank
+  from scored where is_anomaly and g in {USABLE})
+select g as dataset_id, id, round(anomaly_score, 4) as anomaly_score, cast(rank as int) as rank,
+  round(balance, 4) as balance, nation from ranked where rank <= 5""")
+def batch_layouts_top(spark, sf):
+    _, top = _batch_layouts(spark, sf)
+
+    def either(a, b):
+        return F.coalesce(F.try_element_at("values", F.lit(a)), F.try_element_at("values", F.lit(b)))
+
+    values = {"balance": either("balance", "Balance_"), "nation": either("nation", "Nation_No")}
+    return V.rounded(top.withColumns(values).drop("values", "is_anomaly"))
+
+
 @query()
 def isolation_forest(spark, sf):
     df = V.samples(spark, sf)

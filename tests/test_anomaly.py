@@ -165,3 +165,56 @@ def test_batch_where_all_fail(spark, method):
     results, top = A.batch_anomalies(df, "d", "id", method=method, datasets=["none"])
     assert [tuple(r) for r in results.select("d", "success", "error").collect()] == [("none", False, "dataset not found")]
     assert top.count() == 0 and A.batch_summary(results).first()["failed_analyses"] == 1
+
+
+def _write(folder, name, text):
+    (folder / name).write_text(text, encoding="utf-8")
+
+
+def test_files_of_different_layouts(spark, tmp_path):
+    from borehole.sources.layouts import read_datasets
+
+    number = "\n".join(f"{i},{i % 7},{i * 0.5}" for i in range(60))
+    _write(tmp_path, "a.csv", "id,Water Level (m),depth\n" + number + "\n,,\n99,1000,-\n")
+    _write(tmp_path, "b.csv", "\n  \nid,Water Level (m),depth\n" + number.replace("1", "2") + "\n")  # blank lines first
+    _write(tmp_path, "c.csv", "depth;note;id\n" + "\n".join(f"{i % 5}.5;word {i};c{i}" for i in range(40)) + "\n500;far;cx\n")
+    _write(tmp_path, "d.csv", "id|remark\n1|dry\n2|wet\n")
+    _write(tmp_path, "e.csv", "id,Water Level (m),depth\n")  # only a header
+    _write(tmp_path, "f.csv", "station,depth\ns1,1\ns2,2\n")  # no id column
+    _write(tmp_path, "g.csv", "")
+    data = read_datasets(spark, str(tmp_path))
+    assert sorted(r.dataset_id for r in data.known.collect()) == list("abcdef")
+    assert len(data.layouts) == 4  # a, b and e share one
+    assert {r.dataset_id: r["count"] for r in data.rows.groupBy("dataset_id").count().collect()} == {
+        "a": 61, "b": 60, "c": 41, "d": 2, "f": 2}
+    features = {r.dataset_id: r.features for r in data.features(["id"]).collect()}
+    both = ["Water_Level_m", "depth"]
+    assert features == {"a": both, "b": both, "c": ["depth"], "d": [], "e": [], "f": ["depth"]}
+    assert data.table(["depth"]).where("dataset_id = 'a' and depth is null").count() == 0
+
+    results, top = A.batch_layouts(data, "id", wanted=[*"abcdef", "none"], method="isolation_forest", contamination=0.05)
+    by = {r.dataset_id: r for r in results.collect()}
+    assert {d for d, r in by.items() if r.success} == {"a", "b", "c"}
+    assert by["d"].error == by["e"].error == "no numeric features found"
+    assert by["f"].error == "id column not found: id" and by["none"].error == "dataset not found"
+    assert by["a"].features == both and by["c"].features == ["depth"] and by["a"].anomalies_detected > 0
+    best = {r.dataset_id: r for r in top.where("rank = 1").collect()}
+    assert best["a"]["id"] == "99" and best["a"]["values"]["Water_Level_m"] == 1000.0
+    assert set(best["c"]["values"]) == {"depth"}
+    assert A.batch_summary(results).first().asDict() == {
+        "total_datasets": 7, "successful_analyses": 3, "failed_analyses": 4,
+        "total_anomalies_detected": sum(r.anomalies_detected or 0 for r in by.values())}
+
+
+def test_feature_lists_per_dataset(spark, tmp_path):
+    from borehole.sources.layouts import read_datasets
+
+    for name, shift in (("a", 0), ("b", 3)):
+        _write(tmp_path, f"{name}.csv", "id,x,y\n" + "\n".join(f"{i},{i % 11},{(i + shift) % 13}" for i in range(50)))
+    data = read_datasets(spark, str(tmp_path))
+    lists = spark.createDataFrame([("a", ["y"]), ("b", ["x", "y"])], "dataset_id string, features array<string>")
+    results, top = A.batch_layouts(data, "id", lists, method="local_outlier_factor", id_type="bigint")
+    assert {r.dataset_id: r.features for r in results.where("success").collect()} == {"a": ["y"], "b": ["x", "y"]}
+    assert top.schema["id"].dataType.simpleString() == "bigint"
+    nothing, none = A.batch_layouts(data, "id", lists, wanted=["z"])
+    assert nothing.first().error == "dataset not found" and none.count() == 0
