@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from functools import reduce
 from weakref import WeakKeyDictionary
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,8 @@ from borehole.session import materialise
 MAX_GROUP_ROWS = "spark.borehole.maxGroupRows"
 DEFAULT_MAX_GROUP_ROWS = 2_000_000
 PERCENTILE_CELLS = 1_000_000  # values of a group that may all be kept in memory by one task
+#: Size of a quantile sketch, the shares it is read at, the margin added, and rows between two bounds that one task ranks.
+SKETCH_SIZE, SKETCH_STEPS, SKETCH_ERROR, RANKED_ROWS = 2_000, 500, 0.008, 500_000
 SPREAD_ROWS = 5_000_000
 
 
@@ -220,8 +223,8 @@ def exact_quantiles(
     """Exact linear-interpolated quantiles: one row per key, columns ``{col}_q{i}``.
 
     Small groups use ``percentile``, which keeps every distinct value of a group in memory.
-    Larger groups first bracket each quantile with an approximate sketch, then rank only the
-    values inside the bracket: the result is exact, the memory bounded.
+    Larger groups first bracket each quantile with approximate sketches, check the ranks of the bracket, and rank
+    only the values inside: the result is exact, the memory bounded.
     """
     numbers = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
     largest = largest_group(df, keys)
@@ -236,52 +239,97 @@ def exact_quantiles(
     return bracketed_quantiles(numbers, cols, [float(p) for p in probs], keys, largest)
 
 
+def _sketched(df: DataFrame, values: Sequence[Column], keys: Sequence[str]) -> DataFrame:
+    """One quantile sketch ``_s{i}`` per group and value column, merged in two levels.
+
+    Each map task sends its sketch to one of about square root many merging tasks, so no task receives the
+    sketches of all of them.
+    """
+    # tasks of the scan are not known before it runs; the shuffle's number is of their order
+    salts = max(2, round(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+    names = [f"_s{i}" for i in range(len(values))]
+    salt = F.pmod(F.spark_partition_id(), F.lit(salts)).alias("_salt")
+    rows = df.select(*keys, salt, *[v.alias(n) for v, n in zip(values, names, strict=True)])
+    first = rows.groupBy(*keys, "_salt").agg(
+        *[F.kll_sketch_agg_double(n, F.lit(SKETCH_SIZE)).alias(n) for n in names],
+        *[F.count(n).alias(f"_n{n}") for n in names],
+    )
+    filled = [F.when(F.col(f"_n{n}") > 0, F.col(n)).alias(n) for n in names]
+    merged = [F.kll_merge_agg_double(n, F.lit(SKETCH_SIZE)).alias(n) for n in names]
+    return first.select(*keys, *filled).groupBy(*keys).agg(*merged)
+
+
 def bracketed_quantiles(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float], keys: Sequence[str], largest: int
 ) -> DataFrame:
-    """:func:`exact_quantiles` for groups of any size, in three passes for all columns together."""
-    accuracy = max(1_000, min(1_000_000, int(largest**0.5)))
-    eps = 2.0 / accuracy
+    """:func:`exact_quantiles` for groups of any size.
+
+    Each quantile is known to lie between two values, at first the extremes. A sketch of the values between them
+    proposes a narrower pair; the rows below and up to it are counted, and it is taken only if the wanted ranks are
+    inside. A pair that misses is tried again wider from the last sure one. This goes on until few rows are left between, and only
+    those are ranked.
+    """
     asked = [(c, p) for c in cols for p in probs]
-    marks = [min(max(p + side, 0.0), 1.0) for p in probs for side in (-eps, eps)]
-    sketches = [
-        F.percentile_approx(c, F.lit(marks), F.lit(accuracy)).alias(f"_s{i}")
-        for i, c in enumerate(cols)
-    ]
-    extremes = [
-        f(c).alias(f"_{name}{i}")
-        for i, c in enumerate(cols)
-        for name, f in (("min", F.min), ("max", F.max), ("n", F.count))
-    ]
-
-    def edge(q: int, high: bool) -> Column:
-        """An approximate quantile just beyond the asked one, or the extreme value.
-
-        In small groups the sketch is not wider than the two ranks it must enclose.
-        """
-        i, mark = q // len(probs), 2 * (q % len(probs)) + high
-        extreme = F.col(f"_max{i}" if high else f"_min{i}")
-        if marks[mark] in (0.0, 1.0):
-            return extreme
-        enough = F.col(f"_n{i}") >= 2 * accuracy
-        return F.when(enough, F.col(f"_s{i}")[mark]).otherwise(extreme)
-
-    bounds = (
-        df.groupBy(*keys)
-        .agg(*sketches, *extremes)
-        .select(
-            *keys,
-            F.array(*[edge(q, False) for q in range(len(asked))]).alias("_lo"),
-            F.array(*[edge(q, True) for q in range(len(asked))]).alias("_hi"),
-            F.array(*[F.col(f"_n{q // len(probs)}") for q in range(len(asked))]).alias("_n"),
-        )
+    every = range(len(asked))
+    rank = [F.lit(p) * (F.col("_n")[q] - 1) for q, (_, p) in enumerate(asked)]
+    first = df.groupBy(*keys).agg(
+        F.array(*[F.count(c) for c, _ in asked]).alias("_n"),
+        F.array(*[F.min(c) for c, _ in asked]).alias("_lo"),
+        F.array(*[F.max(c) for c, _ in asked]).alias("_hi"),
     )
-    bounded = attach(df, bounds, keys)
-    below = bounded.groupBy(*keys).agg(
-        F.array(*[F.count_if(F.col(c) < F.col("_lo")[q]) for q, (c, _) in enumerate(asked)]).alias(
-            "_below"
+    bounds = first.withColumns({"_below": F.transform("_n", lambda n: n * 0), "_inside": F.col("_n")})
+    bounds = materialise(bounds, "bounds")
+    # a sketch is read at fixed shares only
+    steps = F.lit(np.linspace(0, 1, SKETCH_STEPS + 1))
+    width = SKETCH_ERROR
+    while True:
+        wide = [(F.col("_inside")[q] > RANKED_ROWS) & (F.col("_lo")[q] < F.col("_hi")[q]) for q in every]
+        if bounds.where(reduce(lambda a, b: a | b, wide)).isEmpty():
+            break
+        bounded = attach(df, bounds, keys)
+        between = [
+            F.when(wide[q] & F.col(c).between(F.col("_lo")[q], F.col("_hi")[q]), F.col(c)) for q, (c, _) in enumerate(asked)
+        ]
+        sketches = _sketched(bounded, between, keys)
+        read = [F.when(F.kll_sketch_get_n_double(f"_s{q}") > 0, F.kll_sketch_get_quantile_double(f"_s{q}", steps)).alias(f"_s{q}") for q in every]
+        sketches = attach(bounds, materialise(sketches.select(*keys, *read), "sketches"), keys)
+
+        def edge(q: int, side: int, wide=wide, width=width) -> Column:
+            """A value just beyond the wanted ranks by the sketch, or the end known so far."""
+            old = F.col("_hi" if side > 0 else "_lo")[q]
+            share = (rank[q] - F.col("_below")[q]) / F.greatest(F.col("_inside")[q] - 1, F.lit(1)) + side * width
+            step = (F.ceil if side > 0 else F.floor)(share * SKETCH_STEPS).cast("int")
+            within = wide[q] & share.between(0, 1)
+            return F.coalesce(F.when(within, F.get(f"_s{q}", step)), old)
+
+        tried = materialise(sketches.select(
+            *keys, "_n", "_lo", "_hi", "_below", "_inside",
+            F.array(*[edge(q, -1) for q in every]).alias("_a"), F.array(*[edge(q, 1) for q in every]).alias("_b"),
+        ), "tried")
+        counted = attach(df, tried.select(*keys, "_a", "_b"), keys).groupBy(*keys).agg(
+            F.array(*[F.count_if(F.col(c) < F.col("_a")[q]) for q, (c, _) in enumerate(asked)]).alias("_lower"),
+            F.array(*[F.count_if(F.col(c) <= F.col("_b")[q]) for q, (c, _) in enumerate(asked)]).alias("_upto"),
         )
-    )
+        checked = attach(tried, counted, keys)
+        holds = [(F.col("_lower")[q] <= F.floor(rank[q])) & (F.col("_upto")[q] > F.ceil(rank[q])) for q in every]
+
+        def taken(new: str, old: str, holds=holds) -> Column:
+            return F.array(*[F.when(holds[q], F.col(new)[q]).otherwise(F.col(old)[q]) for q in every])
+
+        size = F.array(*[F.when(holds[q], F.col("_upto")[q] - F.col("_lower")[q]).otherwise(F.col("_inside")[q]) for q in every])
+        missed = reduce(lambda a, b: a | b, [wide[q] & ~holds[q] for q in every])
+        smaller = reduce(lambda a, b: a | b, [wide[q] & (size[q] < 0.9 * F.col("_inside")[q]) for q in every])
+        bounds = materialise(checked.select(
+            *keys, "_n", taken("_a", "_lo").alias("_lo"), taken("_b", "_hi").alias("_hi"),
+            taken("_lower", "_below").alias("_below"), size.alias("_inside"), missed.alias("_miss"), smaller.alias("_less"),
+        ), "bounds")
+        state = bounds.agg(F.bool_or("_miss").alias("miss"), F.bool_or("_less").alias("less")).first()
+        if not state["miss"] and not state["less"]:
+            break  # what is left between are copies of a few values, which are ranked as one row each
+        # a miss is tried with a wider margin next time
+        width = width * 8 if state["miss"] else SKETCH_ERROR
+    below = bounds.select(*keys, "_below")
+    bounded = attach(df, bounds.select(*keys, "_n", "_lo", "_hi"), keys)
     candidates = F.array(
         *[
             F.struct(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from borehole.operators import clean as C
 from borehole.operators import grouping as G
+from borehole.session import materialise
 
 
 @pytest.fixture
@@ -77,6 +78,32 @@ def test_bracket_of_a_large_group_encloses_the_quantile(spark):
         assert got == pytest.approx(np.quantile(pdf["v"], p), abs=1e-12)
 
 
+@pytest.mark.parametrize(("ranked", "size", "error"), [(500, 200, 0.05), (500, 200, 1e-4), (50, 2000, 0.008)])
+def test_narrowed_quantiles_are_exact(spark, monkeypatch, ranked, size, error):
+    """Several rounds of sketches, margins that miss and must be widened, copies, gaps and groups of any size."""
+    monkeypatch.setattr(G, "RANKED_ROWS", ranked)
+    monkeypatch.setattr(G, "SKETCH_SIZE", size)
+    monkeypatch.setattr(G, "SKETCH_ERROR", error)
+    rows = spark.range(0, 30_000, 1, 8).select(
+        F.when(F.col("id") < 29_000, "hot").when(F.col("id") < 29_003, F.lit(None)).otherwise("cold").alias("k"),
+        F.when(F.col("id") % 3 == 0, 0.25).when(F.col("id") % 11 != 5, F.rand(5)).alias("v"),
+        F.when(F.col("id") % 2 == 0, F.lit(1.0)).otherwise(F.lit(2.0)).alias("w"),
+        F.lit(None).cast("double").alias("none"),
+    )
+    df = materialise(rows, "rows")
+    pdf = df.toPandas()
+    probs = [0.001, 0.5, 1.0]
+    got = G.bracketed_quantiles(df, ["v", "w", "none"], probs, ["k"], 29_000).toPandas().set_index("k")
+    overall = G.bracketed_quantiles(df, ["v", "w"], probs, (), 30_000).first()
+    for c in ("v", "w"):
+        for i, p in enumerate(probs):
+            want = pdf.groupby("k", dropna=False)[c].quantile(p)
+            for k in want.index:
+                assert got[f"{c}_q{i}"][got.index.isna() if k != k or k is None else got.index == k].iloc[0] == pytest.approx(want[want.index.isna() if k != k or k is None else want.index == k].iloc[0], abs=1e-12)
+            assert overall[f"{c}_q{i}"] == pytest.approx(pdf[c].quantile(p), abs=1e-12)
+    assert got["none_q1"].isna().all()
+
+
 def test_modes_take_the_smallest_on_ties(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2), ("a", 2), ("b", 1), (None, None)], "s string, n int")
     assert tuple(G.modes(df, ["s", "n"]).first()) == ("a", 1)
