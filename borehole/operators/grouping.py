@@ -26,7 +26,8 @@ DEFAULT_MAX_GROUP_ROWS = 2_000_000
 PERCENTILE_CELLS = 1_000_000  # values of a group that may all be kept in memory by one task
 #: Size of a quantile sketch, the shares it is read at, the margin added, and rows between two bounds that one task ranks.
 SKETCH_SIZE, SKETCH_STEPS, SKETCH_ERROR, RANKED_ROWS = 2_000, 500, 0.008, 500_000
-SPREAD_ROWS = 5_000_000
+#: Parts of a spread table at least, and rows of one.
+LEAST_PARTS, SPREAD_ROWS = 16, 500_000
 
 
 def max_group_rows(spark: SparkSession) -> int:
@@ -63,16 +64,13 @@ def python_groups(df: DataFrame, cols: Sequence[str]) -> GroupedData:
 
 
 def spread(df: DataFrame, label: str) -> DataFrame:
-    """A stored copy for several passes.
+    """A stored copy for several passes, in parts whose number follows from its rows.
 
-    A small table often comes from one file split and would stay one task in every pass, so
-    it is dealt out to all cores; a large one has splits enough.
+    A small table often comes from one file split and would stay one task in every pass.
     """
     stored = materialise(df, label)
-    if stored.count() > SPREAD_ROWS:  # from the file footers
-        return stored
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return materialise(stored.repartition(cores), label)
+    parts = max(LEAST_PARTS, -(-stored.count() // SPREAD_ROWS))  # from the file footers
+    return materialise(stored.repartition(parts), label)
 
 
 def same_keys(left: str, right: str, keys: Sequence[str]) -> Column:

@@ -27,6 +27,8 @@ from borehole.operators import clean as C
 from borehole.operators import grouping as G
 from borehole.session import materialise
 
+#: Partitions that a forest's rows are dealt to at least, and rows of one.
+LEAST_PARTS, PART_ROWS = 16, 200_000
 TREES = 100
 CLASS_LIMIT = 10  # fewer distinct targets make a classification
 REGRESSION, CLASSIFICATION = "regression", "classification"
@@ -163,12 +165,24 @@ class Trained:
     n_samples: int
 
 
+def dealt(df: DataFrame, id_col: str) -> DataFrame:
+    """Rows in partitions that follow from the data alone: their number from the rows, their content from the ids.
+
+    A forest draws its bootstrap by partition and row, so this keeps the model the same on any number of cores.
+    """
+    parts = max(LEAST_PARTS, -(-df.count() // PART_ROWS))
+    return df.repartition(parts, F.xxhash64(id_col)).sortWithinPartitions(id_col)
+
+
 def fit_forest(
     train: DataFrame, target: str, task: str, features: Features, seed: int = 42,
-    max_depth: int = 10, trees: int = TREES,
+    max_depth: int = 10, trees: int = TREES, id_col: str | None = None,
 ) -> tuple[PipelineModel, list]:
-    """The pipeline from raw columns to ``predicted``, and the sorted classes."""
-    prepared = PipelineModel(features.stages).transform(train)
+    """The pipeline from raw columns to ``predicted``, and the sorted classes.
+
+    With ``id_col`` (unique) the rows are :func:`dealt` first.
+    """
+    prepared = PipelineModel(features.stages).transform(train if id_col is None else dealt(train, id_col))
     common = dict(
         featuresCol="features", labelCol="_label", numTrees=trees, maxDepth=max_depth, seed=seed
     )
@@ -212,10 +226,10 @@ def train_and_predict(
     task = choose_task(known, target, task)
     stratify = [target] if task == CLASSIFICATION else []
     # read by the feature fit, the forest and the metrics
-    rows = G.spread(train_test_split(known, id_col, test_size, seed, stratify), "split")
+    rows = materialise(train_test_split(known, id_col, test_size, seed, stratify), "split")
     features = fit_features(rows, [id_col, target, "is_test"], include_ids)
     train = rows.where(~F.col("is_test"))
-    model, found = fit_forest(train, target, task, features, seed, max_depth, trees)
+    model, found = fit_forest(train, target, task, features, seed, max_depth, trees, id_col)
     scored = model.transform(rows.where("is_test")).select(
         id_col, F.col(target).alias("actual"), "predicted"
     )

@@ -42,6 +42,26 @@ def test_forest_beats_the_mean(wells):
     assert sum(r["importance"] for r in importance) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("target", ["level", "deep"])
+def test_forests_do_not_depend_on_the_cores(spark, wells, target):
+    """Other numbers of partitions, shuffle partitions and file splits give the same model."""
+    df = wells.withColumn("deep", F.when(F.col("depth") > 50, "yes").when(F.col("depth") > 20, "no"))
+    df = df.drop("depth") if target == "deep" else df
+    measured = []
+    for parts in (2, 4, 8):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", f"{parts * 1000}b")
+        trained = T.train_and_predict(df.repartition(parts), "row", target, trees=10, seed=5)
+        weights = [round(float(v), 9) for v in T._forest_stage(trained.model).featureImportances.toArray()]
+        predicted = [tuple(r) for r in trained.predictions.orderBy("row").select("row", "predicted").collect()]
+        measured.append((weights, [round(v, 9) for v in trained.metrics.first()], predicted))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert measured[0][:2] == measured[1][:2] == measured[2][:2]
+    for one in measured[1:]:
+        assert [p for _, p in one[2]] == (pytest.approx([p for _, p in measured[0][2]]) if target == "level" else [p for _, p in measured[0][2]])
+
+
 def test_classifier_survives_storage(spark, wells):
     df = wells.withColumn("class", F.when(F.col("depth") > 50, "deep").otherwise("flat"))
     trained = T.train_and_predict(df, "row", "class", trees=20)
