@@ -61,6 +61,8 @@ class Segment:
     start: int
     windows: int
     content: bytes
+    #: The hash of its anchor.
+    anchor: int = 0
 
 
 @dataclass
@@ -348,8 +350,8 @@ def _decided(kernel: Kernel):
             d, s, w = (table.column(x).to_numpy() for x in ("doc_id", "start", "windows"))
             out = [(d[through], s[through], w[through])]
             idx = np.flatnonzero(~through)
-            text = table.column("content").combine_chunks()
-            segments = [Segment(int(d[i]), int(s[i]), int(w[i]), text[i].as_py()) for i in idx.tolist()]
+            columns = (d[idx], s[idx], w[idx], table.column("content").take(pa.array(idx)), table.column("h").take(pa.array(idx)))
+            segments = list(map(Segment, *(c.tolist() if isinstance(c, np.ndarray) else c.to_pylist() for c in columns)))
             if found := list(kernel(segments)) if segments else []:
                 out.append(tuple(np.array(x, np.int64) for x in zip(*found, strict=True)))
             d, s, w = (np.concatenate(x) for x in zip(*out, strict=True))
