@@ -1,7 +1,7 @@
 """Registered queries: anomalies among rows of numbers."""
 
 from borehole.operators import anomaly as A
-from borehole.operators import isolation, neighbours
+from borehole.operators import geo, isolation, neighbours
 from borehole.plans import views as V
 from borehole.plans.registry import query
 from borehole.session import scratch_path
@@ -57,6 +57,16 @@ def local_outlier_factor(spark, sf):
     return V.rounded(_lof(spark, sf))
 
 
+@query(f"""{LOF}, {V.STATIONS_LARGE} select s.station_id::varchar as id, round(s.lat, 4) as lat,
+  round(s.lon, 4) as lon, round(s.value, 4) as value, coalesce(c.is_anomaly, false) as anomaly
+from stations_large s left join scored c on c.id = s.station_id""")
+def map_anomalies(spark, sf):
+    """Stations of a map, with those marked whose readings are anomalous."""
+    points = geo.stations(V.stations_large(spark, sf), "lat", "lon", "value", "station_id")
+    marked = geo.flag_anomalies(points, _lof(spark, sf).where("is_anomaly"))
+    return V.rounded(marked.drop("cluster"))
+
+
 @query(f"""with {V.PLANTED}, n as (select count(*) as n from samples_planted)
 select n, cast(least(greatest(floor(n * 0.05), 5), 50, n - 1) as int) as k from n""")
 def neighbour_count(spark, sf):

@@ -6,6 +6,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,8 +81,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_SCOPE: ContextVar[str | None] = ContextVar("borehole_scratch_scope", default=None)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/borehole/{label}-{uuid.uuid4().hex}"
+    return f"{_SCOPE.get() or scratch_dir(spark) + '/borehole'}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables made inside lie in one folder, which is deleted at the end, also after an error.
+
+    Results are lazy and may read those tables: write or collect them before the scope ends. Scopes may be nested, and
+    each thread has its own.
+    """
+    folder = scratch_path(spark, "scope")
+    token = _SCOPE.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCOPE.reset(token)
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -61,7 +61,7 @@ def differences(spark_df: pd.DataFrame, sql_df: pd.DataFrame) -> list[str]:
 
 def main() -> None:
     import __spark_entry__ as e
-    from borehole.session import local_session
+    from borehole.session import local_session, scratch_scope
 
     sf = "/root/testdata/sf" + (sys.argv[1] if len(sys.argv) > 1 else "0.001")
     names = sys.argv[2:] or list(e.queries())
@@ -74,7 +74,8 @@ def main() -> None:
     for n in names:
         t = time.time()
         try:
-            got = e.queries()[n](spark, sf).toPandas()
+            with scratch_scope(spark):
+                got = e.queries()[n](spark, sf).toPandas()
             took = time.time() - t
             sql = e.oracle_sql().get(n)
             diff = differences(got, con.execute(sql).df()) if sql else []

@@ -31,6 +31,29 @@ def test_a_cluster_must_name_its_folder():
         session.scratch_dir(Session())
 
 
+def test_a_scope_deletes_its_tables(spark, tmp_path):
+    import os
+
+    from borehole.operators import anomaly
+
+    outside = session.materialise(spark.range(3), "outside")
+    df = spark.range(200).select("id", (F.col("id") % 7).cast("double").alias("v"))
+    with session.scratch_scope(spark) as folder:
+        scored = anomaly.detect(df, "id", ["v"], method="local_outlier_factor")
+        with session.scratch_scope(spark) as inner:
+            assert session.materialise(df, "deep").count() == 200 and inner.startswith(folder)
+        local = folder.removeprefix("file:").removeprefix("//")
+        assert os.listdir(local) and not os.path.exists(f"{local}/{os.path.basename(inner)}")
+        scored.write.parquet(str(tmp_path / "kept"))
+    assert not os.path.exists(local)
+    assert spark.read.parquet(str(tmp_path / "kept")).count() == 200 and outside.count() == 3
+    with pytest.raises(ValueError, match="stop"), session.scratch_scope(spark) as folder:
+        session.materialise(df, "lost")
+        raise ValueError("stop")
+    assert not os.path.exists(folder.removeprefix("file:").removeprefix("//"))
+    assert session._SCOPE.get() is None
+
+
 def test_package_is_shipped_once(spark):
     session.ship_package(spark)
     before = len(session._SHIPPED)
