@@ -13,7 +13,8 @@ A document's stretches go only to automata that may hold a phrase of it, so the
 once per shard.
 
 Null and empty texts have no words. Texts of fewer than 13 words lose nothing. Equal texts under
-one id don't count as copies; an id must have one text. Extra columns are ignored.
+one id don't count as copies; an id may have several texts, which are judged each by itself and
+don't count against one another. Repeated rows come back as often as given. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from borehole.llm.hashing import chunks, word_bounds
-from borehole.llm.recurrence import Segment, Spec, covered, recurring_runs
+from borehole.llm.recurrence import Segment, Spec, covered, with_marks
 
 WORDS = 13
 SPEC = Spec("word", WORDS, 5)
@@ -102,7 +103,7 @@ def locate(segments: list[Segment]) -> Iterator[tuple[int, int, int]]:
 
 def _strip(batches):
     for batch in batches:
-        marks = batch.column(2)
+        marks, offsets = batch.column(2), batch.column(3).to_numpy()
         for chunk in chunks([batch]):
             n_words, n_removed, kept = [], [], []
             starts, ends = word_bounds(chunk.data, chunk.bounds)
@@ -113,7 +114,7 @@ def _strip(batches):
                 mark = marks[int(chunk.rows[i])]
                 n_words.append(hi - lo)
                 if mark.is_valid and hi > lo:
-                    gone = covered(mark, hi - lo, WORDS)
+                    gone = covered(mark, hi - lo, WORDS, int(offsets[int(chunk.rows[i])]))
                     n_removed.append(int(gone.sum()))
                     words = [words[k] for k in np.flatnonzero(~gone).tolist()]
                 else:
@@ -129,8 +130,5 @@ def _strip(batches):
 def remove_repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_removed, text``: the kept words of every document, joined by one space."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marks = recurring_runs(texts, SPEC, locate)
-    return (
-        texts.join(marks, "doc_id", "left").select("doc_id", "text", "marks")
-        .mapInArrow(_strip, "doc_id long, n_words long, n_removed long, text string")
-    )
+    marked = with_marks(texts, SPEC, locate)
+    return marked.mapInArrow(_strip, "doc_id long, n_words long, n_removed long, text string")

@@ -29,7 +29,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from borehole.llm.cleanup import release
@@ -244,7 +244,7 @@ def _segment_rows(spec: Spec, hot: np.ndarray):
     def rows(batches):
         cut_up = set(hot.tolist())
         for batch in batches:
-            wanted = batch.column(2)
+            wanted, offset = batch.column(2), batch.column(3).to_numpy()
             for chunk in chunks([batch], size=4 << 20):
                 units = spec.units(chunk)
                 first: dict[bytes, tuple[int, int, int, int]] = {}
@@ -269,14 +269,14 @@ def _segment_rows(spec: Spec, hot: np.ndarray):
                     minima = signed(units.minima[lo:hi])
                     a, b = runs(minima)
                     ok = np.flatnonzero(np.isin(minima[a], wanted[int(chunk.rows[i])].values.to_numpy()))
-                    base = int(units.cut[i])
+                    base, moved = int(units.cut[i]), int(offset[int(chunk.rows[i])])
                     for k in ok.tolist():
                         s, e = int(a[k]), int(b[k])
                         from_, to = units.span(base + s, base + e - 1 + spec.width)
                         text = chunk.data[from_:to].tobytes()
                         if spec.unit == "word":
                             text = b" ".join(text.split())
-                        row = (int(chunk.ids[i]), s, e - s, int(minima[s]))
+                        row = (int(chunk.ids[i]), moved + s, e - s, int(minima[s]))
                         old = first.get(text)
                         if old is None:
                             first[text] = row
@@ -380,17 +380,30 @@ def _decided(kernel: Kernel):
     return rows
 
 
-def recurring_runs(texts: DataFrame, spec: Spec, kernel: Kernel) -> DataFrame:
-    """``doc_id, marks``: the runs ``(start, windows)`` of windows that start in a smaller document.
+def with_marks(texts: DataFrame, spec: Spec, kernel: Kernel) -> DataFrame:
+    """``doc_id, text, marks, offset``: every row with the runs of windows that start in a smaller document.
 
-    ``texts`` has ``doc_id, text`` (text as binary or string). Documents without such a window
-    have no row.
+    ``texts`` has ``doc_id, text`` (text as binary or string). ``marks`` are runs ``(start, windows)``, null if there
+    are none. An id may have several texts: they are laid out one after another, each text's ``offset`` is
+    its place there, and starts count from the first. :func:`covered` takes a text's own part.
     """
     ship_package(texts.sparkSession)
-    known = texts.where("doc_id is not null and text is not null")
-    copies = _copies(known)
+    digests = materialise(_digests(texts.where("doc_id is not null and text is not null")), "digests")
+    offsets = _offsets(digests)
+    placed = texts.withColumn("offset", F.lit(0))
+    if not offsets.isEmpty():
+        at = _digests(texts, "text").join(offsets, ["doc_id", *_SAME], "left")
+        placed = at.select("doc_id", "text", F.coalesce("offset", F.lit(0)).alias("offset"))
+    marks = _recurring_runs(placed, _copies(digests, offsets), spec, kernel)
+    return placed.join(marks, "doc_id", "left").select("doc_id", "text", "marks", "offset")
+
+
+def _recurring_runs(placed: DataFrame, copies: DataFrame, spec: Spec, kernel: Kernel) -> DataFrame:
+    """``doc_id, marks`` of the documents with such windows."""
+    texts = placed
+    known = placed.where("doc_id is not null and text is not null")
     part = F.when(F.col("state") == THROUGH, F.xxhash64("doc_id", F.lit(1))).otherwise(F.col("h"))
-    rows = known.mapInArrow(_anchor_rows(spec), "h long, doc_id long, state int")
+    rows = known.select("doc_id", "text").mapInArrow(_anchor_rows(spec), "h long, doc_id long, state int")
     hits = (
         rows.repartition(part).sortWithinPartitions("h").mapInArrow(_recurring(HOT), "doc_id long, h long")
         .groupBy("doc_id").agg(F.collect_list("h").alias("anchors"))
@@ -399,7 +412,7 @@ def recurring_runs(texts: DataFrame, spec: Spec, kernel: Kernel) -> DataFrame:
     del rows
     release(texts.sparkSession)
     hot = [h for row in hits.where("doc_id is null").select("anchors").collect() for h in row.anchors]
-    segments = known.join(hits, "doc_id").select("doc_id", "text", "anchors").mapInArrow(
+    segments = known.join(hits, "doc_id").select("doc_id", "text", "anchors", "offset").mapInArrow(
         _segment_rows(spec, np.array(hot, np.int64)), _SEGMENT
     )
     marks = (
@@ -414,24 +427,43 @@ def recurring_runs(texts: DataFrame, spec: Spec, kernel: Kernel) -> DataFrame:
     return marks
 
 
-def _copies(known: DataFrame) -> DataFrame:
-    """Ids of the documents whose whole text, by length and 128 hash bits, a smaller id has too."""
-    same = ["size", "one", "two"]
-    digests = known.select(
-        "doc_id", F.length("text").alias("size"), F.xxhash64("text").alias("one"),
+_SAME = ["size", "one", "two"]
+
+
+def _digests(known: DataFrame, *columns: str) -> DataFrame:
+    """Each row's id with its text's length and 128 hash bits."""
+    return known.select(
+        "doc_id", *columns, F.length("text").alias("size"), F.xxhash64("text").alias("one"),
         F.xxhash64(F.lit("second"), "text").alias("two"),
     )
-    digests = materialise(digests, "digests")
-    first = digests.groupBy(*same).agg(F.min("doc_id").alias("first"))
-    return materialise(digests.join(first, same).where("first < doc_id").select("doc_id").distinct(), "copies")
 
 
-def covered(marks: pa.Scalar, n: int, width: int) -> np.ndarray:
-    """Which of ``n`` units lie in a marked window."""
+def _offsets(digests: DataFrame) -> DataFrame:
+    """``doc_id, size, one, two, offset`` of the ids that have several different texts."""
+    text = F.struct(*_SAME)
+    several = digests.groupBy("doc_id").agg(F.min(text).alias("lo"), F.max(text).alias("hi")).where("lo <> hi")
+    rows = digests.join(several.select("doc_id"), "doc_id", "left_semi").distinct()
+    before = Window.partitionBy("doc_id").orderBy(*_SAME).rowsBetween(Window.unboundedPreceding, -1)
+    # a text has at most as many units as bytes, and at most four bytes a character
+    size = F.col("size").cast("long") * 4 + 1
+    return materialise(rows.withColumn("offset", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("int")), "offsets")
+
+
+def _copies(digests: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Ids of the documents whose whole text a smaller id has too, but for those with several texts."""
+    first = digests.groupBy(*_SAME).agg(F.min("doc_id").alias("first"))
+    again = digests.join(first, _SAME).where("first < doc_id").select("doc_id").distinct()
+    return materialise(again.join(offsets.select("doc_id"), "doc_id", "left_anti"), "copies")
+
+
+def covered(marks: pa.Scalar, n: int, width: int, offset: int = 0) -> np.ndarray:
+    """Which of ``n`` units, from ``offset`` on, lie in a marked window."""
     if n < width:
         return np.zeros(n, bool)
     both = marks.values
-    start = both.field(0).to_numpy().astype(np.int64)
-    end = start + both.field(1).to_numpy() + width - 1
+    start, windows = both.field(0).to_numpy().astype(np.int64) - offset, both.field(1).to_numpy()
+    own = (start >= 0) & (start < n)
+    start = start[own]
+    end = start + windows[own] + width - 1
     delta = np.bincount(start, minlength=n + 1)[: n + 1] - np.bincount(np.minimum(end, n), minlength=n + 1)[: n + 1]
     return np.cumsum(delta[:n]) > 0

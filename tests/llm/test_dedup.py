@@ -214,7 +214,7 @@ def test_hot_anchors_are_cut(spark, monkeypatch, operator, limit):
         return kernel(segments)
 
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
-    marks = recurrence.recurring_runs(docs, spec, guarded).collect()
+    marks = recurrence.with_marks(docs, spec, guarded).where("marks is not null").collect()
     got = {}
     for r in marks:
         size = len(dict(rows)[r.doc_id].encode()) if spec.unit == "byte" else len(dict(rows)[r.doc_id].split())
@@ -223,6 +223,43 @@ def test_hot_anchors_are_cut(spark, monkeypatch, operator, limit):
     assert got == brute_force_windows(rows, units, spec.width)
 
 
+@pytest.mark.parametrize("unit", ["word", "byte"])
+def test_ids_with_several_texts(spark, unit):
+    """Each text of an id is judged by itself, against smaller ids only."""
+    rng = random.Random(4)
+    pool = [" ".join(f"w{rng.randrange(900)}" for _ in range(45)) for _ in range(8)]
+
+    def text():
+        return " ".join([*rng.sample(pool, 2), *(f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(30)))])
+
+    rows = [(i, text()) for i in (1, 1, 2, 3, 3, 3, 5, 5, 8, 9)]
+    alone = " ".join(f"alone{i}" for i in range(40))
+    rows += [(2, rows[0][1]), (2, alone), (2, alone), (5, None), (5, ""), (9, alone), (None, alone), (10, rows[4][1])]
+    width = 13 if unit == "word" else 50
+    cut = (lambda t: (t or "").split()) if unit == "word" else (lambda t: list((t or "").encode()))
+    first = {}
+    for i, t in rows:
+        units = cut(t) if i is not None else []
+        for k in range(len(units) - width + 1):
+            w = tuple(units[k : k + width])
+            first[w] = min(first.get(w, i), i)
+    want = []
+    for i, t in rows:
+        units, gone = cut(t), set()
+        for k in range(len(units) - width + 1):
+            if i is not None and first[tuple(units[k : k + width])] < i:
+                gone.update(range(k, k + width))
+        kept = [u for k, u in enumerate(units) if k not in gone]
+        want.append((i, len(gone), " ".join(kept).encode() if unit == "word" else bytes(kept)))
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, marks string, offset int").repartition(3)
+    if unit == "word":
+        got = [(r.doc_id, r.n_removed, r.text.encode()) for r in phrase_automata.remove_repeated_phrases(df).collect()]
+    else:
+        got = [(r.doc_id, r.n_removed, bytes(r.kept)) for r in suffix_parse.remove_repeated_bytes(df).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert sum(w[1] for w in want) > 0 and (2, 0, alone.encode()) in want
+
+
 def test_repeated_rows_and_empty_tables(spark):
     long = " ".join(f"t{i}" for i in range(40))
     twice = spark.createDataFrame([(1, long), (1, long), (2, long), (None, long)], "doc_id long, text string")
