@@ -12,12 +12,12 @@ white space; shorter documents have one shingle, empty ones none. Two documents
    when the posterior probability of a similarity of at least 0.75, given the matches so far and
    a uniform prior, is below ``MISS``.
 4. Survivors are confirmed on their full sets; links become components.
-5. Members of a bucket that still lie in different components are compared with each other, if
-   they are at most ``BLOCK``. Members of larger buckets meet again by the rare part of their sets:
+5. Members of buckets that still hold several components meet again by the rare part of their sets:
    with shingles in one order of all sets, counted ones last, a link shares a shingle of the first
    seventh (and one) of the smaller set and the first quarter (and one) of the larger. So pages of
-   one source that share less than a link don't meet. These groups get stars as in 2 to 4; what
-   still lies in different components is compared by signatures, in blocks, and then confirmed.
+   one source that share less than a link seldom meet. A group of any size is compared in pairs of
+   blocks of ``BLOCK``: what two sets hold from the shared shingle on must suffice for a link. The
+   pairs that pass go through 3 and 4.
 
 Shingles are compared as 64-bit hashes of all their words.
 
@@ -51,11 +51,14 @@ ROWS = 4
 BATCH = 32
 #: A pair is pruned when the posterior probability that it is a link is below this.
 MISS = 1e-6
+#: Members of a group that are compared with as many others in one step.
 BLOCK = 256
 #: Cells of the table of counts that orders shingles: rare cells first.
 CELL_BITS = 18
 
 _FACTORS = np.random.default_rng(20260102).integers(1, 2**63, HASHES, dtype=np.int64).astype(U64) | U64(1)
+_PREFIX = "key long, doc_id long, component long, small boolean, behind long, n_shingles long"
+_BLOCKS = ("key", "doc_id", "component", "behind", "n_shingles", "part", "x", "y")
 _SKETCH = "doc_id long, n_shingles long, digest long, digest2 long, signature binary"
 
 
@@ -209,54 +212,36 @@ def _confirm(batches):
         yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok)], names=["a", "b"])
 
 
-def _bucket_links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Links between members of a small bucket, as a spanning forest of new ones."""
-    ids = table.column("doc_id").to_numpy()
-    comp = table.column("component").to_numpy()
-    sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
-    sets = [np.frombuffer(s, U64) for s in table.column("shingles").to_pylist()]
-    parent = {c: c for c in comp.tolist()}
-
-    def root(c: int) -> int:
-        while parent[c] != c:
-            parent[c] = parent[parent[c]]
-            c = parent[c]
-        return c
-
-    found = []
-    for i in range(len(ids)):
-        ok = np.flatnonzero((ids > ids[i]) & (comp != comp[i]))
-        if len(ok):
-            ok = ok[bayes_keep(np.broadcast_to(sig[i], (len(ok), HASHES)), sig[ok])]
-        for j in ok.tolist():
-            p, q = root(int(comp[i])), root(int(comp[j]))
-            if p != q and linked(sets[i], sets[j]):
-                parent[max(p, q)] = min(p, q)
-                found.append((int(ids[i]), int(ids[j])))
-    return _pairs(found)
-
-
-def _block_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Pairs of two blocks that lie in different components and survive size and posterior tests."""
-    part = table.column("part").to_numpy()
-    here, there = part == table.column("x").to_numpy(), part == table.column("y").to_numpy()
-    ids, comp, size = (table.column(x).to_numpy() for x in ("doc_id", "component", "n_shingles"))
-    sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
-    found = []
-    right = np.flatnonzero(there)
-    for i in np.flatnonzero(here).tolist():
-        ok = right[((ids[right] > ids[i]) | ~here[right]) & (comp[right] != comp[i])]
-        ok = ok[_sizes_agree(size[ok], size[i])]
-        if len(ok):
-            ok = ok[bayes_keep(np.broadcast_to(sig[i], (len(ok), HASHES)), sig[ok])]
-        found += [(int(ids[i]), int(ids[j])) for j in ok]
-    return _pairs(found)
-
-
-def _pairs(found: list[tuple[int, int]]) -> pa.Table:
-    return pa.table(
-        {"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())}
+def _possible(rows: np.ndarray) -> np.ndarray:
+    """Pairs of the two blocks of a group that lie in different components and may still share enough."""
+    ids, comp, behind, size, part, x, y = rows.T[1:]
+    left, right = np.flatnonzero(part == x), np.flatnonzero(part == y)
+    # all that two sets can share from their first common shingle on
+    enough = (100 + PERCENT) * np.minimum.outer(behind[left], behind[right]) >= PERCENT * np.add.outer(
+        size[left], size[right]
     )
+    i, j = np.nonzero(enough & (comp[left][:, None] != comp[right]))
+    return np.sort(np.stack([ids[left[i]], ids[right[j]]], axis=1), axis=1)
+
+
+def _block_pairs(batches):
+    """``_possible`` for every pair of blocks; rows come sorted, a pair of blocks without a break."""
+    rest = np.zeros((0, len(_BLOCKS)), np.int64)
+
+    def pairs(rows: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
+        found = [_possible(rows[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+        both = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    for batch in batches:
+        rows = np.concatenate([rest, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
+        group = rows[:, [0, -2, -1]]
+        cuts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1)][: len(rows)])
+        rest = rows[cuts[-1] :] if len(rows) else rows
+        if len(cuts) > 1:
+            yield pairs(rows, cuts)
+    if len(rest):
+        yield pairs(rest, np.array([0, len(rest)]))
 
 
 def _cell(shingles: np.ndarray) -> np.ndarray:
@@ -286,17 +271,21 @@ def prefix(shingles: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
 def _prefix_rows(counts: np.ndarray):
     def rows(batches):
         for batch in batches:
-            keys, sizes, small = [], [], []
-            for s in batch.column(1).to_pylist():
-                own, n = prefix(np.frombuffer(s, U64), counts)
+            keys, sizes, small, behind, whole = [], [], [], [], []
+            for x in batch.column(1):
+                s = np.frombuffer(x.as_buffer(), U64)
+                own, n = prefix(s, counts)
                 keys.append(own)
                 sizes.append(len(own))
                 small.append(np.arange(len(own)) < n)
+                behind.append(len(s) - np.arange(len(own)))
+                whole.append(len(s))
             if keys:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(np.concatenate(keys))), pa.array(np.repeat(batch.column(0).to_numpy(), sizes)),
-                     pa.array(np.repeat(batch.column(2).to_numpy(), sizes)), pa.array(np.concatenate(small))],
-                    names=["key", "doc_id", "component", "small"],
+                     pa.array(np.repeat(batch.column(2).to_numpy(), sizes)), pa.array(np.concatenate(small)),
+                     pa.array(np.concatenate(behind)), pa.array(np.repeat(whole, sizes))],
+                    names=["key", "doc_id", "component", "small", "behind", "n_shingles"],
                 )
 
     return rows
@@ -325,7 +314,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     del bands, leaders
     release(spark)
 
-    edges = _star_links(crowded, reps, sets)
+    star = crowded.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
+    edges = _links(star, reps, sets)
     components = connected_components(edges)
     crowded = crowded.join(components, crowded.doc_id == components.node, "left").select(
         "band", "leader", "doc_id", F.coalesce("component", "doc_id").alias("component")
@@ -349,9 +339,8 @@ def _sets_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
     return wanted.mapInArrow(_full_sets, "doc_id long, shingles binary")
 
 
-def _star_links(crowded: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
-    """Confirmed links between members of a bucket and its smallest member."""
-    pairs = crowded.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+def _links(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that are links: signatures first, full sets for the survivors."""
 
     def side(x: str) -> DataFrame:
         return reps.select(
@@ -359,12 +348,8 @@ def _star_links(crowded: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFra
         )
 
     likely = materialise(
-        pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_prune, "a long, b long"), "likely"
+        pairs.distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(_prune, "a long, b long"), "likely"
     )
-    return _confirmed(likely, sets)
-
-
-def _confirmed(likely: DataFrame, sets: DataFrame) -> DataFrame:
     full = likely.hint("merge").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b"
     )
@@ -374,65 +359,33 @@ def _confirmed(likely: DataFrame, sets: DataFrame) -> DataFrame:
 def _rest_links(followers: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between members of one bucket that lie in different components so far.
 
-    Members of buckets with one component do not take part.
-    """
-    sizes = followers.groupBy("band").agg(
-        F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")
-    )
-    open_ = sizes.where("lo < hi").select("band", "n")
-    rows = materialise(followers.join(open_, "band").select("band", "n", "doc_id", "component"), "open")
-    few = rows.where(F.col("n") <= BLOCK).hint("merge").join(reps.select("doc_id", "signature"), "doc_id")
-    links = few.join(sets, "doc_id").groupBy("band").applyInArrow(_bucket_links, "a long, b long")
-    many = rows.where(F.col("n") > BLOCK)
-    if many.isEmpty():
-        return links
-    return links.union(_prefix_links(many.select("doc_id", "component").distinct(), reps, sets))
-
-
-def _prefix_links(members: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between members of large buckets, which meet by the shingles of their prefixes.
-
-    A group is one shingle. One of a pair has it in its short prefix, and one lies outside of the
-    group's largest component: the rarer of the two kinds is compared with all, in pairs of blocks.
+    Members of buckets with one component do not take part. The others meet by the shingles of their
+    prefixes. A group is one shingle: one of a pair has it in its short prefix, and one lies outside
+    of the group's largest component, so the rarer of the two kinds is compared with all, in pairs
+    of blocks, by size and by position of the shingle in both orders. What passes goes on to the
+    signatures.
     """
+    sizes = followers.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    open_ = sizes.where("lo < hi").select("band")
+    members = followers.join(open_, "band").select("doc_id", "component").distinct()
     wide = materialise(
         members.hint("merge").join(sets, "doc_id").select("doc_id", "shingles", "component"), "wide"
     )
     cells = wide.mapInArrow(_cell_counts, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << CELL_BITS, np.int64)
     counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    keys = wide.mapInArrow(_prefix_rows(counts), "key long, doc_id long, component long, small boolean")
+    keys = wide.mapInArrow(_prefix_rows(counts), _PREFIX)
     keys = materialise(keys, "prefixes")
-    leaders = keys.groupBy("key").agg(
-        F.min("doc_id").alias("leader"), F.min_by("component", "doc_id").alias("led"), F.max("small").alias("any"),
-        F.min("component").alias("lo"), F.max("component").alias("hi"),
-    ).where("lo < hi and any")
-    shared = materialise(keys.join(leaders, "key").select("key", "leader", "led", "doc_id", "component", "small"), "shared")
-    del cells, keys, leaders
-    release(reps.sparkSession)
-    star = _star_links(shared.where("component <> led"), reps, sets)
-
-    # components of components
-    own = wide.select(F.col("doc_id").alias("id"), "component")
-    moved = star.join(own.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(
-        own.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b"
-    )
-    moved = connected_components(moved.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    shared = shared.join(moved, shared.component == moved.node, "left").select(
-        "key", "doc_id", "small", F.coalesce(moved.component, shared.component).alias("component")
-    )
-    shared = materialise(shared, "grouped")
-    del moved
-    release(reps.sparkSession)
-    kinds = shared.groupBy("key", "component").agg(F.count("*").alias("n"), F.count_if("small").alias("short"))
+    kinds = keys.groupBy("key", "component").agg(F.count("*").alias("n"), F.count_if("small").alias("short"))
     groups = kinds.groupBy("key").agg(
         F.count("*").alias("kinds"), F.sum("n").alias("n"), F.sum("short").alias("short"),
         (F.sum("n") - F.max("n")).alias("outside"), F.max_by("component", "n").alias("top"),
     ).where("kinds > 1 and short > 0")
     asking = F.when(F.col("short") <= F.col("outside"), F.col("small")).otherwise(F.col("component") != F.col("top"))
     asked = F.least("short", "outside")
-    rows = shared.join(groups, "key").select(
-        "key", "doc_id", "component", asking.alias("asking"), F.ceil(asked / BLOCK).cast("int").alias("ours"),
+    rows = keys.join(groups, "key").select(
+        "key", "doc_id", "component", "behind", "n_shingles", asking.alias("asking"),
+        F.ceil(asked / BLOCK).cast("int").alias("ours"),
         F.ceil((F.col("n") - asked) / BLOCK).cast("int").alias("others"),
     )
     deal = F.xxhash64("doc_id")
@@ -440,9 +393,8 @@ def _prefix_links(members: DataFrame, reps: DataFrame, sets: DataFrame) -> DataF
     last = F.when(F.col("asking"), F.col("ours") + F.col("others")).otherwise(F.col("ours")) - 1
     spread = (
         rows.withColumn("part", part.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-        .hint("merge").join(reps.select("doc_id", "n_shingles", "signature"), "doc_id")
-        .select("key", "doc_id", "component", "n_shingles", "signature", "part",
-                F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
-    )
-    pairs = spread.groupBy("key", "x", "y").applyInArrow(_block_pairs, "a long, b long").distinct()
-    return star.union(_confirmed(materialise(pairs, "pairs"), sets))
+        .withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")})
+        .select(*[F.col(c).cast("long") for c in _BLOCKS])
+    )
+    met = spread.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return _links(met.mapInArrow(_block_pairs, "a long, b long"), reps, sets)
