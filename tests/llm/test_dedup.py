@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +122,32 @@ def test_prefixes_keep_links_and_part_a_hot_source():
     assert links > 20 and met < 3 * links
 
 
+def test_block_pairs_keep_links_across_batches():
+    """Position and size filters lose no link, wherever the batches are cut."""
+    sets = [np.array(sorted(s), np.uint64) for _, s in hot_source()]
+    counts = np.zeros(1 << near_dedup.CELL_BITS, np.int64)
+    for s in sets:
+        np.add.at(counts, near_dedup._cell(s), 1)
+    rows = []
+    for i, s in enumerate(sets):
+        keys = near_dedup.prefix(s, counts)[0]
+        rows += [(int(k) >> 1, i, i, len(s) - at, len(s), 0, 0, 0) for at, k in enumerate(keys)]
+    rows = np.array(sorted(rows), np.int64)
+    links = {(x, y) for y in range(len(sets)) for x in range(y) if near_dedup.linked(sets[x], sets[y])}
+    for step in (1, 7, len(rows)):
+        batches = [
+            pa.RecordBatch.from_arrays([pa.array(c) for c in rows[at : at + step].T], names=list(near_dedup._BLOCKS))
+            for at in range(0, len(rows), step)
+        ]
+        found = [tuple(r.values()) for b in near_dedup._block_pairs(iter(batches)) for r in b.to_pylist()]
+        assert links <= set(found) and all(a < b for a, b in found)
+    assert not list(near_dedup._block_pairs(iter([])))
+    # one component holds no pair
+    rows[:, 2] = 0
+    one = pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T], names=list(near_dedup._BLOCKS))
+    assert not sum(b.num_rows for b in near_dedup._block_pairs(iter([one])))
+
+
 def test_large_open_buckets(spark, monkeypatch):
     """Only pairs that meet by a prefix are compared, and all links are found."""
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
