@@ -84,10 +84,15 @@ MAIN_TAGS = frozenset(["article", "main"])
 ASIDE_TAGS = frozenset(["nav", "footer", "aside", "form", "dialog", "menu"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
-ASIDE_NAMES = re.compile(
-    r"(?:^|[^a-z])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|footer|"
+ASIDE_WORD = re.compile(
+    r"ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|footer|"
     r"sidebar|side|widget|related|recommended|share|social|comments?|respond|replies|disqus|cookies?|consent|gdpr|"
-    r"notice|alert|popup|modal|newsletter|subscribe|signup|login|header|masthead|toolbar|pagination|pager)(?:$|[^a-z])"
+    r"notice|alert|popup|modal|newsletter|subscribe|signup|login|header|masthead|toolbar|pagination|pager"
+)
+#: Words that say where or how an element stands, not what it holds.
+PLACE_WORDS = frozenset(
+    "area bar block bottom box buttons container content global inner item left links list main outer page primary "
+    "right secondary section site slot top unit wrap wrapper".split()
 )
 TAG = re.compile(
     r"<(?:!--.*?(?:-->|\Z)|([!?])[^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))",
@@ -96,6 +101,15 @@ TAG = re.compile(
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
+def aside_name(names: str) -> bool:
+    """Whether a class, id or role names an aside by all of its words, as ``site-footer`` but not ``side-effects``."""
+    for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower().split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w and w not in PLACE_WORDS]
+        if words and all(ASIDE_WORD.fullmatch(w) for w in words):
+            return True
+    return False
+
+
 @dataclass
 class Block:
     text: str
@@ -225,7 +239,7 @@ def page_blocks(page: str) -> list[Block]:
                 aside = True
             if tag not in ("html", "body", "article", "main") and not aside and m[4]:
                 names = " ".join([x for found in NAMES.findall(m[4]) for x in found if x])
-                aside = bool(names) and ASIDE_NAMES.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower()) is not None
+                aside = aside_name(names)
     close()
     return out
 

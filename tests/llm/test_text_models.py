@@ -56,6 +56,17 @@ def test_pages(spark):
     assert blocks.extract(table.where("false")).count() == 0
 
 
+def test_names_of_asides():
+    for name in ("ad", "site-footer", "cookieNotice", "comment-42", "col-4 left-sidebar", "top_nav"):
+        assert blocks.aside_name(name), name
+    for name in ("side-effects", "social-security", "share-price-note", "article-header", "post-header", "main", ""):
+        assert not blocks.aside_name(name), name
+    page = """<article><header class="article-header"><h1 class="post-header">Title</h1></header>
+        <section class="side-effects"><p>Some people feel tired after it.</p></section>
+        <div class="share-price-note">The price fell.</div><div class="comment-list"><p>Nice one!</p></div></article>"""
+    assert blocks.main_text(page, blocks.trained()) == "Title\nSome people feel tired after it.\nThe price fell."
+
+
 def test_tokens_equal_the_library(spark):
     from tokenizers import Tokenizer
 
