@@ -89,7 +89,7 @@ def with_alerts(
     limits = limits.select(*keys, F.col("upper").alias("_upper"), F.col("lower").alias("_lower"))
     hi, lo = F.col("_upper"), F.col("_lower")
     return (
-        G.attach(df, limits, keys)
+        G.attach_stats(df, limits, keys)
         .withColumn("alert", alert_level(c, hi, lo))
         .withColumn("risk_score", risk_score(c, hi, lo, signed))
         .drop("_upper", "_lower")

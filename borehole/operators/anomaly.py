@@ -68,7 +68,7 @@ def flags_and_scores(
     spread = F.col("_high") - F.col("_low")
     score = F.coalesce(F.try_divide(F.col("_high") - F.col("raw"), spread), F.lit(0.5))
     return (
-        G.attach(raw, G.attach(limits, cut, keys), keys)
+        G.attach_stats(raw, G.attach(limits, cut, keys), keys)
         .withColumn("anomaly_score", score)
         .withColumn("is_anomaly", F.col("raw") < F.col("raw_q0"))
         .drop("_low", "_high", "raw_q0")

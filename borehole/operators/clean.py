@@ -249,7 +249,7 @@ def _fill_from(
     df: DataFrame, stats: DataFrame, cols: Sequence[str], keys: Sequence[str]
 ) -> DataFrame:
     """Fill nulls of ``cols`` from the per-key columns ``fill_{col}`` of ``stats``."""
-    joined = G.attach(df, stats, keys)
+    joined = G.attach_stats(df, stats, keys)
     return joined.select(
         *[
             F.coalesce(F.col(c), F.col(f"fill_{c}").cast(df.schema[c].dataType)).alias(c)
@@ -452,7 +452,7 @@ def standardize(
         ).alias(c)
         for c in features
     }
-    return G.attach(df, stats, keys).select(*[scaled.get(c, F.col(c)) for c in df.columns])
+    return G.attach_stats(df, stats, keys).select(*[scaled.get(c, F.col(c)) for c in df.columns])
 
 
 # --- looking at rows --------------------------------------------------------------------

@@ -49,7 +49,7 @@ def _draw(
     """``keys, tree, u, features``: the rows of each tree, ``u`` giving them an order."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     ident = F.col(id_col)
-    pool = G.attach(df.select(*keys, id_col, *features), counts, keys).where(
+    pool = G.attach_stats(df.select(*keys, id_col, *features), counts, keys).where(
         _uniform(F.lit(seed), ident) < F.lit(float(trees * sample)) / F.col("_rows")
     )
     # twice as many candidates as a tree takes, then the exact number of smallest hashes
@@ -186,7 +186,7 @@ def _score_groups(
     counts = df.groupBy(*keys).agg(
         F.ceil(F.count(F.lit(1)) / SCORE_ROWS).cast("long").alias("_tasks")
     )
-    rows = G.attach(df, counts, keys).withColumn(
+    rows = G.attach_stats(df, counts, keys).withColumn(
         "_task", F.pmod(F.xxhash64(id_col), F.col("_tasks"))
     ).drop("_tasks")
     forests = G.attach(forest, counts, keys).withColumn(

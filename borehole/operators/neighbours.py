@@ -116,7 +116,7 @@ def _grow_trees(
     share = min(1.0, SAMPLE_PER_LEAF / leaf_rows)
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(7), *features), 11) / float(2**53)
     sample = (
-        G.attach(places.select(*keys, *features), sizes, keys)
+        G.attach_stats(places.select(*keys, *features), sizes, keys)
         .where((F.col("_places") > leaf_rows) & (chance < share))
         .select(*keys, *features)
         .toPandas()  # about SAMPLE_PER_LEAF rows for each of at most MAX_LEAVES leaves
@@ -318,7 +318,7 @@ def lof_scores(
                        F.max("_places").alias("high")).first()
     if limits["k"] is None or limits["k"] < 2:
         raise ValueError("not enough samples for a local outlier factor")
-    sized = G.attach(places, sizes, keys)
+    sized = G.attach_stats(places, sizes, keys)
     small, large = F.col("_places") <= leaf_rows, F.col("_places") > leaf_rows
     found = []
     if limits["low"] <= leaf_rows:

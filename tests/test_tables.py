@@ -125,6 +125,22 @@ def test_fill_by_group(spark):
         C.fill_missing(dated, "auto")
 
 
+def test_few_groups_are_scaled_without_moving_their_rows(spark):
+    """Rows of one key are not sent to one partition to meet the statistics of their key."""
+    path = scratch_path(spark, "scaled")
+    spark.range(60_000).select((F.col("id") % 3).alias("k"), (F.rand(5) * 100).alias("v")).write.parquet(path)
+    df = spark.read.parquet(path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50000b")  # the rows are larger
+    try:
+        for made in (C.standardize(df, ["v"], ["k"]), C.fill_mean(df, ["k"]), alerts.with_alerts(df, "v", keys=["k"])):
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        got = C.standardize(df, ["v"], ["k"]).groupBy("k").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 3 and all(r["m"] == pytest.approx(0, abs=1e-9) and r["s"] == pytest.approx(1) for r in got)
+
+
 def test_label_of_null_is_nan(spark):
     df = spark.createDataFrame([("b",), (None,), ("a",), ("z",)], "v string")
     assert [r[0] for r in C.encode_label(df).collect()] == [1, 2, 0, 3]
