@@ -19,7 +19,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from borehole.functions import parsing as P
@@ -30,6 +30,7 @@ from borehole.session import materialise
 #: Partitions that a forest's rows are dealt to at least, and rows of one.
 LEAST_PARTS, PART_ROWS = 16, 200_000
 TREES = 100
+CELL_DIGITS = 3  # of a hash; a split orders one row in 16 ** 3
 CLASS_LIMIT = 10  # fewer distinct targets make a classification
 REGRESSION, CLASSIFICATION = "regression", "classification"
 
@@ -77,14 +78,29 @@ def train_test_split(
 ) -> DataFrame:
     """Add ``is_test``: the ``ceil(n * test_size)`` rows of smallest hash, per ``stratify`` group.
 
-    The hash of (seed, id) gives every row its place whatever the partitioning.
+    The hash of (seed, id) gives every row its place whatever the partitioning. Rows are counted by the first digits of
+    their hash; these settle all rows but those of the one cell per group that the limit falls into, and only that cell
+    is ordered.
     """
     _check_test_size(test_size)
     draw = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col)))
-    rows = G.ordered(df.withColumn("_draw", draw), stratify, ["_draw", id_col])
-    return rows.core(
-        rows.df.withColumn("is_test", F.col("_pos") < F.ceil(F.col("_n") * test_size))
-    ).drop("_pos", "_n", "_draw")
+    cell = F.conv(F.substring(draw, 1, CELL_DIGITS), 16, 10).cast("int")
+    drawn = materialise(df.withColumn("_cell", cell), "drawn")
+    counts = drawn.groupBy(*stratify, "_cell").agg(F.count(F.lit(1)).alias("_rows"))
+    whole = Window.partitionBy(*stratify)
+    upto = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edges = counts.select(
+        *stratify, F.col("_cell").alias("_edge"), (F.sum("_rows").over(upto) - F.col("_rows")).alias("_before"), "_rows",
+        F.ceil(F.sum("_rows").over(whole) * test_size).alias("_wanted"),
+    )
+    edges = edges.where(F.col("_wanted").between(F.col("_before") + 1, F.col("_before") + F.col("_rows")))
+    edges = edges.select(*stratify, "_edge", (F.col("_wanted") - F.col("_before")).alias("_left"))
+    placed = G.attach_stats(drawn, edges, stratify)
+    settled = placed.where(F.col("_cell") != F.col("_edge")).withColumn("is_test", F.col("_cell") < F.col("_edge"))
+    close = materialise(placed.where(F.col("_cell") == F.col("_edge")).withColumn("_draw", draw), "edge")
+    rows = G.ordered(close, stratify, ["_draw", id_col])
+    ranked = rows.core(rows.df.withColumn("is_test", F.col("_pos") < F.col("_left"))).drop("_pos", "_n", "_draw")
+    return settled.unionByName(ranked).drop("_cell", "_edge", "_left")
 
 
 # --- features ---------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from borehole.operators import alerts as L
@@ -82,6 +83,32 @@ def test_numeric_classes_sort_as_numbers(wells):
     assert trained.task == "classification" and trained.classes == [5.0, 10.0, 15.0]
 
 
+def test_split_orders_only_the_rows_at_its_limit(spark, monkeypatch):
+    """The rows of smallest hash per group, as a window over the whole group gives them, from a small part of the rows."""
+    seen = []
+    whole = T.G.ordered
+
+    def counted(df, *rest):
+        seen.append(df.count())
+        return whole(df, *rest)
+
+    monkeypatch.setattr(T.G, "ordered", counted)
+    group = F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 7 < 3, "a").otherwise("b")
+    df = spark.range(30_000).select(F.col("id").alias("row"), group.alias("kind"))
+    for keys in ([], ["kind"]):
+        got = {r["row"]: r["is_test"] for r in T.train_test_split(df, "row", 0.3, stratify=keys).collect()}
+        draw = F.md5(F.concat_ws(":", F.lit(42), F.col("row")))
+        place = Window.partitionBy(*keys).orderBy(draw, "row")
+        share = F.row_number().over(place) <= F.ceil(F.count("*").over(Window.partitionBy(*keys)) * 0.3)
+        assert got == {r["row"]: r["t"] for r in df.select("row", share.alias("t")).collect()}
+    assert len(seen) == 2 and max(seen) < 300
+    # rows of one id are told apart as well: the number of test rows is exact
+    same = spark.createDataFrame([(1, None)] * 7 + [(None, "x")] * 5, "row int, kind string")
+    found = T.train_test_split(same, "row", 0.3, stratify=["kind"]).groupBy("kind").agg(F.count_if("is_test").alias("n"))
+    assert {r["kind"]: r["n"] for r in found.collect()} == {None: 3, "x": 2}
+    assert T.train_test_split(same.where("false"), "row").isEmpty()
+
+
 def test_bad_targets(wells):
     with pytest.raises(ValueError):
         T.choose_target(wells, "nope")
