@@ -128,29 +128,53 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy().reshape(n, -1) if n else np.zeros((0, 1))
 
 
-def best_of(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """(query, id, score) of each query's k best; equal vectors are scored once."""
+def best_of(
+    ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int,
+    leaf: np.ndarray | None = None, asked: tuple[np.ndarray, np.ndarray] | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of each query's k best; equal vectors are scored once.
+
+    With the ``leaf`` of each row, ``asked`` holds pairs of a query's position (rising) and a leaf: a query then sees only the
+    rows of its leaves. All leaves are scored into one table, so a query's best are picked once and not leaf by leaf.
+    """
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], np.ascontiguousarray(vectors[order])
-    raw = vectors.view(f"V{vectors.shape[1] * 8}").ravel()
+    # copies that rounding put into two leaves are two
+    cells = vectors if leaf is None else np.column_stack([vectors, leaf[order]])
+    raw = cells.view(f"V{cells.shape[1] * 8}").ravel()
     _, first, which = np.unique(raw, return_index=True, return_inverse=True)
     by = np.argsort(which, kind="stable")
     begin = np.searchsorted(which[by], np.arange(len(first)))
+    end = np.append(begin[1:], len(by))
+    if leaf is not None:
+        place = leaf[order][first]
+        along = np.argsort(place, kind="stable")
+        first, begin, end, place = first[along], begin[along], end[along], place[along]
     own = vectors[first]
     out = []
     for at in range(0, len(queries), 128):
         q = queries[at : at + 128]
-        rough = q @ own.T
+        if leaf is None:
+            rough = q @ own.T
+        else:
+            rough = np.full((len(q), len(own)), -np.inf)
+            pairs = slice(*np.searchsorted(asked[0], (at, at + len(q))))
+            who, of = asked[0][pairs] - at, asked[1][pairs]
+            together = np.argsort(of, kind="stable")
+            for mine in np.split(together, np.flatnonzero(np.diff(of[together])) + 1) if len(of) else ():
+                here = slice(*np.searchsorted(place, (of[mine[0]], of[mine[0]] + 1)))
+                rough[who[mine], here] = q[who[mine]] @ own[here].T
         wanted = min(k + 1, len(own))
         cut = np.partition(rough, len(own) - wanted, axis=1)[:, len(own) - wanted]
-        slack = 1e-9 * (1 + np.abs(cut))
+        least = np.where(np.isfinite(cut), cut - 1e-9 * (1 + np.abs(cut)), -np.inf)
         for i in range(len(q)):
-            near = np.flatnonzero(rough[i] >= cut[i] - slack[i])
+            near = np.flatnonzero((rough[i] >= least[i]) & (rough[i] > -np.inf))
+            if not len(near):
+                continue
             score = (own[near] * q[i]).sum(axis=1)
             found, points = [], []
             for n, s in zip(near.tolist(), score.tolist(), strict=True):
-                end = begin[n + 1] if n + 1 < len(begin) else len(by)
-                same = ids[by[begin[n] : min(begin[n] + k + 1, end)]]
+                same = ids[by[begin[n] : min(begin[n] + k + 1, end[n])]]
                 found.append(same)
                 points.append(np.full(len(same), s))
             found, points = np.concatenate(found), np.concatenate(points)
@@ -163,14 +187,6 @@ def best_of(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """The k best rows of each query."""
-    order = np.lexsort((ids, -score, query))
-    query, ids, score = query[order], ids[order], score[order]
-    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
-    return query[keep], ids[keep], score[keep]
-
-
 def in_bins(sizes: list[int]) -> tuple[list[int], list[int]]:
     """The bin of each leaf, of at most ``PART`` rows unless one leaf has more, and each bin's parts."""
     bins, held = [], [0]
@@ -301,11 +317,7 @@ def nearest_vectors(
             query_ids, points = asked.column("query_id").to_numpy(), _matrix(asked.column("query"))
             seen = asked.column("seen").combine_chunks()
             who, which = np.repeat(np.arange(len(query_ids)), np.diff(seen.offsets.to_numpy())), seen.flatten().to_numpy()
-            for one in np.unique(leaf):
-                rows, near = leaf == one, who[which == one]
-                if len(near):
-                    found = best_of(ids[rows], vectors[rows], query_ids[near], points[near], k)
-                    out = _best(*(np.concatenate(x) for x in zip(out, found, strict=True)), k)
+            out = best_of(ids, vectors, query_ids, points, k, leaf, (who, which))
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, out), strict=True)))
 
     by = ("bin", "part", "ask")

@@ -141,3 +141,24 @@ def test_language_stage_keeps_clean_documents(spark):
     both = docs.unionByName(odd, allowMissingColumns=True)
     kept = corpus_pipeline.language(spark, both, SF)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in docs.collect())
+
+
+def test_leaves_of_a_bin_are_scored_together(monkeypatch):
+    """Each query's best in its leaves by brute force, with copies, ties and more than one block of queries."""
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-2, 3, (400, 3)).astype(float)
+    ids, leaf = rng.permutation(400), rng.integers(0, 9, 400)
+    query_ids, queries = np.arange(0, 400, 2), rng.integers(-2, 3, (200, 3)).astype(float)
+    pairs = np.array([(q, one) for q in range(200) for one in range(12) if (q * 7 + one * 5) % 4 == 0 and q != 9])
+    picked = []
+    partition = np.partition
+    monkeypatch.setattr(np, "partition", lambda *a, **k: picked.append(1) or partition(*a, **k))
+    got = kmeans_tree.best_of(ids, vectors, query_ids, queries, 5, leaf, (pairs[:, 0], pairs[:, 1]))
+    assert len(picked) == 2
+    want = []
+    for q in range(200):
+        seen = np.isin(leaf, pairs[pairs[:, 0] == q, 1]) & (ids != query_ids[q])
+        scores = vectors[seen] @ queries[q]
+        best = np.lexsort((ids[seen], -scores))[:5]
+        want += [(int(query_ids[q]), int(i), float(s)) for i, s in zip(ids[seen][best], scores[best], strict=True)]
+    assert list(zip(*(x.tolist() for x in got), strict=True)) == want
