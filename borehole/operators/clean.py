@@ -282,6 +282,11 @@ def fill_median(
     if not cols:
         return df
     df = _widened(df, cols)
+    # medians are looked for only in columns that have gaps; one pass says which
+    _, nulls = null_counts(df.select(*cols))
+    cols = [c for c in cols if nulls[c]]
+    if not cols:
+        return df
     medians = G.exact_quantiles(df, cols, [0.5], keys)
     medians = medians.select(*keys, *[F.col(f"{c}_q0").alias(f"fill_{c}") for c in cols])
     return _fill_from(df, medians, cols, keys)

@@ -141,6 +141,24 @@ def test_few_groups_are_scaled_without_moving_their_rows(spark):
     assert len(got) == 3 and all(r["m"] == pytest.approx(0, abs=1e-9) and r["s"] == pytest.approx(1) for r in got)
 
 
+def test_medians_are_looked_for_only_where_values_are_missing(spark, monkeypatch):
+    asked = []
+    whole = C.G.exact_quantiles
+
+    def noted(df, cols, *rest):
+        asked.append(list(cols))
+        return whole(df, cols, *rest)
+
+    monkeypatch.setattr(C.G, "exact_quantiles", noted)
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 3, None), ("b", 5, float("nan")), ("a", 7, 6.0)], "k string, x int, y double")
+    for keys, want in (([], 4.0), (["k"], None)):
+        got = C.fill_median(df, ["x", "y"], keys)
+        assert got.dtypes == [("k", "string"), ("x", "double"), ("y", "double")]
+        assert {r["x"]: r["y"] for r in got.collect()} == {1.0: 2.0, 3.0: 4.0, 5.0: want, 7.0: 6.0}
+    assert asked == [["y"], ["y"]]
+    assert C.fill_median(df.select("x"), ["x"]).dtypes == [("x", "double")] and len(asked) == 2
+
+
 def test_label_of_null_is_nan(spark):
     df = spark.createDataFrame([("b",), (None,), ("a",), ("z",)], "v string")
     assert [r[0] for r in C.encode_label(df).collect()] == [1, 2, 0, 3]
