@@ -2,9 +2,10 @@
 
 The score of two stations falls with their distance and with the difference of their values. A k-d tree over a
 bounded sample cuts places on the sphere and values in turn, so that a leaf is a small region with a small range of
-values. What a station can score against a leaf at most follows from the leaf's box: 0.3 times the nearness of its
+values; how many value cuts follow each other is what asks fewest rows for some stations of the sample. What a station can score against a leaf at most follows from the leaf's box: 0.3 times the nearness of its
 closest corner and 0.7 / (1 + the least difference of values). Each target first looks through a part of its own leaf; its k-th
-score there is beaten only in leaves whose bound reaches it, and only those are asked.
+score there is beaten only in leaves whose bound reaches it, and only those are asked. Within a leaf the straight line between
+two places, a product of matrices, tells which pairs can be among the best; only these are measured on the sphere.
 
 Leaves hold about ``LEAF_ROWS`` rows up to ``MAX_LEAVES`` leaves (some 67 million stations) and grow beyond. A leaf is
 dealt in parts, and the targets that ask it in groups, so one place may hold any share of the stations.
@@ -30,9 +31,12 @@ LEAF_ROWS = 1024
 MAX_LEAVES = 65_536
 SAMPLE_PER_LEAF = 8
 #: Rows of a leaf in one part, targets in one group, and pairs scored at once.
-PART_ROWS, ASK_ROWS, PAIRS = 4096, 8192, 1 << 20
-#: Allowance for rounding in a bound.
-SLACK = 1e-9
+PART_ROWS, ASK_ROWS, PAIRS = 4096, 8192, 1 << 17
+#: Orders of the cuts (true: by value) that a tree may repeat from its root, the stations they are tried for, and how many best
+#: of each.
+TURNS, PROBES, BEST = ((True, False), (True,), (True, True, True, False), (True, False, False, False), (False,)), 128, 8
+#: Allowance for rounding in a bound, in the square of a chord, and the most that a score by chords may lie above the true one.
+SLACK, CHORD_SLACK, CHORD_GAP = 1e-9, 4e-15, 1e-3
 
 
 def _space(lat: np.ndarray, lon: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -41,10 +45,18 @@ def _space(lat: np.ndarray, lon: np.ndarray, value: np.ndarray) -> np.ndarray:
     return np.column_stack([np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la), value])
 
 
+def _score(gap: np.ndarray) -> np.ndarray:
+    """The score of two stations by the gaps between their points and values."""
+    chord = np.sqrt((gap[:, :3] ** 2).sum(axis=1))
+    km = 2 * EARTH_RADIUS_KM * np.arcsin(np.minimum(chord / 2, 1))
+    return GEO_WEIGHT * np.maximum(1 - km / RELEVANT_KM, 0) + VALUE_WEIGHT / (1 + gap[:, 3])
+
+
 class Tree:
     """Nodes by number: ``dim`` (-1 for a leaf), ``cut``, children and leaf number; boxes are set later."""
 
-    def __init__(self, sample: np.ndarray, per_leaf: int):
+    def __init__(self, sample: np.ndarray, per_leaf: int, turns: tuple[bool, ...] = TURNS[0]):
+        self.turns = turns
         self.dim, self.cut, self.kids, self.leaf = [], [], [], []
         self.leaves = 0
         self._split(sample, per_leaf)
@@ -60,9 +72,8 @@ class Tree:
                 self.kids[parent[0]][parent[1]] = me
             part = sample[rows]
             spread = np.ptp(part, axis=0) if len(rows) else np.zeros(4)
-            # values and places take turns: a leaf must be small in both to be told apart
             wide = int(np.argmax(spread[:3]))
-            d = 3 if (depth % 2 == 0 and spread[3] > 0) or spread[wide] == 0 else wide
+            d = 3 if (self.turns[depth % len(self.turns)] and spread[3] > 0) or spread[wide] == 0 else wide
             value = float(np.median(part[:, d])) if len(rows) > per_leaf else 0.0
             left = part[:, d] <= value if len(rows) > per_leaf else np.ones(len(rows), bool)
             if len(rows) > per_leaf and left.all():
@@ -104,10 +115,7 @@ class Tree:
     def bound(self, x: np.ndarray, node: np.ndarray) -> np.ndarray:
         """The highest score that each row can reach in its node."""
         gap = np.maximum(np.maximum(self.low[node] - x, x - self.high[node]), 0)
-        chord = np.sqrt((gap[:, :3] ** 2).sum(axis=1))
-        km = 2 * EARTH_RADIUS_KM * np.arcsin(np.minimum(chord / 2, 1))
-        top = GEO_WEIGHT * np.maximum(1 - km / RELEVANT_KM, 0) + VALUE_WEIGHT / (1 + gap[:, 3]) + SLACK
-        return np.where(self.low[node, 0] <= self.high[node, 0], top, -np.inf)
+        return np.where(self.low[node, 0] <= self.high[node, 0], _score(gap) + SLACK, -np.inf)
 
     def reach(self, x: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of every leaf in which a row may score ``least`` or more."""
@@ -123,33 +131,78 @@ class Tree:
         return np.concatenate(rows), np.concatenate(leaves)
 
 
+def planned(sample: np.ndarray, per_leaf: int, share: float = 1.0) -> Tree:
+    """The tree whose order of cuts, of those in ``TURNS``, asks fewest rows of the sample, a ``share`` of all, for some of them.
+
+    Where values lie close together a narrow range of values holds a target's best; where they lie far apart places do.
+    """
+    if len(sample) <= per_leaf:
+        return Tree(sample, per_leaf)
+    probes = sample[np.linspace(0, len(sample) - 1, min(PROBES, len(sample))).astype(int)]
+    last = -1 - min(max(1, round(BEST * share)), len(sample) - 1)  # the highest score is a probe's own
+    least = np.array([np.partition(_score(np.abs(sample - x)), last)[last] for x in probes])
+    trees = [Tree(sample, per_leaf, turns) for turns in TURNS]
+    return min(trees, key=lambda tree: _asked(tree, sample, probes, least))
+
+
+def _asked(tree: Tree, sample: np.ndarray, probes: np.ndarray, least: np.ndarray) -> int:
+    """Rows of the sample in the leaves where ``probes`` may score ``least``."""
+    held = pd.DataFrame(sample).groupby(tree.assign(sample))
+    sizes, low, high = held.size(), held.min(), held.max()
+    tree.set_boxes(sizes.index.to_numpy(), low.to_numpy(), high.to_numpy())
+    return int(sizes.reindex(tree.reach(probes, least)[1]).sum())
+
+
+def _ceilings(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """A score for all pairs of points and values that is never below the true one, nor above it by ``CHORD_GAP``."""
+    chord = x[:, :3] @ rows[:, :3].T
+    chord *= -2
+    chord += 2 - CHORD_SLACK
+    np.maximum(chord, 0, out=chord)
+    np.sqrt(chord, out=chord)
+    chord *= -GEO_WEIGHT * EARTH_RADIUS_KM / RELEVANT_KM
+    chord += GEO_WEIGHT
+    np.maximum(chord, 0, out=chord)
+    alike = x[:, 3, None] - rows[:, 3]
+    np.abs(alike, out=alike)
+    alike += 1
+    np.divide(VALUE_WEIGHT, alike, out=alike)
+    alike += chord
+    alike += SLACK
+    return alike
+
+
 def best_pairs(targets: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """The ``k`` best rows for each target by (score, id) that reach its ``least`` score; never its own id."""
     asked, held = targets["target_id"].to_numpy(object), rows["station_id"].to_numpy(object)
     order = np.unique(np.concatenate([asked, held]), return_inverse=True)[1]
     mine, theirs = order[: len(asked)], order[len(asked) :]
     lat, lon, value = (rows[c].to_numpy(float) for c in ("lat", "lon", "value"))
-    la, lo = np.radians(lat), np.radians(lon)
+    t_lat, t_lon, t_value = (targets[f"target_{c}"].to_numpy(float) for c in ("lat", "lon", "value"))
+    points, t_points = _space(lat, lon, value), _space(t_lat, t_lon, t_value)
+    la, lo, t_la, t_lo = (np.radians(c) for c in (lat, lon, t_lat, t_lon))
+    least = targets["least"].to_numpy(float) - SLACK
     out = []
     step = max(1, PAIRS // max(len(rows), 1))
     for at in range(0, len(targets) if len(rows) else 0, step):
-        part = targets.iloc[at : at + step]
-        t_la, t_lo = (np.radians(part[c].to_numpy(float))[:, None] for c in ("target_lat", "target_lon"))
-        half_lat, half_lon = np.sin((la - t_la) / 2), np.sin((lo - t_lo) / 2)
-        h = half_lat * half_lat + np.cos(t_la) * np.cos(la) * half_lon * half_lon
+        part = slice(at, at + step)
+        top, enough = _ceilings(t_points[part], points), least[part]
+        top[mine[part, None] == theirs] = -np.inf
+        if top.shape[1] > k and np.isinf(enough).any():
+            # rows above the k-th ceiling by less than its error may still be among the best
+            enough = np.maximum(enough, np.partition(top, top.shape[1] - k, axis=1)[:, -k] - CHORD_GAP)
+        t, r = np.nonzero((top >= enough[:, None]) & (top > -np.inf))
+        t += at
+        half_lat, half_lon = np.sin((la[r] - t_la[t]) / 2), np.sin((lo[r] - t_lo[t]) / 2)
+        h = half_lat * half_lat + np.cos(t_la)[t] * np.cos(la)[r] * half_lon * half_lon
         km = 2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(h, 1.0)))
-        alike = 1 / (1 + np.abs(part["target_value"].to_numpy(float)[:, None] - value))
+        alike = 1 / (1 + np.abs(t_value[t] - value[r]))
         score = GEO_WEIGHT * np.maximum(0.0, 1 - km / RELEVANT_KM) + VALUE_WEIGHT * alike
-        score[mine[at : at + step, None] == theirs] = -np.inf
-        least = part["least"].to_numpy(float) - SLACK
-        if score.shape[1] > k:
-            least = np.maximum(least, np.partition(score, score.shape[1] - k, axis=1)[:, -k])
-        t, r = np.nonzero((score >= least[:, None]) & (score > -np.inf))
-        first = np.lexsort((theirs[r], -score[t, r], t))
+        first = np.lexsort((theirs[r], -score, t))
+        first = first[score[first] >= least[t[first]]]
+        first = first[np.arange(len(first)) - np.searchsorted(t[first], t[first]) < k]
         t, r = t[first], r[first]
-        keep = np.arange(len(t)) - np.searchsorted(t, t) < k
-        t, r = t[keep], r[keep]
-        out.append((asked[at : at + step][t], held[r], lat[r], lon[r], value[r], km[t, r], alike[t, r], score[t, r]))
+        out.append((asked[t], held[r], lat[r], lon[r], value[r], km[first], alike[first], score[first]))
     empty = (np.zeros(0, object), np.zeros(0, object), *[np.zeros(0)] * 6)
     columns = [np.concatenate(c) for c in zip(empty, *out, strict=True)]
     return pd.DataFrame({name: pd.Series(c, dtype=c.dtype) for name, c in zip(_FOUND, columns, strict=True)})
@@ -175,7 +228,8 @@ class Search:
         chance = F.shiftrightunsigned(F.xxhash64("station_id", "lat", "lon"), 11) / float(2**53)
         # about SAMPLE_PER_LEAF rows for each of at most MAX_LEAVES leaves
         sample = self.points.where(chance < share).select("lat", "lon", "value").toPandas()
-        self.tree = Tree(_space(*(sample[c].to_numpy(float) for c in ("lat", "lon", "value"))), max(2, int(leaf_rows * share)))
+        space = _space(*(sample[c].to_numpy(float) for c in ("lat", "lon", "value")))
+        self.tree = planned(space, max(2, int(leaf_rows * share)), share)
         self.rows = materialise(self._place(self.points), "leaves")
         x = [f"x{i}" for i in range(4)]
         boxes = self.rows.groupBy("leaf").agg(

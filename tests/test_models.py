@@ -276,3 +276,40 @@ def test_compared_pairs_grow_below_the_square(spark):
     small, large = compared(2000), compared(16_000)
     assert large < 0.2 * 16_000**2
     assert large < 8**1.8 * small
+
+
+@pytest.mark.parametrize(("width", "share"), [(200, 0.3), (1e4, 1.0), (1e9, 1.0), (0, 1.0)])
+def test_cuts_follow_what_tells_stations_apart(width, share):
+    """Rows asked, against a tree of values and places in turn: fewer where values lie close together, never more."""
+    from borehole.operators import similarity as S
+
+    rng = np.random.default_rng(7)
+    n = 8000
+    x = S._space(rng.uniform(8, 37, n), rng.uniform(68, 97, n), rng.uniform(0, 1, n) * width)
+    probes = x[:200]
+    least = np.array([np.partition(S._score(np.abs(x - p)), -6)[-6] for p in probes])
+    turns, found = S.Tree(x, 64), S.planned(x, 64)
+    asked = S._asked(found, x, probes, least)
+    assert asked <= share * S._asked(turns, x, probes, least) and asked < 0.2 * n * len(probes)
+    assert sorted(np.unique(found.assign(x))) == list(range(found.leaves))
+
+
+@pytest.mark.parametrize("spread", [0, 1e-3, 3, 1e7])
+def test_ceilings_lie_just_above_the_scores(spread):
+    from borehole.operators import similarity as S
+
+    rng = np.random.default_rng(3)
+    n, k = 400, 4
+    near = rng.uniform(0, 1, n) < 0.5
+    lat, lon = np.where(near, 20, rng.uniform(-90, 90, n)), np.where(near, rng.choice([179.999, -179.999], n), rng.uniform(-180, 180, n))
+    lat = lat + np.where(near, rng.choice([0, 1e-9, 0.01, 5], n), 0)
+    rows = pd.DataFrame({"station_id": np.arange(n), "lat": lat, "lon": lon, "value": rng.uniform(0, 1, n) * spread})
+    asked = rows.set_axis(["target_id", "target_lat", "target_lon", "target_value"], axis=1).assign(least=-np.inf)
+    whole = S.best_pairs(asked, rows, n).pivot(index="target_id", columns="station_id", values="combined_score").to_numpy()
+    x = S._space(*(rows[c].to_numpy(float) for c in ("lat", "lon", "value")))
+    over = (S._ceilings(x, x) - whole)[~np.eye(n, dtype=bool)]
+    assert 0 <= over.min() and over.max() < S.CHORD_GAP
+    few = S.best_pairs(asked, rows, k)
+    np.fill_diagonal(whole, -np.inf)
+    for i, best in few.groupby("target_id"):
+        assert best["station_id"].tolist() == np.lexsort((np.arange(n), -whole[int(i)]))[:k].tolist()
