@@ -30,6 +30,8 @@ from borehole.session import materialise
 #: Partitions that a forest's rows are dealt to at least, and rows of one.
 LEAST_PARTS, PART_ROWS = 16, 200_000
 TREES = 100
+#: Nodes of a regression forest that a pass splits, bytes of a feature's statistics in a node, and MLlib's own limit in MB.
+PASS_NODES, FEATURE_BYTES, MOST_MB = 640, 32 * 4 * 8, 256
 CELL_DIGITS = 3  # of a hash; a split orders one row in 16 ** 3
 CLASS_LIMIT = 10  # fewer distinct targets make a classification
 REGRESSION, CLASSIFICATION = "regression", "classification"
@@ -190,13 +192,22 @@ def dealt(df: DataFrame, id_col: str) -> DataFrame:
     return df.repartition(parts, F.xxhash64(id_col)).sortWithinPartitions(id_col)
 
 
+def pass_memory(features: int) -> int:
+    """MB for the statistics of one pass: few nodes at a time stay in the processor's cache, and more passes cost less than that.
+
+    Wide features keep MLlib's limit.
+    """
+    return min(MOST_MB, -(-features * PASS_NODES * FEATURE_BYTES // 2**20))
+
+
 def fit_forest(
     train: DataFrame, target: str, task: str, features: Features, seed: int = 42,
     max_depth: int = 10, trees: int = TREES, id_col: str | None = None,
 ) -> tuple[PipelineModel, list]:
     """The pipeline from raw columns to ``predicted``, and the sorted classes.
 
-    With ``id_col`` (unique) the rows are :func:`dealt` first.
+    With ``id_col`` (unique) the rows are :func:`dealt` first. A regression looks at all features of a node, so its passes may
+    be of any size; a classification draws them by the order of the nodes, which the size of a pass would change.
     """
     prepared = PipelineModel(features.stages).transform(train if id_col is None else dealt(train, id_col))
     common = dict(
@@ -204,7 +215,9 @@ def fit_forest(
     )
     if task == REGRESSION:
         data = prepared.select("features", F.col(target).cast("double").alias("_label"))
-        forest = RandomForestRegressor(featureSubsetStrategy="all", **common).fit(data)
+        forest = RandomForestRegressor(
+            featureSubsetStrategy="all", maxMemoryInMB=pass_memory(len(features.names)), **common
+        ).fit(data)
         decode = SQLTransformer(statement="select *, prediction as predicted from __THIS__")
         return PipelineModel([*features.stages, forest, decode]), []
     labels = StringIndexer(

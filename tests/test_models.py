@@ -63,6 +63,22 @@ def test_forests_do_not_depend_on_the_cores(spark, wells, target):
         assert [p for _, p in one[2]] == (pytest.approx([p for _, p in measured[0][2]]) if target == "level" else [p for _, p in measured[0][2]])
 
 
+def test_regression_splits_few_nodes_at_a_time(wells, monkeypatch):
+    """Smaller passes than MLlib's own give the same forest; wide features keep its limit."""
+    fitted = []
+    for nodes in (T.PASS_NODES, 10**6):
+        monkeypatch.setattr(T, "PASS_NODES", nodes)
+        trained = T.train_and_predict(wells, "row", trees=20)
+        forest = T._forest_stage(trained.model)
+        predicted = [r["predicted"] for r in trained.predictions.orderBy("row").collect()]
+        fitted.append((forest.getOrDefault("maxMemoryInMB"), forest.totalNumNodes, forest.featureImportances.toArray(), predicted))
+    few, whole = fitted
+    assert few[0] < whole[0] == 256 and few[1] == whole[1]
+    assert few[2] == pytest.approx(whole[2], rel=1e-9) and few[3] == pytest.approx(whole[3], rel=1e-9)
+    monkeypatch.undo()
+    assert T.pass_memory(1) == 1 and T.pass_memory(12) == 8 and T.pass_memory(10_000) == 256
+
+
 def test_classifier_survives_storage(spark, wells):
     df = wells.withColumn("class", F.when(F.col("depth") > 50, "deep").otherwise("flat"))
     trained = T.train_and_predict(df, "row", "class", trees=20)
