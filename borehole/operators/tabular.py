@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from borehole.functions import parsing as P
 from borehole.operators import clean as C
+from borehole.operators import forest as forests
 from borehole.operators import grouping as G
 from borehole.session import materialise
 
@@ -209,26 +210,27 @@ def fit_forest(
     With ``id_col`` (unique) the rows are :func:`dealt` first. A regression looks at all features of a node, so its passes may
     be of any size; a classification draws them by the order of the nodes, which the size of a pass would change.
     """
-    prepared = PipelineModel(features.stages).transform(train if id_col is None else dealt(train, id_col))
+    prepare = PipelineModel(features.stages).transform
+    rows, few = prepare(train if id_col is None else dealt(train, id_col)), prepare(train.limit(2))
     common = dict(
         featuresCol="features", labelCol="_label", numTrees=trees, maxDepth=max_depth, seed=seed
     )
     if task == REGRESSION:
-        data = prepared.select("features", F.col(target).cast("double").alias("_label"))
+        label = F.col(target).cast("double").alias("_label")
         forest = RandomForestRegressor(
             featureSubsetStrategy="all", maxMemoryInMB=pass_memory(len(features.names)), **common
-        ).fit(data)
+        )
+        fitted = forests.fit(forest, rows.select("features", label), few.select("features", label))
         decode = SQLTransformer(statement="select *, prediction as predicted from __THIS__")
-        return PipelineModel([*features.stages, forest, decode]), []
+        return PipelineModel([*features.stages, fitted, decode]), []
+    text = F.col(target).cast("string").alias("_target")
     labels = StringIndexer(
         inputCol="_target", outputCol="_label", stringOrderType="alphabetAsc"
-    ).fit(train.select(F.col(target).cast("string").alias("_target")))
-    data = labels.transform(
-        prepared.select("features", F.col(target).cast("string").alias("_target"))
-    ).select("features", "_label")
-    forest = RandomForestClassifier(**common).fit(data)
+    ).fit(train.select(text))
+    data, sample = (labels.transform(x.select("features", text)).select("features", "_label") for x in (rows, few))
+    fitted = forests.fit(RandomForestClassifier(**common), data, sample, len(labels.labels))
     decode = IndexToString(inputCol="prediction", outputCol="predicted", labels=labels.labels)
-    return PipelineModel([*features.stages, forest, decode]), classes(labels, train, target)
+    return PipelineModel([*features.stages, fitted, decode]), classes(labels, train, target)
 
 
 def classes(labels: StringIndexerModel, df: DataFrame, target: str) -> list:

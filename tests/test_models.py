@@ -79,6 +79,46 @@ def test_regression_splits_few_nodes_at_a_time(wells, monkeypatch):
     assert T.pass_memory(1) == 1 and T.pass_memory(12) == 8 and T.pass_memory(10_000) == 256
 
 
+@pytest.mark.parametrize("kinds", [0, 2, 3])
+def test_forests_are_those_of_mllib(spark, wells, monkeypatch, kinds):
+    """The same nodes, features drawn for them and leaves, while MLlib itself fits two rows; also over several passes and sums."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.regression import RandomForestRegressor
+
+    names = F.when(F.col("depth") > 70, "a").when(F.col("depth") > 40, "b").otherwise("c" if kinds == 3 else "a")
+    df = wells.where("level is not null").withColumn("_target", names).withColumn("flat", F.lit(1.0))
+    features = T.fit_features(df.drop("depth") if kinds else df, ["row", "level", "_target"])
+    label = T.StringIndexer(inputCol="_target", outputCol="_label", stringOrderType="alphabetAsc").fit(df)
+    data = PipelineModel(features.stages).transform(T.dealt(df, "row"))
+    data = (label.transform(data) if kinds else data.withColumnRenamed("level", "_label")).select("features", "_label")
+    common = dict(labelCol="_label", numTrees=12, maxDepth=6, seed=3, maxMemoryInMB=1)
+    kind = RandomForestClassifier if kinds else RandomForestRegressor
+    forest = kind(**common) if kinds else kind(featureSubsetStrategy="all", **common)
+    want = forest.fit(data)
+    seen, few = [], data.limit(2)
+    whole = kind.fit
+    monkeypatch.setattr(kind, "fit", lambda self, rows: seen.append(rows.count()) or whole(self, rows))
+    for groups, nbytes in ((32, 1 << 20), (3, 1 << 12)):
+        monkeypatch.setattr(T.forests, "GROUPS", groups)
+        monkeypatch.setattr(T.forests, "PASS_BYTES", nbytes * 8)
+        monkeypatch.setattr(T.forests, "BLOCK_BYTES", nbytes)
+        got = T.forests.fit(forest, data, few, kinds)
+        assert got.totalNumNodes == want.totalNumNodes and got.numFeatures == want.numFeatures
+        if kinds or groups == 32:  # other sums of decimals differ in their last digit
+            assert [t.toDebugString.split("\n", 1)[1] for t in got.trees] == [t.toDebugString.split("\n", 1)[1] for t in want.trees]
+            assert got.featureImportances == want.featureImportances
+        assert got.featureImportances.toArray() == pytest.approx(want.featureImportances.toArray(), rel=1e-9)
+    assert seen == [2, 2]
+
+
+def test_forest_without_a_split(spark):
+    """Constant features make trees of one leaf."""
+    df = spark.range(40).select(F.col("id").alias("row"), F.lit(1.0).alias("x"), (F.col("id") % 3 + 0.5).alias("level"))
+    trained = T.train_and_predict(df, "row", "level", task="regression", trees=3)
+    assert T._forest_stage(trained.model).totalNumNodes == 3
+
+
 def test_classifier_survives_storage(spark, wells):
     df = wells.withColumn("class", F.when(F.col("depth") > 50, "deep").otherwise("flat"))
     trained = T.train_and_predict(df, "row", "class", trees=20)
