@@ -18,8 +18,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.ml import PipelineModel
 from pyspark.ml.base import Estimator, Model
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +30,8 @@ from borehole.session import scratch_path, ship_package
 
 #: Sums that a pass adds up for a node, at most; bytes of statistics that a task holds, and of one block of them.
 GROUPS, PASS_BYTES, BLOCK_BYTES = 32, 64 << 20, 1 << 20
-#: Trees whose draws are stored in one column.
-DRAWN_TREES = 10
+#: Trees whose draws are stored in one column; features above which rows stay sparse.
+DRAWN_TREES, WIDE = 10, 512
 EPSILON = np.finfo(float).eps
 _MASK = (1 << 64) - 1
 
@@ -63,6 +65,11 @@ class Layout:
         """Statistics of a bin: count, sum and sum of squares, or a count per class."""
         return self.classes or 3
 
+    @property
+    def kept(self) -> type:
+        """What holds a bin; the largest number is left to nodes without split."""
+        return np.uint8 if self.bins.max() < 256 else np.uint16
+
     def counts(self, sums: np.ndarray) -> np.ndarray:
         return sums.sum(axis=0) if self.classes else sums[0]
 
@@ -156,7 +163,7 @@ def _as_rows(spark: SparkSession, drawn) -> DataFrame:
     return DataFrame(_module(spark, "org.apache.spark.sql.classic.Dataset").ofRows(session, plan), spark)
 
 
-def _stored(rows: DataFrame, trees: int, parts: int) -> DataFrame:
+def _stored(rows: DataFrame, trees: int, parts: int, kept: type) -> DataFrame:
     """Pieces of rows as bytes: labels, bins by row, and draws by tree. Pieces of one sum lie in one file, in order."""
     columns = [f"draws_{at}" for at in range(0, trees, DRAWN_TREES)]
 
@@ -164,7 +171,7 @@ def _stored(rows: DataFrame, trees: int, parts: int) -> DataFrame:
         part = TaskContext.get().partitionId()  # of MLlib's draws: no stage lies between
         for at, batch in enumerate(b for b in batches if b.num_rows):
             n = batch.num_rows
-            bins = batch.column(1).flatten().to_numpy().astype(np.uint16)
+            bins = batch.column(1).flatten().to_numpy().astype(kept)
             draws = batch.column(2).flatten().to_numpy().reshape(n, trees).T
             kind = np.uint8 if draws.max(initial=0) < 256 else np.int32
             blocks = [draws[t : t + DRAWN_TREES].astype(kind).tobytes() for t in range(0, trees, DRAWN_TREES)]
@@ -179,9 +186,14 @@ def _stored(rows: DataFrame, trees: int, parts: int) -> DataFrame:
     made = rows.mapInArrow(pieces, schema)
     if parts > GROUPS:  # neighbouring parts share a sum, by their numbers alone
         made = made.repartitionById(GROUPS, F.floor(F.col("part") * GROUPS / parts).cast("int")).sortWithinPartitions("part", "at")
-    path = scratch_path(rows.sparkSession, "drawn")
+    spark = rows.sparkSession
+    path = scratch_path(spark, "drawn")
     made.write.option("compression", "zstd").parquet(path)
-    return rows.sparkSession.read.schema(made.schema).parquet(path)
+    # a session of its own, where each file is a task: packed by size, they would leave most cores idle in the last wave
+    apart = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    for name in ("maxPartitionBytes", "openCostInBytes"):
+        apart.conf.set(f"spark.sql.files.{name}", "128m")
+    return apart.read.schema(made.schema).parquet(path)
 
 
 # --- trees ------------------------------------------------------------------------------
@@ -209,8 +221,12 @@ class Tree:
             values.append(x)
         return node
 
-    def arrays(self) -> tuple[np.ndarray, ...]:
-        return tuple(np.array(x) for x in (self.feature, self.cut, self.turned, self.left))
+    def arrays(self, layout: Layout) -> tuple[np.ndarray, ...]:
+        """For each node the column that decides (turned pairs have one of their own), its cut and the left child."""
+        own = len(layout.bins) + np.cumsum(layout.paired) - 1
+        feature, turned = np.array(self.feature), np.array(self.turned)
+        cut = np.minimum(self.cut, np.iinfo(layout.kept).max).astype(layout.kept)
+        return np.where(turned, own[feature], feature), cut, np.array(self.left)
 
 
 class _Draws:
@@ -291,7 +307,7 @@ class Pass:
 
     def _slots(self) -> dict[int, np.ndarray]:
         found = {}
-        for t, (_, _, _, left) in self.trees.items():
+        for t, (_, _, left) in self.trees.items():
             own = np.flatnonzero(self.tree == t)
             found[t] = np.full(len(left), -1)
             found[t][self.node[own]] = own
@@ -302,6 +318,9 @@ class Pass:
         layout, slots = self.layout, self._slots()
         whole = layout.subset == len(layout.bins)
         offset = np.cumsum(layout.bins) - layout.bins
+        per_cell = layout.classes or 1
+        features = [np.ascontiguousarray(x) for x in self.features.T]
+        starts = [x * per_cell for x in self.start.T]
         sums, key = None, None
         for batch in batches:
             for i in range(batch.num_rows):
@@ -310,51 +329,51 @@ class Pass:
                 if key is None or own != key[0]:
                     if sums is not None:
                         yield from self._blocks(sums, key)
-                    sums, key = np.zeros(self.cells * layout.width), (own, part, batch.column(1)[i].as_py())
+                    sums, key = self._zeros(), (own, part, batch.column(1)[i].as_py())
                 labels = np.frombuffer(batch.column(2)[i].as_buffer())
-                bins = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint16).astype(np.int64)
-                placed = (bins.reshape(len(labels), -1) + offset).T.copy() if whole else None
-                for t, (feature, cut, turned, left) in self.trees.items():
+                n = len(labels)
+                bins = np.frombuffer(batch.column(3)[i].as_buffer(), layout.kept).reshape(n, -1)
+                columns = np.hstack((bins, 1 - bins[:, layout.paired]))
+                lines, codes = np.arange(n) * columns.shape[1], columns.ravel()
+                placed = (bins.astype(np.int64) + (offset if whole else 0)) * per_cell
+                if layout.classes:
+                    placed += labels.astype(np.int64)[:, None]
+                placed = placed.T.copy() if whole else placed.ravel()
+                for t, (feature, cut, left) in self.trees.items():
                     kept = batch.column(f"draws_{t - t % DRAWN_TREES}")[i].as_buffer()
                     block = min(DRAWN_TREES, self.n_trees - (t - t % DRAWN_TREES))
-                    kind = np.uint8 if kept.size == block * len(labels) else np.int32
+                    kind = np.uint8 if kept.size == block * n else np.int32
                     draws = np.frombuffer(kept, kind).reshape(block, -1)[t % DRAWN_TREES]
                     rows = np.flatnonzero(draws)
-                    at = np.zeros(len(rows), np.int64)
-                    first = rows * len(layout.bins)
+                    at, line = np.zeros(len(rows), np.int64), lines.take(rows)
                     for _ in range(self.steps[t]):
-                        right = bins[first + feature[at]] > cut[at]
-                        at = left[at] + (right ^ turned[at])
-                    slot = slots[t][at]
+                        right = codes.take(line + feature.take(at)) > cut.take(at)
+                        at = left.take(at)
+                        at += right
+                    slot = slots[t].take(at)
                     if self.steps[t]:
                         open_ = np.flatnonzero(slot >= 0)
-                        rows, slot = rows[open_], slot[open_]
-                    self._add(sums, draws, labels, rows, slot, bins, placed)
+                        rows, slot = rows.take(open_), slot.take(open_)
+                    weight = draws.take(rows).astype(float)
+                    values = [weight]
+                    if not layout.classes:
+                        label, both = labels.take(rows), np.empty(len(rows), complex)
+                        both.real = weight * label
+                        both.imag = both.real * label
+                        values.append(both)
+                    base, line = (starts[0].take(slot), None) if whole else (None, rows * len(layout.bins))
+                    for k in range(layout.subset):
+                        if whole:
+                            cell = placed[k].take(rows)
+                            cell += base
+                        else:
+                            cell = placed.take(line + features[k].take(slot))
+                            cell += starts[k].take(slot)
+                        for held, value in zip(sums, values, strict=True):
+                            np.add.at(held, cell, value)
         if sums is not None:
             yield from self._blocks(sums, key)
 
-    def _add(self, sums, draws, labels, rows, slot, bins, placed) -> None:
-        layout = self.layout
-        weight = draws[rows].astype(float)
-        if layout.classes:
-            label = labels[rows].astype(np.int64)
-            values = [(sums, weight)]
-        else:
-            one, two, three = sums.reshape(3, -1)
-            scaled = weight * labels[rows]
-            values = [(one, weight), (two, scaled), (three, scaled * labels[rows])]
-        first = rows * len(layout.bins)
-        base = self.start[slot, 0] if placed is not None else None
-        for k in range(layout.subset):
-            if placed is not None:
-                cell = placed[k][rows] + base
-            else:
-                cell = bins[first + self.features[slot, k]] + self.start[slot, k]
-            if layout.classes:
-                cell = cell * layout.classes + label
-            for held, value in values:
-                np.add.at(held, cell, value)
-
     def _bounds(self) -> list[tuple[int, int, int]]:
         """Of each block: its number, its first node and the node after its last."""
         edge = np.flatnonzero(np.diff(self.block)) + 1
@@ -363,9 +382,15 @@ class Pass:
     def _span(self, a: int, b: int) -> tuple[int, int]:
         return int(self.start[a, 0]), int(self.start[b, 0]) if b < len(self.start) else self.cells
 
-    def _blocks(self, sums: np.ndarray, key: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
+    def _zeros(self) -> list[np.ndarray]:
+        """Counts per class; or counts, and sums with those of squares as one complex number, which takes one addition."""
+        if self.layout.classes:
+            return [np.zeros(self.cells * self.layout.classes)]
+        return [np.zeros(self.cells), np.zeros(self.cells, complex)]
+
+    def _blocks(self, sums: list[np.ndarray], key: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
         width = self.layout.width
-        by_cell = sums.reshape(-1, width) if self.layout.classes else sums.reshape(width, -1).T
+        by_cell = sums[0].reshape(-1, width) if self.layout.classes else np.column_stack((sums[0], sums[1].real, sums[1].imag))
         for number, a, b in self._bounds():
             lo, hi = self._span(a, b)
             yield pa.RecordBatch.from_arrays(
@@ -449,7 +474,7 @@ def fit(forest: Estimator, data: DataFrame, few: DataFrame, classes: int = 0) ->
     if prepared is None or (prepared[0].bins == 1).all():
         return forest.fit(data)
     layout, thresholds, rows, parts = prepared
-    pieces = _stored(rows, forest.getNumTrees(), parts)
+    pieces = _stored(rows, forest.getNumTrees(), parts, layout.kept)
     return _model(forest, few, layout, thresholds, grow(forest, layout, pieces, parts))
 
 
@@ -523,7 +548,7 @@ def _passes(trees: list[Tree], chosen: list[tuple[int, int]], features: np.ndarr
         yield Pass(
             layout, tree, node, features[own], np.array([trees[t].impurity[x] for t, x in zip(tree, node, strict=True)]),
             {int(t): max(trees[t].depth[x] for x in node[tree == t]) for t in np.unique(tree)},
-            {int(t): trees[t].arrays() for t in np.unique(tree)},
+            {int(t): trees[t].arrays(layout) for t in np.unique(tree)},
         )
         at = to
 
@@ -578,4 +603,120 @@ def _model(forest: Estimator, few: DataFrame, layout: Layout, thresholds: list[l
     table = pa.table({"treeID": pa.array([t for t, _ in nodes], pa.int32()), "nodeData": pa.array([x for _, x in nodes], _NODE)})
     spark.createDataFrame(table).write.mode("overwrite").parquet(f"{path}/data")
     kind = RandomForestClassificationModel if isinstance(forest, RandomForestClassifier) else RandomForestRegressionModel
-    return kind.load(path)
+    found = kind.load(path)
+    found.stored_nodes = table
+    return found
+
+
+# --- predictions ------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Walk:
+    """All nodes of a forest; the two children of a node lie side by side, the one for low values first."""
+
+    roots: list[int]
+    depth: list[int]
+    feature: np.ndarray
+    cut: np.ndarray  # infinite for a leaf, which is its own low child
+    low: np.ndarray
+    value: np.ndarray  # a number, or the share of each class
+
+    def leaves(self, rows: np.ndarray) -> Iterator[np.ndarray]:
+        """The leaf of every row in each tree. What is not a number goes right, as in MLlib."""
+        values = np.where(np.isnan(rows), np.inf, rows).ravel()
+        first = np.arange(len(rows)) * rows.shape[1]
+        for root, depth in zip(self.roots, self.depth, strict=True):
+            at = np.full(len(rows), root)
+            for _ in range(depth):
+                high = values.take(first + self.feature.take(at)) > self.cut.take(at)
+                at = self.low.take(at)
+                at += high
+            yield at
+
+    def predicted(self, rows: np.ndarray) -> np.ndarray:
+        """The prediction of every row, and before it the shares of the votes of a classification."""
+        total = np.zeros((len(rows), *self.value.shape[1:]))
+        for at in self.leaves(rows):
+            total += self.value.take(at, axis=0)
+        if total.ndim == 1:
+            return (total / len(self.roots))[:, None]
+        votes = np.zeros(len(rows))
+        for one in total.T:
+            votes += one
+        with np.errstate(invalid="ignore"):
+            shares = np.where(votes[:, None] == 0, total, total / votes[:, None])
+        return np.column_stack((shares, total.argmax(axis=1)))
+
+
+def _walk(model: Model, spark: SparkSession) -> Walk | None:
+    """The nodes of a model, or None if one has more than two categories."""
+    table = getattr(model, "stored_nodes", None)
+    if table is None:
+        path = scratch_path(spark, "forest")
+        model.write().save(path)
+        table = spark.read.parquet(f"{path}/data").toArrow()
+    nodes = table.column("nodeData").combine_chunks()
+    split = nodes.field("split")
+    tree, number, left, right, feature, categories = (
+        x.to_numpy() for x in (table.column("treeID"), nodes.field("id"), nodes.field("leftChild"), nodes.field("rightChild"),
+                               split.field("featureIndex"), split.field("numCategories"))
+    )
+    if (categories > 2).any():
+        return None
+    stats = np.array(nodes.field("impurityStats").to_pylist())
+    if isinstance(model, RandomForestClassificationModel):
+        with np.errstate(invalid="ignore"):
+            value = stats / stats.sum(axis=1, keepdims=True)
+        value[stats.sum(axis=1) == 0] = 0
+    else:
+        value = nodes.field("prediction").to_numpy()
+    cuts = split.field("leftCategoriesOrThreshold").to_pylist()
+    of = {(int(t), int(i)): at for at, (t, i) in enumerate(zip(tree, number, strict=True))}
+    order, low, roots, depths = [], [], [], []
+    for t in sorted(set(tree.tolist())):
+        roots.append(len(order))
+        order.append(of[t, 0])
+        at, level, deepest = roots[-1], {roots[-1]: 0}, 0
+        while at < len(order):
+            row = order[at]
+            if left[row] < 0:
+                low.append(at)
+            else:
+                low.append(len(order))
+                sides = [of[t, int(left[row])], of[t, int(right[row])]]
+                deepest = max(deepest, level[at] + 1)
+                level[len(order)] = level[len(order) + 1] = level[at] + 1
+                order += sides[::-1] if categories[row] == 2 and cuts[row] == [1.0] else sides
+            at += 1
+        depths.append(deepest)
+    leaf = left[order] < 0
+    cut = np.array([np.inf if x else 0.5 if categories[i] == 2 else cuts[i][0] for i, x in zip(order, leaf, strict=True)])
+    return Walk(roots, depths, np.where(leaf, 0, feature[order]).astype(np.int64), cut, np.array(low), value[order])
+
+
+def transform(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """``model.transform(df)`` with ``prediction``, and ``_probabilities`` of a classification; tree after tree over many rows.
+
+    Wide features, which are sparse, are left to MLlib.
+    """
+    ship_package(df.sparkSession)
+    place, forest = next((i, s) for i, s in enumerate(model.stages) if hasattr(s, "featureImportances"))
+    classifies = isinstance(forest, RandomForestClassificationModel)
+    taken = {"prediction", "probability", "rawPrediction"} & set(df.columns)
+    walk = None if taken or forest.numFeatures > WIDE else _walk(forest, df.sparkSession)
+    if walk is None:
+        made = model.transform(df)
+        return made.withColumn("_probabilities", vector_to_array("probability")) if classifies else made
+
+    @F.arrow_udf("array<double>")
+    def predicted(features: pa.Array) -> pa.Array:
+        found = walk.predicted(features.flatten().to_numpy(zero_copy_only=False).reshape(len(features), -1))
+        return pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), found.shape[1]).cast(pa.list_(pa.float64()))
+
+    made = PipelineModel(model.stages[:place]).transform(df)
+    made = made.withColumn("_predicted", predicted(vector_to_array("features")))
+    made = made.withColumn("prediction", F.element_at("_predicted", -1))
+    if classifies:
+        made = made.withColumn("_probabilities", F.slice("_predicted", 1, forest.numClasses))
+    return PipelineModel(model.stages[place + 1 :]).transform(made)

@@ -17,7 +17,6 @@ from pyspark.ml.feature import (
     VectorAssembler,
     VectorSlicer,
 )
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,7 +30,7 @@ from borehole.session import materialise
 #: Partitions that a forest's rows are dealt to at least, and rows of one.
 LEAST_PARTS, PART_ROWS = 16, 200_000
 TREES = 100
-#: Nodes of a regression forest that a pass splits, bytes of a feature's statistics in a node, and MLlib's own limit in MB.
+#: Nodes of a regression forest that a pass of MLlib splits, bytes of a feature's statistics in a node, and MLlib's own limit in MB.
 PASS_NODES, FEATURE_BYTES, MOST_MB = 640, 32 * 4 * 8, 256
 CELL_DIGITS = 3  # of a hash; a split orders one row in 16 ** 3
 CLASS_LIMIT = 10  # fewer distinct targets make a classification
@@ -194,9 +193,9 @@ def dealt(df: DataFrame, id_col: str) -> DataFrame:
 
 
 def pass_memory(features: int) -> int:
-    """MB for the statistics of one pass: few nodes at a time stay in the processor's cache, and more passes cost less than that.
+    """MB for the statistics of one pass of MLlib: few nodes at a time stay in the processor's cache, and more passes cost less than that.
 
-    Wide features keep MLlib's limit.
+    Wide features keep MLlib's limit. Passes of :mod:`borehole.operators.forest` have their own.
     """
     return min(MOST_MB, -(-features * PASS_NODES * FEATURE_BYTES // 2**20))
 
@@ -261,7 +260,7 @@ def train_and_predict(
     features = fit_features(rows, [id_col, target, "is_test"], include_ids)
     train = rows.where(~F.col("is_test"))
     model, found = fit_forest(train, target, task, features, seed, max_depth, trees, id_col)
-    scored = model.transform(rows.where("is_test")).select(
+    scored = forests.transform(model, rows.where("is_test")).select(
         id_col, F.col(target).alias("actual"), "predicted"
     )
     scored = materialise(scored, "predictions")
@@ -353,10 +352,10 @@ def load_model(path: str) -> PipelineModel:
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """``predicted`` for every row (and ``probabilities`` by sorted class); also on a stream."""
-    scored = model.transform(df)
+    scored = forests.transform(model, df)
     extra: list[Column] = []
     if isinstance(_forest_stage(model), RandomForestClassificationModel):
-        extra.append(vector_to_array("probability").alias("probabilities"))
+        extra.append(F.col("_probabilities").alias("probabilities"))
     return scored.select(*[F.col(c) for c in df.columns], "predicted", *extra)
 
 

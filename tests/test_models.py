@@ -112,6 +112,25 @@ def test_forests_are_those_of_mllib(spark, wells, monkeypatch, kinds):
     assert seen == [2, 2]
 
 
+@pytest.mark.parametrize("target", ["level", "class"])
+def test_predictions_are_those_of_mllib(spark, wells, target, monkeypatch):
+    """Numbers, classes and shares to the last bit, for missing, infinite and unseen values too; MLlib's model does not see a row."""
+    df = wells.withColumn("class", F.when(F.col("depth") > 70, "a").when(F.col("depth") > 40, "b").otherwise("c"))
+    trained = T.train_and_predict(df.drop("level" if target == "class" else "class"), "row", target, trees=15)
+    odd = [(900, float("nan"), 20.0, "Clay"), (901, None, float("inf"), "Loamy"), (902, 1.0, -1.0, None), (903, 700.0, 50.0, "Gravel")]
+    rows = wells.select("row", "rain", "depth", "soil").union(spark.createDataFrame(odd, "row long, rain double, depth double, soil string"))
+    want = trained.model.transform(rows)
+    shares = T.forests.vector_to_array("probability") if target == "class" else F.array()
+    want = {r["row"]: (r["predicted"], r["p"]) for r in want.select("row", "predicted", shares.alias("p")).collect()}
+    stored = T.load_model(T.save_model(trained.model, scratch_path(spark, "models"), "m"))
+    for model in (trained.model, stored):
+        stage = type(T._forest_stage(model))
+        with monkeypatch.context() as held:
+            held.setattr(stage, "transform", None)
+            got = T.predict(model, rows).collect()
+        assert {r["row"]: (r["predicted"], r["probabilities"] if target == "class" else []) for r in got} == want and len(got) == len(want)
+
+
 def test_forest_without_a_split(spark):
     """Constant features make trees of one leaf."""
     df = spark.range(40).select(F.col("id").alias("row"), F.lit(1.0).alias("x"), (F.col("id") % 3 + 0.5).alias("level"))
